@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-null = F.lit(None)
 
 
 def clamp(x: Column, lo: float, hi: float) -> Column:
@@ -100,7 +99,7 @@ def surprise_pct(actual: Column, estimate: Column) -> Column:
 
 def surprise_verdict(pct: Column) -> Column:
     return (
-        F.when(pct.isNull(), null)
+        F.when(pct.isNull(), None)
         .when(pct >= 10, "STRONG BEAT")
         .when(pct >= 3, "beat")
         .when(pct > -3, "IN-LINE")
@@ -157,7 +156,7 @@ def shadow_verdict(
     size = F.greatest(
         F.when(eps < 0, -eps).otherwise(0.0), F.when(revenue < 0, -revenue).otherwise(0.0)
     )
-    graded = F.when(uncap, null).when(size.between(10, 30), 0.5).otherwise(0.3)
+    graded = F.when(uncap, None).when(size.between(10, 30), 0.5).otherwise(0.3)
     proposed = F.when(is_miss, graded).otherwise(cap)
     return F.when(
         cap.isNotNull() & reason.isNotNull(),

@@ -1,0 +1,11 @@
+"""Registered queries by area; importing the package fills the registry."""
+
+import importlib
+import pkgutil
+
+from tidewatch.plans.registry import ORACLES, QUERIES
+
+for _module in sorted(m.name for m in pkgutil.iter_modules(__path__) if m.name.endswith("_queries")):
+    importlib.import_module(f"{__name__}.{_module}")
+
+__all__ = ["ORACLES", "QUERIES"]
