@@ -109,19 +109,26 @@ def entry_prices(days: DataFrame, prices: DataFrame, offsets: Sequence[int]) ->
     )
 
 
-def event_returns(events: DataFrame, prices: DataFrame, date: str = "filing_date", entry_lag: int = 0) -> DataFrame:
-    """Events with percent returns ``ret_<horizon>``; events without any return are dropped."""
-    offsets = sorted({*HORIZONS.values(), *([entry_lag] if entry_lag else [])})
+def day_returns(events: DataFrame, prices: DataFrame, date: str = "filing_date", entry_lag: int = 0) -> DataFrame:
+    """Percent returns ``ret_<horizon>`` of every (symbol, date) occurring in ``events``.
+
+    One row per symbol and calendar day, to be joined to any number of events.
+    """
     shifted = [k + entry_lag for k in HORIZONS.values()]
-    table = entry_prices(events.select("symbol", F.col(date).alias("date")), prices, sorted({*offsets, *shifted}))
+    days = events.select("symbol", F.col(date).alias("date"))
+    table = entry_prices(days, prices, sorted({*shifted, *([entry_lag] if entry_lag else [])}))
     base = F.col(f"close_{entry_lag}") if entry_lag else F.col("entry_close")
-    cols = []
-    for (label, _), k in zip(HORIZONS.items(), shifted):
-        later = F.col(f"close_{k}")
-        cols.append(F.when(later > 0, (later - base) / base * 100).alias(f"ret_{label}"))
+    cols = [
+        F.when(F.col(f"close_{k}") > 0, (F.col(f"close_{k}") - base) / base * 100).alias(f"ret_{label}")
+        for label, k in zip(HORIZONS, shifted)
+    ]
     rets = table.filter(base > 0).select("symbol", F.col("date").alias(date), base.alias("entry_price"), *cols)
-    rets = rets.filter(" OR ".join(f"ret_{h} IS NOT NULL" for h in HORIZONS))
-    return events.join(rets, ["symbol", date])
+    return rets.filter(" OR ".join(f"ret_{h} IS NOT NULL" for h in HORIZONS))
+
+
+def event_returns(events: DataFrame, prices: DataFrame, date: str = "filing_date", entry_lag: int = 0) -> DataFrame:
+    """Events with their returns; events without any return are dropped."""
+    return events.join(day_returns(events, prices, date, entry_lag), ["symbol", date])
 
 
 def dip_days(prices: DataFrame, threshold: float = -2.0, min_rows: int = 30, ahead: int = 21) -> DataFrame:

@@ -206,7 +206,7 @@ def exact_quantiles(
 
     A mergeable sketch brackets every wanted rank; rows below the bracket are only
     counted and just the bracket (about ``2 * eps`` of the group, equal values merged)
-    is ordered.  No task ever sees a whole group.
+    is ordered.  Groups under ``4 / eps`` rows are ordered whole, larger ones never are.
     """
     groups = list(groups)
     grid = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-eps, eps)})
@@ -215,13 +215,14 @@ def exact_quantiles(
         F.percentile_approx(value, grid, int(10 / eps)).alias("__grid"), F.count("*").alias("__n"),
         F.min(value).alias("__min"), F.max(value).alias("__max"),
     )
+    small = F.col("__n") * eps < 4
     wanted = F.array(
         *[
             F.struct(
                 F.lit(i).alias("i"),
                 F.lit(p).alias("p"),
-                (F.col("__min") if p - eps <= 0 else F.col("__grid")[grid.index(p - eps)]).alias("lo"),
-                (F.col("__max") if p + eps >= 1 else F.col("__grid")[grid.index(p + eps)]).alias("hi"),
+                (F.col("__min") if p - eps <= 0 else F.when(small, F.col("__min")).otherwise(F.col("__grid")[grid.index(p - eps)])).alias("lo"),
+                (F.col("__max") if p + eps >= 1 else F.when(small, F.col("__max")).otherwise(F.col("__grid")[grid.index(p + eps)])).alias("hi"),
             )
             for i, p in enumerate(probs)
         ]
