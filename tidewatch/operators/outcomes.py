@@ -102,7 +102,7 @@ def entry_prices(days: DataFrame, prices: DataFrame, offsets: Sequence[int]) ->
     table = forward_closes(prices, offsets).withColumn("__d", F.unix_date("date"))
     grid = days.select("symbol", "date").distinct().withColumn("__d", F.unix_date("date"))
     values = ["date", "close", *[f"close_{k}" for k in offsets]]
-    out = asof_join(grid, table, ["symbol"], "__d", "__d", values, "forward", width=366)
+    out = asof_join(grid, table, ["symbol"], "__d", "__d", values, "forward", width=None)
     return out.select(
         "symbol", "date", F.col("match.date").alias("entry_date"), F.col("match.close").alias("entry_close"),
         *[F.col(f"match.close_{k}").alias(f"close_{k}") for k in offsets],

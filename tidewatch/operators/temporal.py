@@ -66,13 +66,14 @@ def asof_join(
     values: Sequence[str],
     direction: str = "backward",
     tie: str | None = None,
-    width: int = DAY_US,
+    width: int | None = DAY_US,
     into: str = "match",
 ) -> DataFrame:
     """Attach to each left row the nearest right row of its key, at or before (or at or after) it.
 
     Both sides are unioned and swept once; a right row at the same position matches.
-    ``into`` is a struct of ``values`` and null without a match.
+    ``into`` is a struct of ``values`` and null without a match.  ``width=None`` sweeps a
+    whole key at once, for inputs with at most one row per key and calendar day.
     """
     keys = list(keys)
     forward = direction == "forward"
@@ -82,13 +83,16 @@ def asof_join(
                      F.struct(*l_cols).alias("__row"), F.lit(None).alias("__val"))
     rs = right.select(*keys, F.col(right_pos).alias("__pos"), F.lit(0).alias("__side"), tie_col.alias("__tie"),
                       F.lit(None).alias("__row"), F.struct(*values).alias("__val"))
-    both = ls.unionByName(rs).withColumn("__chunk", _chunk("__pos", width))
+    both = ls.unionByName(rs).withColumn("__chunk", _chunk("__pos", width) if width else F.lit(0))
 
     pos, tied = (F.desc("__pos"), F.desc("__tie")) if forward else (F.asc("__pos"), F.asc("__tie"))
-    inner = Window.partitionBy(*keys, "__chunk").orderBy(pos, "__side", tied).rowsBetween(
+    part = [*keys, "__chunk"] if width else keys
+    inner = Window.partitionBy(*part).orderBy(pos, "__side", tied).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     swept = both.withColumn("__hit", F.last("__val", ignorenulls=True).over(inner)).filter("__side = 1")
+    if not width:
+        return swept.select("__row.*", F.col("__hit").alias(into))
 
     edge = F.min_by if forward else F.max_by
     rank = F.when(F.col("__side") == 0, F.struct("__pos", "__tie"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewatch.session import pin_utc
+from tidewatch.sources.tables import read_table
 
 _RULE = (
     "CASE event_type WHEN 'purchase' THEN 'Form 4 Insider BUY' WHEN 'signup' THEN '8-K Material Event GPT' "
@@ -175,7 +176,7 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name == "ev":
