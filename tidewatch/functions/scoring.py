@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tidewatch.functions.text import ascii_words
+
 
 
 def clamp(x: Column, lo: float, hi: float) -> Column:
@@ -222,11 +224,11 @@ CSUITE_TITLES = (
 
 
 def is_csuite(role: Column, patterns: tuple[str, ...] = CSUITE_PATTERNS) -> Column:
-    return F.coalesce(role.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), F.lit(False))
+    return F.coalesce(role.rlike(ascii_words("(?i)" + "|".join(f"(?:{p})" for p in patterns))), F.lit(False))
 
 
 def is_director(role: Column) -> Column:
-    return F.coalesce(role.rlike(r"(?i)\bDirector\b"), F.lit(False))
+    return F.coalesce(role.rlike(ascii_words(r"(?i)\bDirector\b")), F.lit(False))
 
 
 def is_csuite_title(is_officer: Column, title: Column, words: tuple[str, ...] = CSUITE_TITLES) -> Column:

@@ -4,6 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
+# Word boundary over ASCII word characters, whatever the Java version.
+_B = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def ascii_words(pattern: str) -> str:
+    return pattern.replace(r"\b", _B)
+
+
 ITEM_RE = r"(?i)Item\s+(\d+\.\d+)"
 SECTION_LIMIT = 50_000  # the section length a consumer of item texts accepts
 
@@ -13,31 +21,33 @@ def detect_items(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(ITEM_RE), F.lit(1)))
 
 
+# Tag and entity substitutions, applied in this order.
+HTML_STEPS = (
+    (r"(?i)<div[^>]*display:\s*none[^>]*>[\s\S]*?</div>", ""),
+    (r"(?i)<ix:header>[\s\S]*?</ix:header>", ""),
+    (r"(?i)<br\s*/?>", "\n"),
+    (r"(?i)</(p|div|tr|li)>", "\n"),
+    (r"<[^>]+>", " "),
+    ("&amp;", "&"),
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&#39;", "'"),
+    ("&nbsp;", " "),
+    ("&#160;", " "),
+    ("&#8217;", "'"),
+    ("&#8220;", '"'),
+    ("&#8221;", '"'),
+    (r"&#\d+;", " "),
+    (r"[ \t]+", " "),
+    (r"\n{3,}", "\n\n"),
+    (r"^\s+|\s+$", ""),
+)
+
+
 def strip_html(html: Column) -> Column:
-    # Tag and entity substitutions, applied in this order.
-    steps = (
-        (r"(?i)<div[^>]*display:\s*none[^>]*>[\s\S]*?</div>", ""),
-        (r"(?i)<ix:header>[\s\S]*?</ix:header>", ""),
-        (r"(?i)<br\s*/?>", "\n"),
-        (r"(?i)</(p|div|tr|li)>", "\n"),
-        (r"<[^>]+>", " "),
-        ("&amp;", "&"),
-        ("&lt;", "<"),
-        ("&gt;", ">"),
-        ("&quot;", '"'),
-        ("&#39;", "'"),
-        ("&nbsp;", " "),
-        ("&#160;", " "),
-        ("&#8217;", "'"),
-        ("&#8220;", '"'),
-        ("&#8221;", '"'),
-        (r"&#\d+;", " "),
-        (r"[ \t]+", " "),
-        (r"\n{3,}", "\n\n"),
-        (r"^\s+|\s+$", ""),
-    )
     out = html
-    for pattern, replacement in steps:
+    for pattern, replacement in HTML_STEPS:
         out = F.regexp_replace(out, pattern, replacement)
     return out
 
@@ -76,7 +86,7 @@ GUIDANCE_PATTERNS = {
 def guidance_status(text: Column, max_hits: int = 3) -> Column:
     """Struct of guidance flags; each kind counts its first ``max_hits`` matches."""
     hits = {
-        k: F.slice(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(0)), 1, max_hits)
+        k: F.slice(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ascii_words(p)), F.lit(0)), 1, max_hits)
         for k, p in GUIDANCE_PATTERNS.items()
     }
     n = {k: F.size(v) for k, v in hits.items()}
@@ -122,8 +132,8 @@ def reported_revenue(text: Column, minimum: float = 1e6) -> Column:
     """Largest dollar amount stated after 'revenue', scaled by its unit."""
 
     def amounts(pattern: str) -> Column:
-        numbers = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        units = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
+        numbers = F.regexp_extract_all(text, F.lit(ascii_words(pattern)), F.lit(1))
+        units = F.regexp_extract_all(text, F.lit(ascii_words(pattern)), F.lit(2))
         return F.zip_with(
             numbers,
             units,
@@ -148,8 +158,7 @@ def reported_eps(text: Column, limit: float = 100.0) -> Column:
     """Diluted EPS: first pattern whose value is plausible."""
     out = []
     for p in _EPS_RES:
-        value = F.expr("try_cast(NULL AS DOUBLE)")
-        raw = F.regexp_extract(text, p, 1)
+        raw = F.regexp_extract(text, ascii_words(p), 1)
         value = F.when(raw != "", raw).cast("double")
         out.append(F.when(F.abs(value) <= limit, value))
     return F.coalesce(*out)
@@ -171,7 +180,7 @@ MISSING_DATA_RE = "(?iu)" + "|".join(
 
 
 def missing_data_facts(facts: Column) -> Column:
-    return F.filter(facts, lambda f: f.rlike(MISSING_DATA_RE))
+    return F.filter(facts, lambda f: f.rlike(ascii_words(MISSING_DATA_RE)))
 
 
 def message_conviction(message: Column) -> Column:
@@ -240,7 +249,7 @@ def exhibit_document(names: Column) -> Column:
         F.filter(
             names,
             lambda n: F.lower(n).rlike(r"\.html?$")
-            & F.lower(n).rlike(r"ex(hibit)?[-_]?99[-_.]?1\b|ex(hibit)?991"),
+            & F.lower(n).rlike(r"ex(hibit)?[-_]?99[-_.]?1(?![A-Za-z0-9_])|ex(hibit)?991"),
         ),
         F.lit(0),
     )

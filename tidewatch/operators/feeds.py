@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewatch.functions.text import ascii_words
 from tidewatch.operators.reports import before
 from tidewatch.operators.temporal import first_k
 
@@ -147,7 +148,7 @@ def filing_groups(trades: DataFrame) -> DataFrame:
         F.count("*").alias("n"),
     )
     weighted = F.when((F.col("n") > 1) & (F.col("shares") > 0), F.col("total_value") / F.col("shares"))
-    return out.withColumn("price", F.round(F.coalesce(weighted, "first_price"), 6)).drop("first_price")
+    return out.withColumn("price", F.coalesce(weighted, "first_price")).drop("first_price")
 
 
 def filing_group_members(trades: DataFrame) -> DataFrame:
@@ -207,9 +208,10 @@ def mention_symbols(mentions: DataFrame, symbols: DataFrame) -> DataFrame:
 
     Bodies are tokenised once and joined on the symbol; no pattern per symbol.
     """
-    words = F.regexp_extract_all("body", F.lit(r"\b[A-Z][A-Z0-9]{0,5}\b"), F.lit(0))
+    words = F.regexp_extract_all("body", F.lit(ascii_words(r"\b[A-Z][A-Z0-9]{0,5}\b")), F.lit(0))
     tags = F.transform(
-        F.regexp_extract_all("body", F.lit(r"\$[A-Z][A-Z0-9]{0,5}\b"), F.lit(0)), lambda w: F.substring(w, 2, 6)
+        F.regexp_extract_all("body", F.lit(ascii_words(r"\$[A-Z][A-Z0-9]{0,5}\b")), F.lit(0)),
+        lambda w: F.substring(w, 2, 6),
     )
     exploded = mentions.select("external_id", F.explode(F.array_distinct(F.concat(tags, words))).alias("symbol"))
     return exploded.join(symbols.select("symbol").distinct(), "symbol").select("external_id", "symbol")
