@@ -313,9 +313,14 @@ ANALYSIS_SCHEMA = T.StructType(
 
 
 def parse_analysis(raw: Column) -> Column:
-    """Analysis struct of a model response, code fences removed."""
+    """Analysis struct of a model response, code fences removed; null unless exactly one object.
+
+    Parsed as the only element of an array, so text after the object is an error.
+    """
     opened = F.regexp_replace(raw, r"(?i)^```json?\s*", "")
-    return F.from_json(F.regexp_replace(opened, r"\s*```$", ""), ANALYSIS_SCHEMA)
+    body = F.regexp_replace(opened, r"\s*```$", "")
+    parsed = F.from_json(F.concat(F.lit("["), body, F.lit("]")), T.ArrayType(ANALYSIS_SCHEMA))
+    return F.when(F.size(parsed) == 1, F.get(parsed, F.lit(0)))
 
 
 def valid_analysis(a: Column) -> Column:
