@@ -79,7 +79,7 @@ def asof_join(
     forward = direction == "forward"
     tie_col = F.col(tie) if tie else F.lit(0)
     l_cols = left.columns
-    ls = left.select(*keys, F.col(left_pos).alias("__pos"), F.lit(1).alias("__side"), F.lit(0).alias("__tie"),
+    ls = left.select(*keys, F.col(left_pos).alias("__pos"), F.lit(1).alias("__side"), F.lit(None).alias("__tie"),
                      F.struct(*l_cols).alias("__row"), F.lit(None).alias("__val"))
     rs = right.select(*keys, F.col(right_pos).alias("__pos"), F.lit(0).alias("__side"), tie_col.alias("__tie"),
                       F.lit(None).alias("__row"), F.struct(*values).alias("__val"))
@@ -125,22 +125,65 @@ def flag_first_k(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: in
     return df.join(bound, keys).withColumn(into, position <= F.col("__bound")).drop("__bound")
 
 
+ISLAND_ROWS = 100_000
+
+
 def greedy_accept(
-    df: DataFrame, keys: Sequence[str], pos: str, hold: str, max_hold: int, width: int = DAY_US
+    df: DataFrame,
+    keys: Sequence[str],
+    pos: str,
+    hold: str,
+    max_hold: int,
+    width: int = DAY_US,
+    island_rows: int = ISLAND_ROWS,
 ) -> DataFrame:
     """Rows accepted by a per-key throttle, marked ``accepted``.
 
-    A row is accepted when no accepted row before it still holds, i.e. when
-    ``pos >= p + hold`` for the last accepted ``p``.  ``pos`` must be unique per key.
-    A gap of ``max_hold`` always re-opens the key, so every such row starts a chain;
-    the other accepted rows are found by following each row's pointer "first row at
-    or after my release", doubled every round: log2(longest chain) rounds of equi-joins,
-    whatever the size of a key.
+    A row is accepted when ``pos >= p + hold`` for the last accepted ``p``.  ``pos`` must be
+    unique per key.  A gap of ``max_hold`` always re-opens the key, so a key falls into
+    independent islands.  Islands up to ``island_rows`` are walked in one task each; for
+    larger ones the chain of accepted rows is followed by pointer doubling, so that no
+    task ever holds more than a bounded run of one key.
     """
     keys = list(keys)
-    base = cut_lineage(lag_in_order(df.select(*keys, pos, hold), keys, pos, [pos], width=width))
+    df = cut_lineage(df)
+    rows = lag_in_order(df.select(*keys, pos, hold), keys, pos, [pos], width=width)
     gap = F.col(pos) - F.col("prev")[pos]
-    nodes = base.withColumn("__head", F.col("prev").isNull() | (gap >= max_hold)).drop("prev")
+    rows = rows.withColumn("__head", F.col("prev").isNull() | (gap >= max_hold)).drop("prev")
+    rows = cut_lineage(rows)
+    heads = rows.filter("__head").select(*keys, pos)
+    nodes = asof_join(rows, heads, keys, pos, pos, [pos], "backward", width=width)
+    nodes = cut_lineage(nodes.withColumn("__island", F.col("match")[pos]).drop("match"))
+    island = [*keys, "__island"]
+    big = nodes.groupBy(*island).agg(F.count("*").alias("__n")).filter(F.col("__n") > island_rows).select(*island)
+    big = cut_lineage(big)
+    if big.isEmpty():
+        reached = _walk_islands(nodes, island, pos, hold)
+    else:
+        reached = _walk_islands(nodes.join(big, island, "left_anti"), island, pos, hold).unionByName(
+            _follow_chains(nodes.join(big, island), keys, pos, hold, width)
+        )
+    return df.join(reached.withColumn("__ok", F.lit(True)), [*keys, pos], "left").withColumn(
+        "accepted", F.coalesce("__ok", F.lit(False))
+    ).drop("__ok")
+
+
+def _walk_islands(nodes: DataFrame, island: list[str], pos: str, hold: str) -> DataFrame:
+    def step(state, row):
+        if state and row[0] < state["free"]:
+            return []
+        state["free"] = row[0] + row[1]
+        return [(row[0],)]
+
+    types = dict(nodes.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in [*island, pos])
+    return fold_sorted(nodes.select(*island, pos, hold), island, [pos], step, schema).drop("__island")
+
+
+def _follow_chains(nodes: DataFrame, keys: list[str], pos: str, hold: str, width: int) -> DataFrame:
+    """Accepted rows as chains of "first row at or after my release", doubled every round:
+    log2(longest chain) rounds of equi-joins."""
+    nodes = cut_lineage(nodes)
     linked = asof_join(
         nodes.withColumn("__free", F.col(pos) + F.col(hold)),
         nodes.select(*keys, pos, "__head"),
@@ -154,15 +197,12 @@ def greedy_accept(
     while True:
         hop = cut_lineage(reached.join(jump, [*keys, pos]).select(*keys, F.col("__next").alias(pos)))
         if hop.isEmpty():
-            break
+            return reached
         reached = cut_lineage(reached.unionByName(hop))
         second = jump.select(*keys, F.col(pos).alias("__next"), F.col("__next").alias("__far"))
         jump = cut_lineage(
             jump.join(second, [*keys, "__next"]).select(*keys, pos, F.col("__far").alias("__next"))
         )
-    return df.join(reached.withColumn("__ok", F.lit(True)), [*keys, pos], "left").withColumn(
-        "accepted", F.coalesce("__ok", F.lit(False))
-    ).drop("__ok")
 
 
 def fold_sorted(
