@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -73,14 +73,13 @@ def daily_counter(rows: DataFrame, keys: list[str], ts: str, cap: int, day: Colu
     day = F.to_date(ts) if day is None else day
     keyed = rows.withWatermark(ts, LATENESS).withColumn("__day", day.cast("string"))
     names = [*keys, "__day"]
-    schema = keyed.schema.simpleString()[len("struct<") : -1]
 
     class Counter(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.count = handle.getValueState("count", "n long")
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             import pandas as pd
 
             n = self.count.get()[0] if self.count.exists() else 0
@@ -92,10 +91,10 @@ def daily_counter(rows: DataFrame, keys: list[str], ts: str, cap: int, day: Colu
             self.count.update((n,))
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old)
-            self.handle.registerTimer(timer_values.get_current_watermark_in_ms() + 2 * 86_400_000)
+            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + 2 * 86_400_000)
             yield pd.DataFrame()
 
-        def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             import pandas as pd
 
             self.count.clear()
@@ -104,7 +103,7 @@ def daily_counter(rows: DataFrame, keys: list[str], ts: str, cap: int, day: Colu
         def close(self) -> None:
             pass
 
-    out = keyed.schema.add("allowed", "boolean")
+    out = T.StructType([*keyed.schema.fields, T.StructField("allowed", T.BooleanType())])
     return keyed.groupBy(*names).transformWithStateInPandas(Counter(), out, "Append", "EventTime").drop("__day")
 
 
@@ -116,7 +115,7 @@ def baseline_stream(bars: DataFrame, points_cap: int = 20, min_points: int = 5,
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.state = handle.getValueState("baseline", "avg double, points int, last date")
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             import pandas as pd
 
             avg, points, last = self.state.get() if self.state.exists() else (None, 0, None)
@@ -163,7 +162,7 @@ def correlation_stream(signals: DataFrame, debounce_ms: int = 10_000, keep: int
             self.memo = handle.getValueState("memo", "hash string, ts long, armed long")
             self.claims = handle.getMapState("claims", "pattern string", "free_at long")
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             import pandas as pd
 
             held = list(self.signals.get())
@@ -186,13 +185,13 @@ def correlation_stream(signals: DataFrame, debounce_ms: int = 10_000, keep: int
                 self.handle.registerTimer(first + debounce_ms)
             yield pd.DataFrame()
 
-        def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             import hashlib
             import json
 
             import pandas as pd
 
-            now = expired_timer_info.get_expiry_time_in_ms()
+            now = expiredTimerInfo.getExpiryTimeInMs()
             memo = self.memo.get() if self.memo.exists() else ("", 0, -1)
             held = [tuple(s) for s in self.signals.get()]
             live = [s for s in held if s[4] <= now]
