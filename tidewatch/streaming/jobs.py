@@ -85,6 +85,8 @@ def daily_counter(rows: DataFrame, keys: list[str], ts: str, cap: int, day: Colu
             n = self.count.get()[0] if self.count.exists() else 0
             for pdf in rows:
                 pdf = pdf.sort_values(ts, kind="stable")
+                for name, value in zip(names, key):
+                    pdf[name] = value
                 pdf["allowed"] = [n + i < cap for i in range(len(pdf))]
                 n = min(n + len(pdf), cap)
                 yield pdf
