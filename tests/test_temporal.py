@@ -72,11 +72,12 @@ def test_flag_first_k(spark, points):
     assert {r.id for r in out} == {i for rows in by.values() for _, i in sorted(rows)[:5]}
 
 
-def test_exact_quantiles(spark):
+@pytest.mark.parametrize("small_group", [0, 200_000])
+def test_exact_quantiles(spark, small_group):
     rng = random.Random(3)
     rows = [("hot", 0, "", rng.gauss(0, 1) if i % 4 else 0.25) for i in range(30_000)] + [("small", 0, "", float(v)) for v in (1, 2, 3, 10)]
     df = frame(spark, rows)
-    got = {r.k: (r.q0, r.q1, r.q2) for r in T.exact_quantiles(df, ["k"], "v", [0.01, 0.5, 0.99]).collect()}
+    got = {r.k: (r.q0, r.q1, r.q2) for r in T.exact_quantiles(df, ["k"], "v", [0.01, 0.5, 0.99], small_group=small_group).collect()}
     want = {r.k: tuple(r.q) for r in df.groupBy("k").agg(F.percentile("v", [0.01, 0.5, 0.99]).alias("q")).collect()}
     for k in want:
         assert got[k] == pytest.approx(want[k], abs=1e-12)

@@ -84,35 +84,44 @@ GUIDANCE_PATTERNS = {
 
 
 def guidance_status(text: Column, max_hits: int = 3) -> Column:
-    """Struct of guidance flags; each kind counts its first ``max_hits`` matches."""
-    hits = {
-        k: F.slice(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ascii_words(p)), F.lit(0)), 1, max_hits)
-        for k, p in GUIDANCE_PATTERNS.items()
-    }
-    n = {k: F.size(v) for k, v in hits.items()}
-
-    def fragment(kind: str, label: str) -> Column:
-        first = F.trim(F.substring(F.get(hits[kind], F.lit(0)), 1, 200))
-        return F.when(n[kind] > 0, F.concat(F.lit(label + ": "), first))
-
-    fragments = F.array_compact(
-        F.array(
-            F.coalesce(fragment("affirm_adjusted", "AFFIRMS_ADJUSTED"), fragment("affirm", "AFFIRMS")),
-            F.coalesce(fragment("lower_gaap", "LOWERS_GAAP"), fragment("lower", "LOWERS")),
-            fragment("raise", "RAISES"),
-            fragment("withdraw", "WITHDRAWS"),
-        )
-    )
-    return F.struct(
-        (n["affirm"] > 0).alias("has_affirmation"),
-        (n["affirm_adjusted"] > 0).alias("affirms_adjusted"),
-        (n["lower"] > n["lower_gaap"]).alias("has_lowering"),
-        ((n["lower"] > 0) & (n["lower_gaap"] == n["lower"])).alias("lowers_gaap_only"),
-        (n["raise"] > 0).alias("has_raising"),
-        (n["withdraw"] > 0).alias("has_withdrawal"),
-        fragments.alias("fragments"),
+    """Struct of guidance flags; each kind counts its first ``max_hits`` matches.
+
+    The matches are taken once per text and handed on as a one-element array.
+    """
+    hits = F.struct(
+        *[
+            F.slice(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ascii_words(p)), F.lit(0)), 1, max_hits).alias(k)
+            for k, p in GUIDANCE_PATTERNS.items()
+        ]
     )
 
+    def flags(h: Column) -> Column:
+        n = {k: F.size(h[k]) for k in GUIDANCE_PATTERNS}
+
+        def fragment(kind: str, label: str) -> Column:
+            first = F.trim(F.substring(F.get(h[kind], F.lit(0)), 1, 200))
+            return F.when(n[kind] > 0, F.concat(F.lit(label + ": "), first))
+
+        fragments = F.array_compact(
+            F.array(
+                F.coalesce(fragment("affirm_adjusted", "AFFIRMS_ADJUSTED"), fragment("affirm", "AFFIRMS")),
+                F.coalesce(fragment("lower_gaap", "LOWERS_GAAP"), fragment("lower", "LOWERS")),
+                fragment("raise", "RAISES"),
+                fragment("withdraw", "WITHDRAWS"),
+            )
+        )
+        return F.struct(
+            (n["affirm"] > 0).alias("has_affirmation"),
+            (n["affirm_adjusted"] > 0).alias("affirms_adjusted"),
+            (n["lower"] > n["lower_gaap"]).alias("has_lowering"),
+            ((n["lower"] > 0) & (n["lower_gaap"] == n["lower"])).alias("lowers_gaap_only"),
+            (n["raise"] > 0).alias("has_raising"),
+            (n["withdraw"] > 0).alias("has_withdrawal"),
+            fragments.alias("fragments"),
+        )
+
+    return F.get(F.transform(F.array(hits), flags), F.lit(0))
+
 
 def guidance_floor(status: Column) -> Column:
     """Affirmed and neither withdrawn nor lowered."""

@@ -239,11 +239,14 @@ def moments(
 ) -> DataFrame:
     """n, mean, median, variances and winsorised mean/variance per group, plus ``extra`` aggregates."""
     keys = list(keys)
-    q = exact_quantiles(rows, keys, "ret", [0.01, 0.99] + ([0.5] if median else []))
-    sizes = rows.groupBy(*keys).agg(
-        F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.var_samp("ret").alias("var"),
-        F.stddev_pop("ret").alias("std"), *extra,
+    sizes = cut_lineage(
+        rows.groupBy(*keys).agg(
+            F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.var_samp("ret").alias("var"),
+            F.stddev_pop("ret").alias("std"), *extra,
+        )
     )
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    q = exact_quantiles(rows, keys, "ret", [0.01, 0.99] + ([0.5] if median else []), largest=largest)
     head = cut_lineage(sizes.join(q, keys))
     clip = F.greatest(F.least("ret", "q1"), F.col("q0"))
     clipped = rows.join(head.select(*keys, "n", "q0", "q1"), keys).withColumn(

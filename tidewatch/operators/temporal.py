@@ -243,18 +243,33 @@ def fold_sorted(
     return ordered.mapInPandas(run, schema)
 
 
+SMALL_GROUP = 200_000
+
+
 def exact_quantiles(
-    df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], eps: float = 0.001
+    df: DataFrame,
+    groups: Sequence[str],
+    value: str,
+    probs: Sequence[float],
+    eps: float = 0.001,
+    largest: int | None = None,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group as columns ``q0``, ``q1``, ...
 
-    A mergeable sketch brackets every wanted rank; rows below the bracket are only
+    While the largest group (counted unless given) has at most ``small_group`` rows, one
+    aggregation does it.  Beyond that a mergeable sketch brackets every wanted rank; rows below the bracket are only
     counted and just the bracket (about ``2 * eps`` of the group, equal values merged)
     is ordered.  Groups under ``4 / eps`` rows are ordered whole, larger ones never are.
     """
     groups = list(groups)
     grid = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-eps, eps)})
     rows = df.filter(F.col(value).isNotNull())
+    if largest is None:
+        largest = rows.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
+    if largest <= small_group:
+        exact = rows.groupBy(*groups).agg(F.percentile(value, list(probs)).alias("__q"))
+        return exact.select(*groups, *[F.get("__q", F.lit(i)).alias(f"q{i}") for i in range(len(probs))])
     sketch = rows.groupBy(*groups).agg(
         F.percentile_approx(value, grid, int(10 / eps)).alias("__grid"), F.count("*").alias("__n"),
         F.min(value).alias("__min"), F.max(value).alias("__max"),

@@ -81,8 +81,8 @@ def _scope(t):
 
 
 def _hc_prices(t):
-    keep = _scope(t).select("symbol").distinct()
-    return t.prices.join(keep, "symbol", "left_semi")
+    keep = t.trades.filter("is_healthcare").select("symbol").distinct()
+    return t.stored_prices.join(keep, "symbol", "left_semi")
 
 
 def _random(t):
@@ -90,7 +90,7 @@ def _random(t):
 
 
 def _returns(t):
-    return E.stored_returns(t.trades, t.prices)
+    return E.stored_returns(t.trades, t.stored_prices)
 
 
 def _finish(rows, baselines):
@@ -314,9 +314,9 @@ def h5(t):
 )
 def h6(t):
     clean = E.insider_week_dedup(t.trades)
-    control = t.prices.join(_scope(t).select("symbol").distinct(), "symbol", "left_anti")
+    control = t.stored_prices.join(t.trades.filter("is_healthcare").select("symbol").distinct(), "symbol", "left_anti")
     baselines = (
-        _random(t).unionByName(E.random_baseline(t.prices, 10_000, 42, "random_all"))
+        _random(t).unionByName(E.random_baseline(t.stored_prices, 10_000, 42, "random_all"))
         .unionByName(E.random_baseline(control, 5000, 44, "random_control"))
     )
     return _finish(E.h6_rows(clean, _returns(t), "random_all", "random", "random_control"), baselines)
@@ -413,18 +413,18 @@ _H8_LONG = _long("sel", _h8_groups()) + " UNION ALL " + " UNION ALL ".join(
     sel AS (SELECT e.*, r1, r3, r5, r21 FROM pick e JOIN rt ON e.symbol = rt.symbol AND e.filing_date = rt.date), ev AS ({_H8_LONG}), {_STATS}""",
 )
 def h8(t):
-    return _finish(E.h8_rows(_tiered(t), _returns(t)), E.random_baseline(t.prices, 10_000, 42, "random"))
+    return _finish(E.h8_rows(_tiered(t), _returns(t)), E.random_baseline(t.stored_prices, 10_000, 42, "random"))
 
 
 @query("h8_tier_gate")
 def h8g(t):
-    res = E.horizon_stats(E.h8_rows(_tiered(t), _returns(t)), E.random_baseline(t.prices, 10_000, 42, "random"))
+    res = E.horizon_stats(E.h8_rows(_tiered(t), _returns(t)), E.random_baseline(t.stored_prices, 10_000, 42, "random"))
     return E.tier_gate(E.bonferroni(res))
 
 
 @query("h9_full_run")
 def h9(t):
-    return E.full_run(t.trades, t.prices)
+    return E.full_run(t.trades, t.stored_prices)
 
 
 @query(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.session import pin_utc
+from tidewatch.session import cut_lineage, pin_utc
 from tidewatch.sources.tables import read_table
 
 _RULE = (
@@ -190,6 +190,9 @@ class Tables:
                 self.trades.groupBy("symbol", F.col("transaction_date").alias("date"))
                 .agg(F.min("price_per_share").alias("close"))
             )
+        if name == "stored_prices":  # read several times by one query, so it is derived once
+            self.__dict__[name] = cut_lineage(self.prices)
+            return self.__dict__[name]
         if name == "bars":
             part = self.raw("part")
             daily = (
