@@ -446,3 +446,42 @@ def a28(t):
 def a26(t):
     p = F.when(F.count_if(F.col("transaction_type") == "BUY") > 0, F.min("total_value") / F.max("total_value") / 1000)
     return E.bonferroni(t.trades.groupBy("symbol").agg(p.alias("p_value")))
+
+
+_SIDES = "ev AS (SELECT symbol AS sub_group, transaction_type AS horizon, total_value AS ret FROM trades WHERE transaction_type IN ('BUY', 'SELL'))"
+
+
+@query(
+    "a23_cohens_d", "trades",
+    f"""{_SIDES}, em AS (SELECT sub_group, horizon, count(*) AS n, avg(ret) AS m, var_samp(ret) AS v, quantile_cont(ret, 0.01) AS q0, quantile_cont(ret, 0.99) AS q1 FROM ev GROUP BY ALL),
+    ew AS (SELECT sub_group, horizon, avg(c) AS wm, var_samp(c) AS wv FROM (SELECT ev.*, CASE WHEN n < 10 THEN ret ELSE greatest(least(ret, q1), q0) END AS c FROM ev JOIN em USING (sub_group, horizon)) GROUP BY ALL),
+    s AS (SELECT * FROM em JOIN ew USING (sub_group, horizon)), a AS (SELECT * FROM s WHERE horizon = 'BUY'), z AS (SELECT * FROM s WHERE horizon = 'SELL')
+    SELECT a.sub_group AS symbol, a.n AS n_buy, z.n AS n_sell, CASE WHEN a.n >= 4 AND z.n >= 10 THEN round((a.wm - z.wm) / sqrt(((a.n - 1) * a.wv + (z.n - 1) * z.wv) / (a.n + z.n - 2)), 6) END AS d_winsor,
+    round((a.m - z.m) / sqrt((a.v + z.v) / 2), 6) AS d_raw FROM a JOIN z USING (sub_group)""",
+)
+def a23(t):
+    rows = t.trades.filter("transaction_type IN ('BUY', 'SELL')").select("symbol", "transaction_type", F.col("total_value").alias("ret"))
+    m = E.moments(rows, ["symbol", "transaction_type"], median=False)
+    a, z = (m.filter(F.col("transaction_type") == k).drop("transaction_type") for k in ("BUY", "SELL"))
+    z = z.select("symbol", *[F.col(c).alias(f"z_{c}") for c in z.columns if c != "symbol"])
+    c = F.col
+    d = X.pooled_d(c("w_mean"), c("w_var"), c("n"), c("z_w_mean"), c("z_w_var"), c("z_n"))
+    return a.join(z, "symbol").select(
+        "symbol", c("n").alias("n_buy"), c("z_n").alias("n_sell"), F.round(d, 6).alias("d_winsor"),
+        F.round(X.raw_d(c("mean"), c("var"), c("z_mean"), c("z_var")), 6).alias("d_raw"),
+    )
+
+
+@query(
+    "a21_horizon_stats", "trades prices",
+    f"""{_RT}, {_baseline('rb', 'prices', 5000, 42)}, bl AS ({_unpivot('rb', "'random' AS baseline, symbol")}), pick AS (SELECT * FROM trades WHERE transaction_type IN ('BUY', 'SELL')),
+    sel AS (SELECT e.*, r1, r3, r5, r21 FROM pick e JOIN rt ON e.symbol = rt.symbol AND e.filing_date = rt.date),
+    ev AS ({_long('sel', [('buys', "transaction_type = 'BUY'", 'buy', 'random'), ('sells', "transaction_type = 'SELL'", 'sell', 'random'), ('rare', "total_value > 1249000", 'any', 'random'), ('no_baseline', "is_csuite", 'any', 'none')])}), {_STATS}""",
+)
+def a21(t):
+    events = E.with_returns(t.trades.filter("transaction_type IN ('BUY', 'SELL')"), _returns(t))
+    rows = E.group_rows(events, [
+        ("buys", F.col("transaction_type") == "BUY", "buy", "random"), ("sells", F.col("transaction_type") == "SELL", "sell", "random"),
+        ("rare", F.col("total_value") > 1_249_000, "any", "random"), ("no_baseline", F.col("is_csuite"), "any", "none"),
+    ])
+    return _finish(rows, E.random_baseline(t.stored_prices, 5000, 42, "random"))

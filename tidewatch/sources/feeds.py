@@ -134,42 +134,45 @@ def form4_transactions(docs: DataFrame, study: bool = False) -> DataFrame:
         F.coalesce("d.nonDerivativeTable.nonDerivativeTransaction", F.array()),
         F.coalesce("d.derivativeTable.derivativeTransaction", F.array()),
     )
-    rows = d.select(
+    d = d.select(
         "accession",
         F.when(F.size(owners) == 0, "Unknown").otherwise(X.merge_owner_names(F.coalesce(names, none))).alias("insider_name"),
         F.when(single, F.get(roles, F.lit(0))).otherwise(X.merge_owner_roles(roles)).alias("insider_role"),
         F.coalesce(F.lower(F.trim("d.aff10b5One")).isin("1", "true", "y"), F.lit(False)).alias("doc_plan"),
-        F.posexplode(txns).alias("src", "t"),
+        txns.alias("txns"),
     )
-    t = F.col("t")
-    coding = t["transactionCoding"]
-    number = lambda c: F.expr("try_cast(%s AS DOUBLE)" % c)
-    rows = rows.select(
-        "accession", "insider_name", "insider_role", "doc_plan", "src",
-        coding["transactionCode"].alias("code"),
-        F.coalesce(coding["Rule10b5-1Transaction"], coding["rule10b51Transaction"], F.lit("")).alias("tag"),
-        number("t.transactionAmounts.transactionShares.value").alias("sh"),
-        number("t.transactionAmounts.transactionPricePerShare.value").alias("pr"),
-        number("t.postTransactionAmounts.sharesOwnedFollowingTransaction.value").alias("after"),
-        _date(F.substring("t.transactionDate.value", 1, 10)).alias("transaction_date"),
-    )
-    price = F.col("pr") if study else F.when(F.col("pr") != 0, F.col("pr"))
-    shares = F.abs(F.coalesce("sh", F.lit(0.0)))
-    value = F.coalesce(shares * price, F.lit(0.0))
-    plan = F.col("doc_plan") | F.upper("tag").isin("1", "Y")
-    kept = rows.filter((shares != 0) & F.col("transaction_date").isNotNull())
-    kept = kept.select(
-        "accession", "src", "insider_name", "insider_role", F.coalesce(table[F.col("code")], F.lit("OTHER")).alias("transaction_type"),
-        shares.alias("shares"), price.alias("price_per_share"), (value if study else F.round(value, 2)).alias("total_value"),
-        "transaction_date", plan.alias("is_plan"), F.when(F.col("after") != 0, F.col("after")).alias("shares_after"),
-    )
-    # the stored index counts the kept rows of a document; a document's rows are bounded by the document
-    grouped = kept.groupBy("accession").agg(
-        F.array_sort(F.collect_list(F.struct(*[c for c in kept.columns if c != "accession"]))).alias("rows")
+
+    def fields(t: Column) -> Column:
+        coding, amounts = t["transactionCoding"], t["transactionAmounts"]
+        tag = F.coalesce(coding["Rule10b5-1Transaction"], coding["rule10b51Transaction"], F.lit(""))
+        return F.struct(
+            coding["transactionCode"].alias("code"),
+            F.upper(tag).isin("1", "Y").alias("tag"),
+            F.abs(F.coalesce(amounts["transactionShares"]["value"].try_cast("double"), F.lit(0.0))).alias("shares"),
+            amounts["transactionPricePerShare"]["value"].try_cast("double").alias("price"),
+            t["postTransactionAmounts"]["sharesOwnedFollowingTransaction"]["value"].try_cast("double").alias("after"),
+            _date(F.substring(t["transactionDate"]["value"], 1, 10)).alias("day"),
+        )
+
+    # the stored index counts the kept transactions of a document, so they are filtered before the explode
+    kept = F.filter(F.transform("txns", fields), lambda x: (x["shares"] != 0) & x["day"].isNotNull())
+    rows = d.select("accession", "insider_name", "insider_role", "doc_plan", F.posexplode(kept).alias("idx", "t"))
+    price = F.col("t.price") if study else F.when(F.col("t.price") != 0, F.col("t.price"))
+    value = F.coalesce(F.col("t.shares") * price, F.lit(0.0))
+    return rows.select(
+        F.concat_ws("_", "accession", F.col("idx").cast("string")).alias("accession_number"),
+        "accession",
+        "idx",
+        "insider_name",
+        "insider_role",
+        F.coalesce(table[F.col("t.code")], F.lit("OTHER")).alias("transaction_type"),
+        F.col("t.shares").alias("shares"),
+        price.alias("price_per_share"),
+        (value if study else F.round(value, 2)).alias("total_value"),
+        F.col("t.day").alias("transaction_date"),
+        (F.col("doc_plan") | F.col("t.tag")).alias("is_plan"),
+        F.when(F.col("t.after") != 0, F.col("t.after")).alias("shares_after"),
     )
-    return grouped.select("accession", F.posexplode("rows").alias("idx", "r")).select(
-        F.concat_ws("_", "accession", F.col("idx").cast("string")).alias("accession_number"), "accession", "idx", "r.*"
-    ).drop("src")
 
 
 def calendar_rows(pages: DataFrame) -> DataFrame:
