@@ -8,6 +8,7 @@ from tidewatch.functions import stats as X
 from tidewatch.operators import study as E
 from tidewatch.plans.market_queries import _FWD
 from tidewatch.plans.registry import query
+from tidewatch.session import cut_lineage
 
 H = ("1d", "3d", "7d", "30d")
 # Returns for any (symbol, date) of the filing dates in trades.
@@ -76,12 +77,19 @@ def _stats_sql(selection: str, groups, baselines: str = "") -> str:
       ev AS ({_long('sel', groups)}), {_STATS}"""
 
 
+def _clean(t):
+    """Deduplicated trades; several passes read them, so one query stores them once."""
+    if "clean_trades" not in t.__dict__:
+        t.__dict__["clean_trades"] = cut_lineage(E.insider_week_dedup(t.trades))
+    return t.__dict__["clean_trades"]
+
+
 def _scope(t):
-    return E.insider_week_dedup(t.trades).filter("is_healthcare")
+    return _clean(t).filter("is_healthcare")
 
 
 def _hc_prices(t):
-    keep = t.trades.filter("is_healthcare").select("symbol").distinct()
+    keep = _scope(t).select("symbol").distinct()
     return t.stored_prices.join(keep, "symbol", "left_semi")
 
 
@@ -90,7 +98,8 @@ def _random(t):
 
 
 def _returns(t):
-    return E.stored_returns(t.trades, t.stored_prices)
+    """Returns of the filing days of the deduplicated trades if the query uses them, else of all."""
+    return E.stored_returns(t.__dict__.get("clean_trades", t.trades), t.stored_prices)
 
 
 def _finish(rows, baselines):
@@ -313,8 +322,8 @@ def h5(t):
     ),
 )
 def h6(t):
-    clean = E.insider_week_dedup(t.trades)
-    control = t.stored_prices.join(t.trades.filter("is_healthcare").select("symbol").distinct(), "symbol", "left_anti")
+    clean = _clean(t)
+    control = t.stored_prices.join(_scope(t).select("symbol").distinct(), "symbol", "left_anti")
     baselines = (
         _random(t).unionByName(E.random_baseline(t.stored_prices, 10_000, 42, "random_all"))
         .unionByName(E.random_baseline(control, 5000, 44, "random_control"))
@@ -342,7 +351,7 @@ _DIRECT = """em AS (SELECT sub_group, horizon, count(*) AS n, avg(ret) AS m, med
 )
 def h6d(t):
     hc = F.col("is_healthcare")
-    events = E.with_returns(E.discretionary(E.insider_week_dedup(t.trades), "SELL").filter("is_csuite"), _returns(t))
+    events = E.with_returns(E.discretionary(_clean(t), "SELL").filter("is_csuite"), _returns(t))
     rows = E.group_rows(events, [("healthcare", hc, "sell", ""), ("control", ~hc, "sell", "")])
     return E.direct_compare(rows, "healthcare", "control", 4, with_p=False)
 
@@ -371,18 +380,18 @@ def _h7_sql(cond: str) -> str:
 
 @query("h7_cluster_buy_healthcare", "trades prices", _h7_sql("is_healthcare"), recursive=True)
 def h7(t):
-    return E.direct_compare(E.h7_rows(E.insider_week_dedup(t.trades), _returns(t), True), "cluster", "single", 3, with_p=False)
+    return E.direct_compare(E.h7_rows(_clean(t), _returns(t), True), "cluster", "single", 3, with_p=False)
 
 
 @query("h7_cluster_buy_full", "trades prices", _h7_sql("true"), recursive=True)
 def h7b(t):
-    return E.direct_compare(E.h7_rows(E.insider_week_dedup(t.trades), _returns(t), False), "cluster", "single", 3, with_p=False)
+    return E.direct_compare(E.h7_rows(_clean(t), _returns(t), False), "cluster", "single", 3, with_p=False)
 
 
 @query("m27_cluster_verdict")
 def m27(t):
     parts = []
-    clean, returns = E.insider_week_dedup(t.trades), _returns(t)
+    clean, returns = _clean(t), _returns(t)
     for scope, only in (("healthcare", True), ("full_universe", False)):
         cmp = E.direct_compare(E.h7_rows(clean, returns, only), "cluster", "single", 3)
         parts.append(E.h7_verdict(cmp).withColumn("scope", F.lit(scope)))
@@ -391,7 +400,7 @@ def m27(t):
 
 def _tiered(t):
     tier = F.when(F.col("shares") >= 25, "strict").otherwise("stretch")
-    return E.insider_week_dedup(t.trades).withColumn("tier", tier)
+    return _clean(t).withColumn("tier", tier)
 
 
 def _h8_groups():
