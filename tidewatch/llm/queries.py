@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import exact_dedup, near_dedup
+from tidewatch.llm import bpe, exact_dedup, mixing, near_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,8 +29,21 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES["op2_hyperminhash"] = op2_hyperminhash
 QUERIES["op5_exact_dedup"] = op5_exact_dedup
+QUERIES["op6_bpe_automaton"] = op6_bpe_automaton
+QUERIES["op8_source_mix"] = op8_source_mix
 
 # DuckDB: lower-case A-Z only, by translate
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -39,3 +52,29 @@ ORACLES["op5_exact_dedup"] = f"""
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, {_ASCII_LOWER} AS t FROM documents) WINDOW w AS (PARTITION BY t)
 """
+
+ORACLES["op8_source_mix"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS key
+  FROM documents),
+sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM sized GROUP BY source),
+ranked AS (
+  SELECT *, 3 * source_size AS cap, row_number() OVER (ORDER BY CAST(3 * source_size AS DOUBLE) / weight, source NULLS LAST) AS nth FROM sources),
+levels AS (
+  SELECT a.nth, CAST((SELECT sum(source_size) FROM ranked) - coalesce((SELECT sum(b.cap) FROM ranked b WHERE b.nth < a.nth), 0) AS DOUBLE)
+    / CAST((SELECT sum(b.weight) FROM ranked b WHERE b.nth >= a.nth) AS DOUBLE) AS level, CAST(a.cap AS DOUBLE) / a.weight AS ratio
+  FROM ranked a),
+goal AS (
+  SELECT source, source_size, least(CAST(cap AS DOUBLE), (SELECT level FROM levels WHERE level <= ratio ORDER BY nth LIMIT 1) * weight) AS target
+  FROM ranked),
+summed AS (
+  SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS budget,
+    coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier
+  FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+  CAST(CASE WHEN source_size > 0 THEN (budget // source_size) * size + greatest(0, least(size, budget % source_size - earlier)) ELSE 0 END AS BIGINT) AS taken
+FROM summed
+"""
