@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, exact_dedup, mixing, near_dedup
+from tidewatch.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,10 +40,15 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_documents(spark, sf_dir), _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 QUERIES["op2_hyperminhash"] = op2_hyperminhash
 QUERIES["op5_exact_dedup"] = op5_exact_dedup
 QUERIES["op6_bpe_automaton"] = op6_bpe_automaton
 QUERIES["op8_source_mix"] = op8_source_mix
+QUERIES["op10_toxicity"] = op10_toxicity
 
 # DuckDB: lower-case A-Z only, by translate
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
