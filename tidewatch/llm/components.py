@@ -16,7 +16,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     left = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     left = cut_lineage(left)
-    roots = None
+    nodes = left.select("a").union(left.select("b")).distinct()
+    roots = nodes.select(F.col("a").alias("node"), F.col("a").alias("root"))
     while not left.isEmpty():
         # each tree hooks to its smallest neighbour; parents are smaller than children, so there is no cycle
         hooks = cut_lineage(left.groupBy("a").agg(F.min("b").alias("parent")))
@@ -28,16 +29,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             hooks = cut_lineage(stepped.select("a", F.coalesce("grand", "parent").alias("parent")))
         # carry the hooks over to the nodes found so far, and the edges over to the new roots
         new = hooks.select(F.col("a").alias("old"), F.col("parent").alias("new"))
-        if roots is None:
-            tops = hooks.select(F.col("parent").alias("node")).distinct().withColumn("root", F.col("node"))
-            roots = hooks.select(F.col("a").alias("node"), F.col("parent").alias("root")).union(tops)
-        else:
-            roots = roots.join(new, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
+        roots = roots.join(new, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
         roots = cut_lineage(roots)
         moved = left
         for end in ("a", "b"):
             moved = moved.join(new, F.col(end) == F.col("old"), "left").withColumn(end, F.coalesce("new", end)).drop("old", "new")
         left = cut_lineage(moved.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if roots is None:
-        return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
     return roots
