@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, functions as F, SparkSession
 
-from tidewatch.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
+from tidewatch.llm import bpe, exact_dedup, mixing, near_dedup, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,11 @@ def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.remove_repeats(_documents(spark, sf_dir))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -47,6 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op2_hyperminhash"] = op2_hyperminhash
 QUERIES["op5_exact_dedup"] = op5_exact_dedup
 QUERIES["op6_bpe_automaton"] = op6_bpe_automaton
+QUERIES["op7_maximal_repeats"] = op7_maximal_repeats
 QUERIES["op8_source_mix"] = op8_source_mix
 QUERIES["op10_toxicity"] = op10_toxicity
 
