@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F, SparkSession
 
-from tidewatch.llm import bpe, exact_dedup, mixing, near_dedup, substring_dedup, toxicity
+from tidewatch.llm import bpe, exact_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_documents(spark, sf_dir), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op2_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir), size=2)
 
@@ -49,6 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_documents(spark, sf_dir), _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+QUERIES["op1_quality_gam"] = op1_quality_gam
 QUERIES["op2_hyperminhash"] = op2_hyperminhash
 QUERIES["op5_exact_dedup"] = op5_exact_dedup
 QUERIES["op6_bpe_automaton"] = op6_bpe_automaton
