@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F, SparkSession
 
+import corpus_pipeline
 from tidewatch.llm import bpe, exact_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +61,7 @@ QUERIES["op6_bpe_automaton"] = op6_bpe_automaton
 QUERIES["op7_maximal_repeats"] = op7_maximal_repeats
 QUERIES["op8_source_mix"] = op8_source_mix
 QUERIES["op10_toxicity"] = op10_toxicity
+QUERIES["pipeline"] = corpus_pipeline.run
 
 # DuckDB: lower-case A-Z only, by translate
 _ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
