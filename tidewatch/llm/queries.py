@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F, SparkSession
 
 import corpus_pipeline
-from tidewatch.llm import bpe, exact_dedup, mixing, near_dedup, quality, substring_dedup, toxicity
+from tidewatch.llm import bpe, exact_dedup, mixing, near_dedup, order_minhash, quality, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,11 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = order_minhash.order_fingerprints(_documents(spark, sf_dir))
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_documents(spark, sf_dir), _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
@@ -60,6 +65,7 @@ QUERIES["op5_exact_dedup"] = op5_exact_dedup
 QUERIES["op6_bpe_automaton"] = op6_bpe_automaton
 QUERIES["op7_maximal_repeats"] = op7_maximal_repeats
 QUERIES["op8_source_mix"] = op8_source_mix
+QUERIES["op9_order_minhash"] = op9_order_minhash
 QUERIES["op10_toxicity"] = op10_toxicity
 QUERIES["pipeline"] = corpus_pipeline.run
 
