@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F, SparkSession
 
 import corpus_pipeline
-from tidewatch.llm import bpe, exact_dedup, mixing, near_dedup, order_minhash, quality, substring_dedup, toxicity
+from tidewatch.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, order_minhash, quality, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,11 @@ def op2_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir), size=2)
 
 
+def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.remove_repeated_lines(_documents(spark, sf_dir))
+    return rows.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_duplicates(_documents(spark, sf_dir))
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -61,6 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op1_quality_gam"] = op1_quality_gam
 QUERIES["op2_hyperminhash"] = op2_hyperminhash
+QUERIES["op4_line_runs"] = op4_line_runs
 QUERIES["op5_exact_dedup"] = op5_exact_dedup
 QUERIES["op6_bpe_automaton"] = op6_bpe_automaton
 QUERIES["op7_maximal_repeats"] = op7_maximal_repeats
@@ -102,3 +108,16 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(CASE WHEN source_size > 0 THEN (budget // source_size) * size + greatest(0, least(size, budget % source_size - earlier)) ELSE 0 END AS BIGINT) AS taken
 FROM summed
 """
+
+ORACLES["op4_line_runs"] = """
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+runs AS (SELECT doc_id, i, ls[i] || chr(10) || ls[i + 1] AS run FROM (SELECT doc_id, ls, unnest(range(1, len(ls))) AS i FROM split)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth FROM runs) WHERE nth > 1),
+covered AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM later),
+marked AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE fresh) AS n_runs, list(i) AS gone
+  FROM (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 1, true) AS fresh FROM covered) GROUP BY doc_id)
+SELECT doc_id, len(ls) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+  sha256(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: gone IS NULL OR NOT list_contains(gone, i)), lambda i: ls[i]), chr(10))) AS kept_sha256
+FROM split LEFT JOIN marked USING (doc_id)
+"""
