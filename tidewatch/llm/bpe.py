@@ -30,9 +30,9 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KNOWN_WORDS = 400_000  # encoded words a worker remembers before it starts anew
-KNOWN_ARCS = 2_000_000
-KNOWN_PREFIXES = 1_000_000
+KNOWN_WORDS = 150_000  # encoded words a worker remembers before it starts anew
+KNOWN_ARCS = 300_000
+KNOWN_PREFIXES = 300_000
 SHORT = 24  # bytes of a word up to which its prefixes are remembered
 
 

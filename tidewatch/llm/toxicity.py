@@ -32,7 +32,7 @@ THRESHOLD = 0.7
 WINDOW = 8  # words on either side of a match
 MAX_TERMS, CANDIDATES = 200, 1500
 STEMS = range(3, 8)  # letters of a stem
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 OPEN, CLOSE = "“«„", "”»"
 # words of address and of reporting in the languages of the texts
 ADDRESS = frozenset("you your youre yourself u ur thou tu te toi vous votre ton ta du dich dir dein deine ihr euch usted ustedes eres vosotros".split())
