@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F, SparkSession
 
 import corpus_pipeline
-from tidewatch.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, order_minhash, quality, substring_dedup, toxicity
+from tidewatch.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, order_minhash, pii, quality, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,11 @@ def op2_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir), size=2)
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.replace_entities(_documents(spark, sf_dir), key="surrogate key of the registered query")
+    return rows.select("doc_id", "n_entities", F.array_join("kinds", " ").alias("kinds"), "text")
+
+
 def op4_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.remove_repeated_lines(_documents(spark, sf_dir))
     return rows.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
@@ -66,6 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op1_quality_gam"] = op1_quality_gam
 QUERIES["op2_hyperminhash"] = op2_hyperminhash
+QUERIES["op3_surrogates"] = op3_surrogates
 QUERIES["op4_line_runs"] = op4_line_runs
 QUERIES["op5_exact_dedup"] = op5_exact_dedup
 QUERIES["op6_bpe_automaton"] = op6_bpe_automaton
