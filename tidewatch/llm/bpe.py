@@ -26,10 +26,12 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ROWS = 256  # texts worked on at a time
 KNOWN_WORDS = 150_000  # encoded words a worker remembers before it starts anew
 KNOWN_ARCS = 300_000
 KNOWN_PREFIXES = 300_000
@@ -206,16 +208,20 @@ def encode(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids array<int>[, decoded string]) per row; ``path``: tokenizer file, read on the driver only."""
     source = docs.sparkSession.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))  # a file of fixed size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, words = _compiled(source.value)
-        for batch in batches:
-            codes = [encode_text(automaton, words, t) for t in batch["text"]]
-            out = {"doc_id": batch["doc_id"], "n_tokens": [len(c) // 4 for c in codes], "ids": [np.frombuffer(c, "<i4") for c in codes]}
-            if decoded:
-                out["decoded"] = [decode_ids(automaton, c).decode("utf-8", "replace") for c in codes]
-            yield pd.DataFrame(out).astype({"doc_id": "Int64"})
+        for whole in batches:
+            for batch in (whole.slice(k, ROWS) for k in range(0, whole.num_rows, ROWS)):
+                codes = [encode_text(automaton, words, t) for t in batch.column("text").to_pylist()]
+                sizes = np.array([len(c) // 4 for c in codes], np.int64)
+                values = pa.array(np.frombuffer(b"".join(codes), "<i4"))
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), values)
+                out = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(sizes), "ids": ids}
+                if decoded:
+                    out["decoded"] = pa.array([decode_ids(automaton, c).decode("utf-8", "replace") for c in codes], pa.string())
+                yield pa.RecordBatch.from_pydict(out)
 
-    return _texts(docs).mapInPandas(run, "doc_id long, n_tokens long, ids array<int>" + ", decoded string" * decoded)
+    return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>" + ", decoded string" * decoded)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -224,17 +230,18 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton, words = _compiled(source.value)
-        for batch in batches:
-            codes = [encode_text(automaton, words, t) for t in batch["text"]]
-            texts = [decode_ids(automaton, c).decode("utf-8", "replace").encode() for c in codes]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "n_tokens": [len(c) // 4 for c in codes],
-                    "ids_sha256": [hashlib.sha256(c).hexdigest() for c in codes],
-                    "decoded_sha256": [hashlib.sha256(t).hexdigest() for t in texts],
-                }
-            ).astype({"doc_id": "Int64"})
+        for whole in batches:
+            for batch in (whole.iloc[k : k + ROWS] for k in range(0, len(whole), ROWS)):
+                codes = [encode_text(automaton, words, t) for t in batch["text"]]
+                texts = [decode_ids(automaton, c).decode("utf-8", "replace").encode() for c in codes]
+                yield pd.DataFrame(
+                    {
+                        "doc_id": batch["doc_id"],
+                        "n_tokens": [len(c) // 4 for c in codes],
+                        "ids_sha256": [hashlib.sha256(c).hexdigest() for c in codes],
+                        "decoded_sha256": [hashlib.sha256(t).hexdigest() for t in texts],
+                    }
+                ).astype({"doc_id": "Int64"})
 
     return _texts(docs).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
