@@ -150,10 +150,11 @@ def exact_duplicates(docs: DataFrame, owner_bits: int | None = None) -> DataFram
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    order = Window.partitionBy("text_sha256", "doc_id").orderBy("raw")
+    # repeated rows are numbered before the join, so that a large group stays spread by id
+    order = Window.partitionBy("doc_id", "text_sha256").orderBy("raw")
     decided = (
-        suspects.join(groups, "text_sha256")
-        .withColumn("nth", F.row_number().over(order))
+        suspects.withColumn("nth", F.row_number().over(order))
+        .join(groups, "text_sha256")
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1))
     )
     columns = ["doc_id", "raw", "text_sha256", "keep_id", "group_size", "kept"]
