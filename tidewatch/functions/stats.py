@@ -59,14 +59,15 @@ def two_sided_p(t: Column, df: Column) -> Column:
                 c = 1 + num / c
                 c = np.where(np.abs(c) < tiny, tiny, c)
                 h = h * d * c
-            if np.all(np.abs(d * c - 1) < 1e-15):
+            settled = np.abs(d * c - 1) < 1e-15
+            if np.all(settled):
                 break
         lgamma = np.vectorize(math.lgamma, otypes=[float])
         with np.errstate(divide="ignore"):
             log_front = lgamma(p + q) - lgamma(p) - lgamma(q) + p * np.log(z) + q * np.log1p(-z)
         front = np.where(z > 0, np.exp(log_front) / p * h, 0.0)
         out = np.where(swap, 1 - front, front)
-        return pd.Series(np.where(known, np.clip(out, 0.0, 1.0), np.nan))
+        return pd.Series(np.where(known & settled, np.clip(out, 0.0, 1.0), np.nan))
 
     udf = F.pandas_udf(p_value, "double")
     p = udf(t, df)

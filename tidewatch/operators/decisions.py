@@ -202,9 +202,9 @@ def log_meta(logs: DataFrame) -> DataFrame:
 
 # Healthcare SIC codes of the discovery funnel, and the smaller set of the universe check.
 HEALTHCARE_SIC = (
-    "2833 2834 2835 2836 3826 3841 3842 3843 3844 3845 3851 5047 5122 6324 8000 8011 8049 8050 8051 8060 8062 8071 8082 8090 "
-    "8093 8099 8731"
-).split()
+    "2833", "2834", "2835", "2836", "3826", "3841", "3842", "3843", "3844", "3845", "3851", "5047", "5122", "6324",
+    "8000", "8011", "8049", "8050", "8051", "8060", "8062", "8071", "8082", "8090", "8093", "8099", "8731",
+)
 
 
 def issuer_eligibility(filings: DataFrame, issuers: DataFrame, codes: Sequence[str] = HEALTHCARE_SIC) -> DataFrame:

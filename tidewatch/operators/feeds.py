@@ -208,12 +208,13 @@ def mention_symbols(mentions: DataFrame, symbols: DataFrame) -> DataFrame:
 
     Bodies are tokenised once and joined on the symbol; no pattern per symbol.
     """
-    words = F.regexp_extract_all("body", F.lit(ascii_words(r"\b[A-Z][A-Z0-9]{0,5}\b")), F.lit(0))
+    words = F.regexp_extract_all("body", F.lit(ascii_words(r"\b[A-Z][A-Z0-9]*\b")), F.lit(0))
+    dotted = F.regexp_extract_all("body", F.lit(ascii_words(r"\b[A-Z][A-Z0-9]*(?:[.-][A-Z0-9]+)+\b")), F.lit(0))
     tags = F.transform(
         F.regexp_extract_all("body", F.lit(ascii_words(r"\$[A-Z][A-Z0-9]{0,5}\b")), F.lit(0)),
         lambda w: F.substring(w, 2, 6),
     )
-    exploded = mentions.select("external_id", F.explode(F.array_distinct(F.concat(tags, words))).alias("symbol"))
+    exploded = mentions.select("external_id", F.explode(F.array_distinct(F.concat(tags, words, dotted))).alias("symbol"))
     return exploded.join(symbols.select("symbol").distinct(), "symbol").select("external_id", "symbol")
 
 

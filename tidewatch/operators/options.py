@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions import scoring as S
 from tidewatch.functions.calendar import days_to_expiry
-from tidewatch.operators.temporal import asof_join, first_k, fold_sorted
+from tidewatch.operators.temporal import asof_join, first_k, fold_sorted, join_same
 
 
 def screened_contracts(contracts: DataFrame, now: Column) -> DataFrame:
@@ -81,7 +81,7 @@ def catalyst_boost(rows: DataFrame, catalysts: DataFrame, day: str, days: int =
     dim = next_event.select(
         "symbol", F.col("__day").alias(day), F.when(near, F.col("match.event_date")).alias("next_catalyst")
     )
-    return rows.join(dim, ["symbol", day]).withColumn("boosted", F.col("next_catalyst").isNotNull())
+    return join_same(rows, dim, ["symbol", day]).withColumn("boosted", F.col("next_catalyst").isNotNull())
 
 
 def scored_flows(flows: DataFrame) -> DataFrame:

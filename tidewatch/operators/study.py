@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions import scoring as S, stats as X
 from tidewatch.operators.outcomes import HORIZONS, day_returns, dip_days
-from tidewatch.operators.temporal import exact_quantiles, first_k, fold_sorted, interval_join
+from tidewatch.operators.temporal import exact_quantiles, first_k, fold_sorted, interval_join, join_same
 from tidewatch.session import cut_lineage
 
 WINDOW_DAYS, MIN_INSIDERS = 7, 2
@@ -230,7 +230,7 @@ def winsorize(rows: DataFrame, keys: Sequence[str], value: str = "ret", pct: flo
     bounds = exact_quantiles(rows, keys, value, [pct, 1 - pct])
     sizes = rows.groupBy(*keys).agg(F.count(value).alias("__n"))
     clip = F.greatest(F.least(F.col(value), F.col("q1")), F.col("q0"))
-    joined = rows.join(bounds.join(sizes, keys), keys)
+    joined = join_same(rows, join_same(bounds, sizes, keys), keys)
     return joined.withColumn("clipped", F.when(F.col("__n") < min_n, F.col(value)).otherwise(clip)).drop("q0", "q1", "__n")
 
 
@@ -239,21 +239,17 @@ def moments(
 ) -> DataFrame:
     """n, mean, median, variances and winsorised mean/variance per group, plus ``extra`` aggregates."""
     keys = list(keys)
-    sizes = cut_lineage(
-        rows.groupBy(*keys).agg(
-            F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.var_samp("ret").alias("var"),
-            F.stddev_pop("ret").alias("std"), *extra,
-        )
+    sizes = rows.groupBy(*keys).agg(
+        F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.var_samp("ret").alias("var"), F.stddev_pop("ret").alias("std"), *extra
     )
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    q = exact_quantiles(rows, keys, "ret", [0.01, 0.99] + ([0.5] if median else []), largest=largest)
-    head = cut_lineage(sizes.join(q, keys))
+    q = exact_quantiles(rows, keys, "ret", [0.01, 0.99] + ([0.5] if median else []))
+    head = cut_lineage(join_same(sizes, q, keys, "left"))  # a few rows per group, read twice
     clip = F.greatest(F.least("ret", "q1"), F.col("q0"))
-    clipped = rows.join(head.select(*keys, "n", "q0", "q1"), keys).withColumn(
+    clipped = join_same(rows, head.select(*keys, "n", "q0", "q1"), keys).withColumn(
         "c", F.when(F.col("n") < 10, F.col("ret")).otherwise(clip)
     )
     w = clipped.groupBy(*keys).agg(F.avg("c").alias("w_mean"), F.var_samp("c").alias("w_var"))
-    out = head.join(w, keys).drop("q0", "q1")
+    out = join_same(head, w, keys).drop("q0", "q1")
     return out.withColumnRenamed("q2", "median") if median else out
 
 

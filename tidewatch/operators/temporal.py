@@ -27,6 +27,13 @@ def from_micros(us: Column) -> Column:
     return F.timestamp_micros(us).cast("timestamp_ntz")
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys equal each other; the right side's keys are dropped."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    condition = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def _chunk(pos: str, width: int) -> Column:
     return F.floor(F.col(pos) / F.lit(width))
 
@@ -40,7 +47,10 @@ def lag_in_order(
     width: int = DAY_US,
     into: str = "prev",
 ) -> DataFrame:
-    """``values`` of the preceding row of the key as struct ``into`` (null on the first row)."""
+    """``values`` of the preceding row of the key as struct ``into`` (null on the first row).
+
+    A null key is a key like any other; rows without a position come first in their key.
+    """
     keys = list(keys)
     order = [F.col(c) for c in (pos, *tie)]
     packed = F.struct(*values)
@@ -50,8 +60,7 @@ def lag_in_order(
     across = Window.partitionBy(*keys).orderBy("__chunk")
     carry = last.select(*keys, "__chunk", F.lag("__last").over(across).alias("__carry"))
     return (
-        df.withColumn("__prev", F.lag(packed).over(inner))
-        .join(carry, [*keys, "__chunk"])
+        join_same(df.withColumn("__prev", F.lag(packed).over(inner)), carry, [*keys, "__chunk"])
         .withColumn(into, F.coalesce("__prev", "__carry"))
         .drop("__chunk", "__prev", "__carry")
     )
@@ -74,6 +83,7 @@ def asof_join(
     Both sides are unioned and swept once; a right row at the same position matches.
     ``into`` is a struct of ``values`` and null without a match.  ``width=None`` sweeps a
     whole key at once, for inputs with at most one row per key and calendar day.
+    Null keys match each other; a row without a position has no match and is none, and every left row stays.
     """
     keys = list(keys)
     forward = direction == "forward"
@@ -83,7 +93,7 @@ def asof_join(
                      F.struct(*l_cols).alias("__row"), F.lit(None).alias("__val"))
     rs = right.select(*keys, F.col(right_pos).alias("__pos"), F.lit(0).alias("__side"), tie_col.alias("__tie"),
                       F.lit(None).alias("__row"), F.struct(*values).alias("__val"))
-    both = ls.unionByName(rs).withColumn("__chunk", _chunk("__pos", width) if width else F.lit(0))
+    both = ls.unionByName(rs.filter("__pos IS NOT NULL")).withColumn("__chunk", _chunk("__pos", width) if width else F.lit(0))
 
     pos, tied = (F.desc("__pos"), F.desc("__tie")) if forward else (F.asc("__pos"), F.asc("__tie"))
     part = [*keys, "__chunk"] if width else keys
@@ -91,8 +101,9 @@ def asof_join(
         Window.unboundedPreceding, Window.currentRow
     )
     swept = both.withColumn("__hit", F.last("__val", ignorenulls=True).over(inner)).filter("__side = 1")
+    placed = F.col("__pos").isNotNull()
     if not width:
-        return swept.select("__row.*", F.col("__hit").alias(into))
+        return swept.select("__row.*", F.when(placed, F.col("__hit")).alias(into))
 
     edge = F.min_by if forward else F.max_by
     rank = F.when(F.col("__side") == 0, F.struct("__pos", "__tie"))
@@ -100,11 +111,8 @@ def asof_join(
     chunk_order = F.desc("__chunk") if forward else F.asc("__chunk")
     across = Window.partitionBy(*keys).orderBy(chunk_order).rowsBetween(Window.unboundedPreceding, -1)
     carry = summary.select(*keys, "__chunk", F.last("__edge", ignorenulls=True).over(across).alias("__carry"))
-    return (
-        swept.select(*keys, "__chunk", "__row", "__hit")
-        .join(carry, [*keys, "__chunk"])
-        .select("__row.*", F.coalesce("__hit", "__carry").alias(into))
-    )
+    hit = F.when(placed, F.coalesce("__hit", "__carry"))
+    return join_same(swept.select(*keys, "__chunk", "__pos", "__row", "__hit"), carry, [*keys, "__chunk"]).select("__row.*", hit.alias(into))
 
 
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
@@ -122,10 +130,7 @@ def flag_first_k(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: in
     position = F.struct(*order)
     head = first_k(df.select(*keys, *[c for c in order if c not in keys]), keys, [F.col(c) for c in order], k)
     bound = head.groupBy(*keys).agg(F.max(position).alias("__bound"))
-    return df.join(bound, keys).withColumn(into, position <= F.col("__bound")).drop("__bound")
-
-
-ISLAND_ROWS = 100_000
+    return join_same(df, bound, keys).withColumn(into, position <= F.col("__bound")).drop("__bound")
 
 
 def greedy_accept(
@@ -135,74 +140,37 @@ def greedy_accept(
     hold: str,
     max_hold: int,
     width: int = DAY_US,
-    island_rows: int = ISLAND_ROWS,
 ) -> DataFrame:
     """Rows accepted by a per-key throttle, marked ``accepted``.
 
-    A row is accepted when ``pos >= p + hold`` for the last accepted ``p``.  ``pos`` must be
-    unique per key.  A gap of ``max_hold`` always re-opens the key, so a key falls into
-    independent islands.  Islands up to ``island_rows`` are walked in one task each; for
-    larger ones the chain of accepted rows is followed by pointer doubling, so that no
-    task ever holds more than a bounded run of one key.
+    A row is accepted when ``pos >= p + hold`` for the last accepted ``p``.  ``pos`` must be unique per key; a row without a
+    position is not accepted, a null key is a key like any other.  A gap of ``max_hold`` always re-opens the key.  From each such
+    row the chain "first row at or after my release" is followed by pointer doubling: log2(longest chain) rounds of
+    equi-joins, whatever the size of a key.
     """
     keys = list(keys)
-    df = cut_lineage(df)
-    rows = lag_in_order(df.select(*keys, pos, hold), keys, pos, [pos], width=width)
+    rows = df.select(*keys, pos, hold).filter(F.col(pos).isNotNull())
     gap = F.col(pos) - F.col("prev")[pos]
+    rows = lag_in_order(rows, keys, pos, [pos], width=width)
     rows = rows.withColumn("__head", F.col("prev").isNull() | (gap >= max_hold)).drop("prev")
-    rows = cut_lineage(rows)
-    heads = rows.filter("__head").select(*keys, pos)
-    nodes = asof_join(rows, heads, keys, pos, pos, [pos], "backward", width=width)
-    nodes = cut_lineage(nodes.withColumn("__island", F.col("match")[pos]).drop("match"))
-    island = [*keys, "__island"]
-    big = nodes.groupBy(*island).agg(F.count("*").alias("__n")).filter(F.col("__n") > island_rows).select(*island)
-    big = cut_lineage(big)
-    if big.isEmpty():
-        reached = _walk_islands(nodes, island, pos, hold)
-    else:
-        reached = _walk_islands(nodes.join(big, island, "left_anti"), island, pos, hold).unionByName(
-            _follow_chains(nodes.join(big, island), keys, pos, hold, width)
-        )
-    return df.join(reached.withColumn("__ok", F.lit(True)), [*keys, pos], "left").withColumn(
-        "accepted", F.coalesce("__ok", F.lit(False))
-    ).drop("__ok")
-
-
-def _walk_islands(nodes: DataFrame, island: list[str], pos: str, hold: str) -> DataFrame:
-    def step(state, row):
-        if state and row[0] < state["free"]:
-            return []
-        state["free"] = row[0] + row[1]
-        return [(row[0],)]
-
-    types = dict(nodes.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in [*island, pos])
-    return fold_sorted(nodes.select(*island, pos, hold), island, [pos], step, schema).drop("__island")
-
-
-def _follow_chains(nodes: DataFrame, keys: list[str], pos: str, hold: str, width: int) -> DataFrame:
-    """Accepted rows as chains of "first row at or after my release", doubled every round:
-    log2(longest chain) rounds of equi-joins."""
-    nodes = cut_lineage(nodes)
     linked = asof_join(
-        nodes.withColumn("__free", F.col(pos) + F.col(hold)),
-        nodes.select(*keys, pos, "__head"),
+        rows.withColumn("__free", F.col(pos) + F.col(hold)),
+        rows.select(*keys, pos, "__head"),
         keys, "__free", pos, [pos, "__head"], "forward", width=width,
     )
-    jump = cut_lineage(
-        linked.filter(F.col("match").isNotNull() & ~F.col("match")["__head"])
-        .select(*keys, pos, F.col("match")[pos].alias("__next"))
-    )
+    nodes = cut_lineage(linked.select(*keys, pos, "__head", F.col("match")[pos].alias("__next"), F.col("match")["__head"].alias("__stop")))
+    jump = nodes.filter("__next IS NOT NULL AND NOT __stop").select(*keys, pos, "__next")
     reached = nodes.filter("__head").select(*keys, pos)
     while True:
-        hop = cut_lineage(reached.join(jump, [*keys, pos]).select(*keys, F.col("__next").alias(pos)))
+        hop = cut_lineage(join_same(reached, jump, [*keys, pos]).select(*keys, F.col("__next").alias(pos)))
         if hop.isEmpty():
-            return reached
-        reached = cut_lineage(reached.unionByName(hop))
+            break
+        reached = reached.unionByName(hop)
         second = jump.select(*keys, F.col(pos).alias("__next"), F.col("__next").alias("__far"))
-        jump = cut_lineage(
-            jump.join(second, [*keys, "__next"]).select(*keys, pos, F.col("__far").alias("__next"))
-        )
+        jump = cut_lineage(join_same(jump, second, [*keys, "__next"]).select(*keys, pos, F.col("__far").alias("__next")))
+    return join_same(df, reached.withColumn("__ok", F.lit(True)), [*keys, pos], "left").withColumn(
+        "accepted", F.coalesce("__ok", F.lit(False))
+    ).drop("__ok")
 
 
 def fold_sorted(
@@ -230,6 +198,7 @@ def fold_sorted(
         for pdf in batches:
             out: list[tuple] = []
             for row in zip(*(pdf[c].tolist() for c in cols)):
+                row = tuple(None if v != v else v for v in row[:nk]) + row[nk:]  # NaN stands for a null number
                 if row[:nk] != current:
                     if current is not None and finish:
                         out.extend(current + r for r in finish(state))
@@ -243,33 +212,16 @@ def fold_sorted(
     return ordered.mapInPandas(run, schema)
 
 
-SMALL_GROUP = 200_000
-
-
-def exact_quantiles(
-    df: DataFrame,
-    groups: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    eps: float = 0.001,
-    largest: int | None = None,
-    small_group: int = SMALL_GROUP,
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], eps: float = 0.001) -> DataFrame:
     """Exact linear-interpolation quantiles per group as columns ``q0``, ``q1``, ...
 
-    While the largest group (counted unless given) has at most ``small_group`` rows, one
-    aggregation does it.  Beyond that a mergeable sketch brackets every wanted rank; rows below the bracket are only
-    counted and just the bracket (about ``2 * eps`` of the group, equal values merged)
-    is ordered.  Groups under ``4 / eps`` rows are ordered whole, larger ones never are.
+    A mergeable sketch brackets every wanted rank; rows below the bracket are only counted and just the bracket (about
+    ``2 * eps`` of the group, equal values merged) is ordered.  Groups under ``4 / eps`` rows are ordered whole, larger ones
+    never are.  Groups without a value have no row.
     """
     groups = list(groups)
     grid = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-eps, eps)})
     rows = df.filter(F.col(value).isNotNull())
-    if largest is None:
-        largest = rows.groupBy(*groups).count().agg(F.max("count")).first()[0] or 0
-    if largest <= small_group:
-        exact = rows.groupBy(*groups).agg(F.percentile(value, list(probs)).alias("__q"))
-        return exact.select(*groups, *[F.get("__q", F.lit(i)).alias(f"q{i}") for i in range(len(probs))])
     sketch = rows.groupBy(*groups).agg(
         F.percentile_approx(value, grid, int(10 / eps)).alias("__grid"), F.count("*").alias("__n"),
         F.min(value).alias("__min"), F.max(value).alias("__max"),
@@ -288,10 +240,10 @@ def exact_quantiles(
     )
     targets = sketch.select(*groups, "__n", F.explode(wanted).alias("t")).select(*groups, "__n", "t.*")
     merged = rows.groupBy(*groups, value).agg(F.count("*").alias("__c"))
-    near = merged.join(targets, groups).filter(F.col(value) <= F.col("hi"))
+    near = join_same(merged, targets, groups).filter(F.col(value) <= F.col("hi"))
     spot = [*groups, "i"]
     below = near.filter(F.col(value) < F.col("lo")).groupBy(*spot).agg(F.sum("__c").alias("__below"))
-    inside = near.filter(F.col(value) >= F.col("lo")).join(below, spot, "left")
+    inside = join_same(near.filter(F.col(value) >= F.col("lo")), below, spot, "left")
     run = Window.partitionBy(*spot).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = F.coalesce("__below", F.lit(0)) + F.sum("__c").over(run)
     h = (F.col("__n") - 1) * F.col("p")

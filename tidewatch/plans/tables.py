@@ -183,7 +183,7 @@ class Tables:
             return self.raw("events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
         if name == "sup":
             return self.raw("supplier").join(
-                F.broadcast(self.raw("nation")), F.col("s_nationkey") == F.col("n_nationkey")
+                self.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey")
             )
         if name == "prices":
             return (

@@ -97,7 +97,7 @@ def submission_filings(
         zipped = F.when(first_old > 0, F.slice(zipped, 1, first_old.cast("int") - 1)).otherwise(zipped)
     rows = rows.select("cik", "symbol", "batch", F.posexplode(zipped).alias("pos", "z"))
     rows = rows.select("cik", "symbol", "batch", "pos", "z.*").filter(F.col("form").isin(*forms))
-    folder = F.concat(F.lit(base), F.regexp_replace("cik", "^0+", ""), F.lit("/"), F.replace(F.col("accessionNumber"), F.lit("-"), F.lit("")))
+    folder = F.concat(F.lit(base), F.regexp_replace("cik", "^0+(?=[0-9])", ""), F.lit("/"), F.replace(F.col("accessionNumber"), F.lit("-"), F.lit("")))
     document = F.coalesce("primaryDocument", F.lit(""))
     url = F.when((F.col("form") == "4") | (document == ""), folder).otherwise(F.concat(folder, F.lit("/"), document))
     return rows.select(

@@ -4,23 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-SPREAD_FROM = 4 << 20  # below this a single scan task is cheaper than a shuffle
-
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spread(spark.read.parquet(path))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Hash-spread a scan that would leave most cores idle.
-
-    A file with one row group is one task however many cores there are.  Only inputs
-    with less than one split per core are shuffled, so at scale this never happens.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    if SPREAD_FROM <= size and size // split < cores:
-        return df.repartition(cores, df.columns[0])
-    return df
+    return spark.read.parquet(path)

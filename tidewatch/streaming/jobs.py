@@ -68,7 +68,7 @@ def sink_absent(stream: DataFrame, path: str, keys: list[str], order: str, check
 def daily_counter(rows: DataFrame, keys: list[str], ts: str, cap: int, day: Column | None = None) -> DataFrame:
     """Flag rows within the first ``cap`` of their key and day (arrival order).
 
-    The state is one counter per key and day; it is dropped a day after its last row.
+    The state is one counter per key and day; it is dropped when the watermark is a day past the end of that day.
     """
     day = F.to_date(ts) if day is None else day
     keyed = rows.withWatermark(ts, LATENESS).withColumn("__day", day.cast("string"))
@@ -91,9 +91,8 @@ def daily_counter(rows: DataFrame, keys: list[str], ts: str, cap: int, day: Colu
                 n = min(n + len(pdf), cap)
                 yield pdf
             self.count.update((n,))
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
-            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + 2 * 86_400_000)
+            if not list(self.handle.listTimers()) and key[-1] is not None:
+                self.handle.registerTimer(int(pd.Timestamp(key[-1]).timestamp() + 2 * 86_400) * 1000)
             yield pd.DataFrame()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -124,7 +123,7 @@ def baseline_stream(bars: DataFrame, points_cap: int = 20, min_points: int = 5,
             out = []
             bars_in = pd.concat(list(rows)).sort_values(["session", "volume"], kind="stable")
             for session, volume in zip(bars_in["session"].tolist(), bars_in["volume"].tolist()):
-                if volume <= 0 or (last is not None and session <= last):
+                if volume <= 0 or session == last:
                     continue
                 if avg is None:
                     avg, points, ratio = float(volume), 1, 0.0
@@ -175,18 +174,23 @@ def correlation_stream(signals: DataFrame, debounce_ms: int = 10_000, keep: int
                     first = ms if first is None else min(first, ms)
                     if abs(r.conviction) >= 0.05:
                         held.append((r.id, r.source_category, float(r.conviction), r.direction, ms))
-            horizon = max((s[4] for s in held), default=0)
-            short = sorted((s for s in held if s[1] != "form4" and s[4] >= horizon - 432_000_000), key=lambda s: (s[4], s[0]))
-            insider = sorted((s for s in held if s[1] == "form4" and s[4] >= horizon - 1_209_600_000), key=lambda s: (s[4], s[0]))
-            kept = short[-keep:] + insider[-keep:]
-            if kept:
-                self.signals.put(kept)
             memo = self.memo.get() if self.memo.exists() else ("", 0, -1)
-            if memo[2] < 0 and first is not None:
-                self.memo.update((memo[0], memo[1], first + debounce_ms))
-                self.handle.registerTimer(first + debounce_ms)
+            armed = memo[2]
+            if armed < 0 and first is not None:
+                armed = first + debounce_ms
+                self.memo.update((memo[0], memo[1], armed))
+                self.handle.registerTimer(armed)
+            if held:
+                self.signals.put(self.retained(held, armed))
             yield pd.DataFrame()
 
+        def retained(self, held, now):
+            """What the evaluation at ``now`` may use, and everything later for the evaluations after it."""
+            order = lambda s: (s[4], s[0])
+            short = sorted((s for s in held if s[1] != "form4" and now - 432_000_000 <= s[4] <= now), key=order)
+            insider = sorted((s for s in held if s[1] == "form4" and now - 1_209_600_000 <= s[4] <= now), key=order)
+            return short[-keep:] + insider[-keep:] + [s for s in held if s[4] > now]
+
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             import hashlib
             import json
@@ -195,7 +199,17 @@ def correlation_stream(signals: DataFrame, debounce_ms: int = 10_000, keep: int
 
             now = expiredTimerInfo.getExpiryTimeInMs()
             memo = self.memo.get() if self.memo.exists() else ("", 0, -1)
-            held = [tuple(s) for s in self.signals.get()]
+            held = self.retained([tuple(s) for s in self.signals.get()], now)
+            if now != memo[2]:  # the ticker has been silent for the longest retention
+                if not held and memo[2] < 0:
+                    self.signals.clear()
+                    self.memo.clear()
+                    self.claims.clear()
+                yield pd.DataFrame(columns=columns)
+                return
+            self.handle.registerTimer(now + 1_209_600_001)
+            if held:
+                self.signals.put(held)
             live = [s for s in held if s[4] <= now]
             later = [s[4] for s in held if s[4] > now]
             armed = min(later) + debounce_ms if later else -1
@@ -290,6 +304,9 @@ def outcome_stream(ticks: DataFrame, alerts_path: str, version_path, benchmarks:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         source = alerts_path if batch_id == 0 else version_path(batch_id - 1)
+        if batch.isEmpty():  # nothing to fill in; the next batch still finds its version
+            spark.read.parquet(source).write.mode("overwrite").parquet(version_path(batch_id))
+            return
         now = batch.agg(F.max("ts").cast("timestamp_ntz")).scalar()
         rows = batch.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
         fill_price_slots(spark.read.parquet(source), rows, now, benchmarks).write.mode("overwrite").parquet(version_path(batch_id))
