@@ -143,3 +143,34 @@ def test_clusters_against_walk(spark, mode):
     df = spark.createDataFrame(rows, "symbol string, filing_date date, insider_name string, transaction_type string, is_csuite boolean, total_value double").repartition(4)
     got = sorted((r.symbol, (r.event_date - dt.date(2020, 1, 1)).days) for r in E.greedy_windows(E.insider_days(df), mode).collect())
     assert got == sorted((s, d) for s, xs in data.items() for d in brute_clusters(xs, mode == "second"))
+
+
+def test_wide_spaces_count_as_spaces(spark):
+    from tidewatch.functions import text as X
+
+    nb = "\u00a0"
+    row = spark.createDataFrame(
+        [(f"Item{nb}2.02 Results. Total{nb}revenue of ${nb}1,234.5{nb}million. Diluted{nb}EPS of $1.25. The company reaffirms{nb}its{nb}guidance. Item 9.01 Exhibits", f"{nb} <b>x</b>{nb}")],
+        "t string, h string",
+    ).select(
+        X.detect_items(F.col("t")).alias("items"), X.reported_revenue(F.col("t")).alias("revenue"), X.reported_eps(F.col("t")).alias("eps"),
+        X.guidance_status(F.col("t"))["has_affirmation"].alias("affirmed"), X.item_section(F.col("t"), F.lit("2.02")).alias("section"), X.strip_html(F.col("h")).alias("h"),
+    ).first()
+    assert row.items == ["2.02", "9.01"] and row.revenue == 1_234_500_000 and row.eps == 1.25 and row.affirmed
+    assert row.section.startswith("Item") and "Exhibits" not in row.section and row.h == "x"
+
+
+def test_words_and_folders_without_bounds(spark):
+    from tidewatch.operators.feeds import mention_symbols
+
+    bodies = spark.createDataFrame([("m", "buy $S1000000 and S1000000 and BRK.B")], "external_id string, body string")
+    known = spark.createDataFrame([("S1000000",), ("BRK.B",), ("S100000",)], "symbol string")
+    assert {r.symbol for r in mention_symbols(bodies, known).collect()} == {"S1000000", "BRK.B"}
+
+
+def test_clock_without_a_session_is_null(spark):
+    from tidewatch.functions import calendar as C
+
+    days = [str(d.date()) for d in __import__("pandas").date_range("2026-03-01", "2026-05-01")]
+    row = spark.sql("SELECT timestamp_ntz'2026-03-02 15:00:00' AS t").select(C.effective_start(F.col("t"), days).alias("none"), C.effective_start(F.col("t")).alias("open")).first()
+    assert row.none is None and row.open.hour == 15

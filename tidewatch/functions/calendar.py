@@ -55,12 +55,8 @@ def effective_start(ts: Column, closures: Sequence[str] = FULL_CLOSURES) -> Colu
     local = ny_time(ts)
     day = F.to_date(local)
     first = F.when(_minute_of_day(local) < OPEN_MINUTE, 0).otherwise(1)
-    session = F.element_at(
-        F.filter(
-            F.sequence(F.date_add(day, first), F.date_add(day, 31)),
-            lambda d: _trading_day(d, closures),
-        ),
-        1,
+    session = F.get(
+        F.filter(F.sequence(F.date_add(day, first), F.date_add(day, 31)), lambda d: _trading_day(d, closures)), F.lit(0)
     )
     opening = F.to_utc_timestamp(session.cast("timestamp") + F.expr("INTERVAL 570 MINUTE"), NY)
     fraction = ts.cast("timestamp") - F.date_trunc("minute", ts.cast("timestamp"))

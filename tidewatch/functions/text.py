@@ -12,13 +12,22 @@ def ascii_words(pattern: str) -> str:
     return pattern.replace(r"\b", _B)
 
 
+# Space characters beyond ASCII that the text rules treat as spaces.
+WIDE_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def plain_spaces(text: Column) -> Column:
+    """Every wide space as one ASCII space, so that places in the text stay as they are."""
+    return F.translate(text, WIDE_SPACES, " " * len(WIDE_SPACES))
+
+
 ITEM_RE = r"(?i)Item\s+(\d+\.\d+)"
 SECTION_LIMIT = 50_000  # the section length a consumer of item texts accepts
 
 
 def detect_items(text: Column) -> Column:
     """Distinct item numbers in order of first appearance."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(ITEM_RE), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(plain_spaces(text), F.lit(ITEM_RE), F.lit(1)))
 
 
 # Tag and entity substitutions, applied in this order.
@@ -41,7 +50,7 @@ HTML_STEPS = (
     (r"&#\d+;", " "),
     (r"[ \t]+", " "),
     (r"\n{3,}", "\n\n"),
-    (r"^\s+|\s+$", ""),
+    (r"^[\s\x{00A0}\x{FEFF}\x{2000}-\x{200A}\x{202F}\x{3000}]+|[\s\x{00A0}\x{FEFF}\x{2000}-\x{200A}\x{202F}\x{3000}]+$", ""),
 )
 
 
@@ -55,9 +64,10 @@ def strip_html(html: Column) -> Column:
 def item_section(text: Column, item: Column, limit: int = SECTION_LIMIT) -> Column:
     """Text from the item heading to the next heading or the signatures; whole text if absent."""
     pattern = F.concat(F.lit(r"(?i)Item\s+"), F.replace(item, F.lit("."), F.lit(r"\.")), F.lit(r"[^\d]"))
-    start = F.regexp_instr(text, pattern)
-    head = F.length(F.regexp_substr(text, pattern))
-    rest = F.substr(text, start + head)
+    plain = plain_spaces(text)
+    start = F.regexp_instr(plain, pattern)
+    head = F.length(F.regexp_substr(plain, pattern))
+    rest = F.substr(plain, start + head)
     stop = F.regexp_instr(rest, F.lit(r"(?i)Item\s+\d+\.\d+|SIGNATURES"))
     section = F.when(stop > 0, F.substr(text, start, head + stop - 1)).otherwise(F.substr(text, start))
     found = F.coalesce(start, F.lit(0)) > 0
@@ -90,7 +100,7 @@ def guidance_status(text: Column, max_hits: int = 3) -> Column:
     """
     hits = F.struct(
         *[
-            F.slice(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ascii_words(p)), F.lit(0)), 1, max_hits).alias(k)
+            F.slice(F.regexp_extract_all(F.coalesce(plain_spaces(text), F.lit("")), F.lit(ascii_words(p)), F.lit(0)), 1, max_hits).alias(k)
             for k, p in GUIDANCE_PATTERNS.items()
         ]
     )
@@ -139,6 +149,7 @@ _REVENUE_RES = (
 
 def reported_revenue(text: Column, minimum: float = 1e6) -> Column:
     """Largest dollar amount stated after 'revenue', scaled by its unit."""
+    text = plain_spaces(text)
 
     def amounts(pattern: str) -> Column:
         numbers = F.regexp_extract_all(text, F.lit(ascii_words(pattern)), F.lit(1))
@@ -165,6 +176,7 @@ _EPS_RES = (
 
 def reported_eps(text: Column, limit: float = 100.0) -> Column:
     """Diluted EPS: first pattern whose value is plausible."""
+    text = plain_spaces(text)
     out = []
     for p in _EPS_RES:
         raw = F.regexp_extract(text, ascii_words(p), 1)
@@ -189,7 +201,7 @@ MISSING_DATA_RE = "(?iu)" + "|".join(
 
 
 def missing_data_facts(facts: Column) -> Column:
-    return F.filter(facts, lambda f: f.rlike(ascii_words(MISSING_DATA_RE)))
+    return F.filter(facts, lambda f: plain_spaces(f).rlike(ascii_words(MISSING_DATA_RE)))
 
 
 def message_conviction(message: Column) -> Column:
@@ -200,7 +212,7 @@ def message_conviction(message: Column) -> Column:
 
 
 def fact_has_numbers(facts: Column) -> Column:
-    return F.exists(facts, lambda f: f.rlike(r"\$[\d.,]+\s*(mln|bln|mld|million|billion|%)"))
+    return F.exists(facts, lambda f: plain_spaces(f).rlike(r"\$[\d.,]+\s*(mln|bln|mld|million|billion|%)"))
 
 
 def fact_exhibit_missing(facts: Column) -> Column:
