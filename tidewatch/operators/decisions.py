@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewatch.functions import scoring as S, text as X
 from tidewatch.functions.calendar import ny_date
-from tidewatch.operators.temporal import first_k, flag_first_k, greedy_accept, micros
+from tidewatch.operators.temporal import asof_join, first_k, flag_first_k, greedy_accept, micros
 
 MINUTE_US = 60_000_000
 
@@ -188,6 +188,23 @@ def throttle(alerts: DataFrame, minutes: int, keys: Sequence[str] = ("rule_name"
     ).drop("__ok", "__us")
 
 
+def options_throttle(alerts: DataFrame, minutes: int | None = None) -> DataFrame:
+    """Mark ``allowed``: no delivered alert of the symbol and rule is younger than ``minutes or 120``.
+
+    Unlike ``throttle``, an alert that is not delivered for another reason (``delivered`` false or null) blocks nothing.  Alerts
+    count in the order of (sent_at, id); one without a time is not allowed and blocks nothing.
+    """
+    keys, hold = ["symbol", "rule_name"], (minutes or 120) * MINUTE_US
+    rows = alerts.withColumn("__us", micros(F.col("sent_at")))
+    first = rows.filter("delivered").groupBy(*keys, "__us").agg(F.min("id").alias("__id")).withColumn("__hold", F.lit(hold))
+    sent = greedy_accept(first, keys, "__us", "__hold", hold).filter("accepted")
+    last = asof_join(rows, sent, keys, "__us", "__us", ["__us", "__id"])
+    # an alert sent at this very instant blocks only what comes after it; before it the way was free
+    earlier = (F.col("__us") > F.col("match.__us")) | (F.col("id") > F.col("match.__id"))
+    blocked = F.col("match").isNotNull() & earlier & (F.col("__us") - F.col("match.__us") < hold)
+    return last.withColumn("allowed", F.col("__us").isNotNull() & ~F.coalesce(blocked, F.lit(False))).drop("match", "__us")
+
+
 def log_meta(logs: DataFrame) -> DataFrame:
     """Lift ticker, trace and decision out of payload and result (the result wins)."""
     c = F.col

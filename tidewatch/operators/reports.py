@@ -234,7 +234,16 @@ REASON_LABELS = {
     "direction_conflict": "Conflicting directions",
     "gpt_missing_data": "Missing data",
     "silent_rule": "Silent rule",
+    "silent_hour": "Silent hour",
+    "daily_limit": "Daily limit",
     "telegram_failed": "Delivery failed",
+    "dispatcher_unavailable": "Dispatcher unavailable",
+    "consensus_miss": "Below consensus",
+    "consensus_in_line": "In line with consensus",
+    "consensus_mixed": "Mixed against consensus",
+    "consensus_gap": "Contradicts consensus",
+    "bullish_8k_no_edge": "Bullish 8-K without edge",
+    "bullish_no_consensus_data": "Bullish 8-K without consensus data",
 }
 
 

@@ -264,8 +264,19 @@ _THROTTLE = """a AS (SELECT id, rule_name, symbol, coalesce(catalyst_type, '') A
 
 @query("q5_throttle", "alerts", _THROTTLE.format(h=2880 * 60_000_000), recursive=True)
 def q5(t):
-    rows = t.alerts.withColumn("catalyst", F.coalesce("catalyst_type", F.lit("")))
-    return D.throttle(rows, 2880).select("id", "accepted")
+    return D.throttle(t.alerts.withColumnRenamed("catalyst_type", "catalyst"), 2880).select("id", "accepted")
+
+
+_OPTIONS_THROTTLE = """a AS (SELECT id, rule_name, symbol, delivered, epoch_us(sent_at) AS us, row_number() OVER (PARTITION BY rule_name, symbol ORDER BY sent_at, id) AS i FROM alerts),
+  f AS (SELECT *, CASE WHEN delivered THEN us END AS last_ok, true AS allowed FROM a WHERE i = 1
+    UNION ALL SELECT a.*, CASE WHEN a.delivered AND (f.last_ok IS NULL OR a.us - f.last_ok >= {h}) THEN a.us ELSE f.last_ok END, f.last_ok IS NULL OR a.us - f.last_ok >= {h}
+    FROM f JOIN a ON a.rule_name = f.rule_name AND a.symbol = f.symbol AND a.i = f.i + 1)
+  SELECT id, allowed FROM f"""
+
+
+@query("q5_options_throttle", "alerts", _OPTIONS_THROTTLE.format(h=4320 * 60_000_000), recursive=True)
+def q5_options(t):
+    return D.options_throttle(t.alerts, 4320).select("id", "allowed")
 
 
 # --- discovery -------------------------------------------------------------------------------

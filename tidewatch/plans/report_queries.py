@@ -87,7 +87,7 @@ def a7(t):
 @query(
     "a8_suppression_breakdown", "alerts",
     """SELECT non_delivery_reason, count(*) AS n, CASE non_delivery_reason WHEN 'observation' THEN 'Observation mode'
-    WHEN 'sell_no_edge' THEN 'Insider SELL without edge' ELSE non_delivery_reason END AS label
+    WHEN 'sell_no_edge' THEN 'Insider SELL without edge' WHEN 'daily_limit' THEN 'Daily limit' ELSE non_delivery_reason END AS label
     FROM alerts WHERE NOT delivered AND non_delivery_reason IS NOT NULL GROUP BY 1""",
 )
 def a8(t):

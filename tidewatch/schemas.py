@@ -46,4 +46,7 @@ EVENTS = {
     "articles": "url string, headline string, published_at timestamp",
     "catalysts": "symbol string, drug_name string, event_date date, seen_at timestamp",
     "flows": "occ string, session date, volume long, seen_at timestamp",
+    "anomalies": "symbol string, kind string, value double, threshold double, seen_at timestamp",
+    "analyses": "accession string, symbol string, form_type string, conviction double, direction string, catalyst_type string, seen_at timestamp",
+    "correlations": "ticker string, pattern string, direction string, conviction double, signal_ids array<string>, seen_at timestamp",
 }
