@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +59,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, if they would not find it by their path or working folder."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parents[1]
+    java = sc._jvm.System
+    known = [*(java.getenv("PYTHONPATH") or "").split(":"), java.getProperty("user.dir")]
+    if str(root) in known or getattr(sc, "_tidewatch_shipped", False):
+        return
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp(prefix="tidewatch-code-")) / "tidewatch"), "zip", root, "tidewatch")
+    sc.addPyFile(archive)
+    sc._tidewatch_shipped = True
