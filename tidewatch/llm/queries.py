@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, functions as F, SparkSession
 
 import corpus_pipeline
 from tidewatch.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, order_minhash, pii, quality, substring_dedup, toxicity
+from tidewatch.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
