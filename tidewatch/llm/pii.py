@@ -58,6 +58,14 @@ _ADDRESS = rf"^(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? "
 _PREFIX = r"^.*?[=:]\s*[\"']?"
 
 
+def _may_match(text: Column) -> Column:
+    """Whether a text has a character or word that every match of some pattern has; much faster than the patterns."""
+    maybe = text.rlike("[@0-9=:]")
+    for word in MALE + FEMALE + NEUTRAL:
+        maybe |= text.contains(word)
+    return maybe
+
+
 def _kind(m: Column) -> Column:
     """Kind of a match; the first pattern that it fits as a whole."""
     out = None
@@ -245,7 +253,7 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, n_entities, kinds array<string>, text) per row of ``docs``: replaced mentions, their kinds, and the new text."""
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
-    found = texts.select("hash", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found")).filter(F.size("found") > 0)
+    found = texts.filter(_may_match(F.col("text"))).select("hash", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found")).filter(F.size("found") > 0)
     mentions = found.select("hash", F.posexplode("found").alias("at", "mention")).distinct().withColumn("kind", _kind(F.col("mention")))
     mentions = cut_lineage(mentions.filter(_valid(F.col("kind"), F.col("mention"))).withColumn("parts", _parts(F.col("kind"), F.col("mention"))))
     words = mentions.select("hash", "at", "mention", F.col("kind").alias("of"), F.posexplode("parts").alias("nth", "part"))
