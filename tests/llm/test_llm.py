@@ -233,6 +233,15 @@ def test_surrogates_stay_distinct(spark):
 # 4
 
 
+def test_ibans_end_where_their_country_says(spark):
+    ibans = ["ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "BE68 5390 0754 7034", "SE45 5000 0000 0583 9825 7466", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]
+    texts = [(k, f"pay {iban}{end}") for k, (iban, end) in enumerate((i, e) for i in ibans for e in ("", " EUR", " BIC 12", " 2024 A", ", thanks"))]
+    got = pii.replace_entities(spark.createDataFrame(texts, "doc_id long, text string"), "k").collect()
+    for r, (_, text) in zip(sorted(got, key=lambda r: r.doc_id), texts):
+        iban, at = ibans[r.doc_id // 5], 4 + len(ibans[r.doc_id // 5])
+        assert (r.n_entities, r.kinds) == (1, ["iban"]) and iban not in r.text and r.text[at:] == text[at:] and r.text[4:6] == iban[:2]
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 5])
 def test_line_runs(docs, rows, k):
     got = {r.doc_id: r.text for r in line_dedup.remove_repeated_lines(docs, k).collect()}
