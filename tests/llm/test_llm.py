@@ -242,6 +242,25 @@ def test_ibans_end_where_their_country_says(spark):
         assert (r.n_entities, r.kinds) == (1, ["iban"]) and iban not in r.text and r.text[at:] == text[at:] and r.text[4:6] == iban[:2]
 
 
+def test_bare_mentions_share_the_surrogate(spark):
+    texts = [
+        (1, "Mr John Smith met us. Later John Smith left; Smith's car, SMITH and Johnson stayed. The Smithy and smith too."), (2, "Smith is not named here."),
+        (3, "Mr John Paul Smith spoke, then Smith."), (4, "Dr McDonald and Dr O'Brien; McDonald said O’Brien knows."), (5, "Call 415-555-0132 or 1-415-555-0133 or 415.555.0134, not 2415-555-01329"),
+        (6, "Mrs Smith The end"),
+    ]
+    got = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(texts, "doc_id long, text string"), "k").collect()}
+    one = got[1].text.split()
+    john, smith = one[1:3]
+    assert got[1].n_entities == 5 and "John " not in got[1].text and john in pii.GIVEN["latin_m"]
+    assert got[1].text == f"Mr {john} {smith} met us. Later {john} {smith} left; {smith}'s car, {smith.upper()} and Johnson stayed. The Smithy and smith too."
+    assert (got[2].n_entities, got[2].text) == (0, texts[1][1])
+    assert got[3].text.split()[1] == john and got[3].text.split()[3] == smith and got[3].text.endswith(f"spoke, then {smith}.") and "Paul" not in got[3].text.replace(john, "")
+    words = got[4].text.split()
+    assert got[4].n_entities == 4 and words[1] == words[5] and words[4].rstrip(";") == words[7] and "Donald" not in got[4].text and "Brien" not in got[4].text
+    assert (got[5].n_entities, got[5].kinds) == (3, ["phone"]) and "555-01" not in got[5].text.split(", not")[0] and got[5].text.endswith("not 2415-555-01329")
+    assert got[6].text == f"Mrs {smith} The end"
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 5])
 def test_line_runs(docs, rows, k):
     got = {r.doc_id: r.text for r in line_dedup.remove_repeated_lines(docs, k).collect()}

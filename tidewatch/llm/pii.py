@@ -8,6 +8,10 @@ cards and IBANs get valid check digits, octets stay octets of the same length, c
 at one domain share the new domain, and given names keep their gender.  Names are replaced word by word, so that "Mr Smith" and "Mr John
 Smith" still share a word.
 
+Names are found by a form of address.  After that, every other mention of their words in the same text (capitalised, the whole word) is
+replaced by the same surrogate, a word that is both given and family name by that of the family name.  Given names that stand with
+no form of address anywhere in the text stay, and so do names in texts without any form of address.
+
 Surrogates are checked against each other and against the entities of the corpus; on a collision all but one of the entities get the
 hash of the next attempt.  After ``ATTEMPTS`` attempts (more entities of a form than the form has values) a surrogate is the kind
 with a hash in brackets, which is distinct but gives up the form.
@@ -49,6 +53,14 @@ IBAN_LENGTHS = {
     28: "AL AZ BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
 }
 
+# Capitalised words that end a name, as they start what follows it
+AFTER_NAME = (
+    "The A An And But Or He She They It We You I His Her Their Its This That These Those In On At Of To For From With By As Is Was If When Who What Will "
+    "Der Die Das Und Aber Er Sie Es Ein Eine Le La Les Et Mais Il Elle Un Une El Los Las Y Pero Él Ella И Но Он Она Они Это В На"
+).split()
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:['’]?\p{Lu}\p{Ll}+)*"
+_MENTION = r"(?<![\p{L}\p{N}_])\p{Lu}\p{L}*(?:['’]\p{Lu}\p{L}+)*(?![\p{L}\p{N}_])"  # also in capitals
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 # Codes that are not listed are left to the general form, which comes last
 _IBANS = "|".join(
@@ -57,12 +69,12 @@ _IBANS = "|".join(
 PATTERNS = {
     "secret": r"(?i:\b(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_-]{12,}",
     "email": r"(?<![\p{L}\p{N}])[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,8}",
-    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)",
+    "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d+.-])(?:1-)?\d{3}-\d{3}-\d{4}(?![\d-])|(?<![\d+.-])\d{3}\.\d{3}\.\d{4}(?!\.?\d)",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d-])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])",
     "iban": rf"\b(?=[A-Z]{{2}}\d{{2}})(?:{_IBANS}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,4}})?\b)",
-    "name": rf"\b(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? \p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)?",
+    "name": rf"\b(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? {_WORD}(?:[ -](?!(?:{'|'.join(AFTER_NAME)})\b){_WORD}){{0,4}}",
 }
 PATTERN = "|".join(PATTERNS.values())
 _ADDRESS = rf"^(?:{'|'.join(MALE + FEMALE + NEUTRAL)})\.? "
@@ -108,13 +120,17 @@ def _valid(kind: Column, m: Column) -> Column:
     return F.when(kind == "card", luhn(bare) == 0).when(kind == "iban", mod_97(bare) == 1).otherwise(kind.isNotNull())
 
 
+def _plain(word: Column) -> Column:
+    """A word of a name without its case and kind of apostrophe."""
+    return F.lower(F.translate(word, "’", "'"))
+
+
 def _parts(kind: Column, m: Column) -> Column:
     """Entities (kind, canonical) of a match: words of a name by themselves, everything else as a whole."""
     part = lambda k, c: F.struct(k.alias("kind"), c.alias("form"))
     words = F.split(F.regexp_replace(m, _ADDRESS, ""), "[ -]")
     gender = F.when(m.rlike(rf"^(?:{'|'.join(MALE)})\b"), "given_m").when(m.rlike(rf"^(?:{'|'.join(FEMALE)})\b"), "given_f").otherwise("given_n")
-    family = lambda w: part(F.lit("family"), F.lower(w))
-    names = F.when(F.size(words) == 1, F.array(family(words[0]))).otherwise(F.array(part(gender, F.lower(words[0])), family(words[1])))
+    names = let(words, lambda ws: F.transform(ws, lambda w, i: part(F.when(i == F.size(ws) - 1, "family").otherwise(gender), _plain(w))))
     form = (
         F.when(kind == "secret", F.regexp_replace(m, _PREFIX, ""))
         .when(kind.isin("phone", "card"), F.regexp_replace(m, "[^0-9]", ""))
@@ -248,7 +264,9 @@ def _dressed(m: Column, kind: Column, parts: Column) -> Column:
     place = lambda i: F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), " ", ""))
     spaced = F.array_join(F.transform(_chars(m), lambda c, i: F.when(c == " ", c).otherwise(F.substr(whole, place(i), F.lit(1)))), "")
     cased = F.array_join(F.transform(_chars(m), lambda c, i: let(F.substr(whole, i + 1, F.lit(1)), lambda x: F.when(c == F.lower(c), x).otherwise(F.upper(x)))), "")
-    name = F.concat(F.regexp_extract(m, _ADDRESS, 0), F.array_join(parts, " "))
+    between = F.regexp_extract_all(F.regexp_replace(m, _ADDRESS, ""), F.lit("[ -]"), F.lit(0))
+    joined = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(between, i), F.lit("")))), "")
+    name = F.concat(F.regexp_extract(m, _ADDRESS, 0), joined)
     return (
         F.when(kind == "name", name)
         .when(kind == "secret", F.concat(F.regexp_extract(m, _PREFIX, 0), whole))
@@ -273,17 +291,53 @@ def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     dressed = (
         words.join(table, ["kind", "form"])
         .groupBy("hash", "at", "mention", "of")
-        .agg(F.array_sort(F.collect_list(F.struct("nth", "surrogate"))).alias("parts"))
+        .agg(F.array_sort(F.collect_list(F.struct("nth", "surrogate", "kind", "form"))).alias("parts"))
         .withColumn("new", _dressed(F.col("mention"), F.col("of"), F.col("parts.surrogate")))
     )
-    by_text = dressed.groupBy("hash").agg(F.map_from_entries(F.collect_list(F.struct("at", "new"))).alias("new"), F.array_sort(F.collect_set("of")).alias("kinds"))
+    # words of a text's names: (form, whether given, surrogate), one for each form
+    own = F.when(F.col("of") == "name", F.transform("parts", lambda p: F.struct(p["form"].alias("form"), (p["kind"] != "family").alias("given"), p["surrogate"].alias("surrogate"))))
+    by_text = dressed.groupBy("hash").agg(
+        F.map_from_entries(F.collect_list(F.struct("at", "new"))).alias("new"),
+        F.array_sort(F.collect_set("of")).alias("kinds"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(own)))).alias("own"),
+    )
+    first = lambda own: F.filter(own, lambda p, i: F.when(i == 0, True).otherwise(F.get(own, i - 1)["form"] != p["form"]))
+    bare = let(F.col("own"), lambda own: F.map_from_entries(F.transform(first(own), lambda p: F.struct(p["form"], p["surrogate"]))))
+    by_text = by_text.select("hash", "new", "kinds", F.when(F.size("own") > 0, bare).alias("bare"))
     # matches and what stands between them, in turns
     matches, between = F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), F.split("text", PATTERN, -1)
     put = lambda m: F.transform(m, lambda x, i: F.coalesce(F.col("new")[i], x))
-    written = let(put(matches), lambda m: F.array_join(F.transform(between, lambda gap, i: F.concat(gap, F.coalesce(F.get(m, i), F.lit("")))), ""))
-    return texts.join(by_text, "hash", "left").select(
+
+    def again(gap: Column) -> Column:
+        """(text, number of replaced words) of what stands between matches."""
+
+        def spelled(word: Column) -> Column:
+            made = F.col("bare")[_plain(word)]
+            return F.when((F.length(word) > 1) & (word == F.upper(word)), F.upper(made)).otherwise(made)
+
+        def written(words: Column) -> Column:
+            rest, made = F.split(gap, _MENTION, -1), F.transform(words, spelled)
+            return let(
+                made,
+                lambda n: F.struct(
+                    F.array_join(F.transform(rest, lambda r, i: F.concat(r, F.coalesce(F.get(n, i), F.get(words, i), F.lit("")))), "").alias("text"),
+                    F.size(F.filter(n, lambda x: x.isNotNull())).alias("n"),
+                ),
+            )
+
+        return F.when(F.col("bare").isNull(), F.struct(gap.alias("text"), F.lit(0).alias("n"))).otherwise(let(F.regexp_extract_all(gap, F.lit(_MENTION), F.lit(0)), written))
+
+    whole = lambda m, gaps: F.struct(
+        F.array_join(F.transform(gaps, lambda gap, i: F.concat(gap["text"], F.coalesce(F.get(m, i), F.lit("")))), "").alias("text"),
+        F.aggregate(gaps, F.lit(0), lambda a, gap: a + gap["n"]).alias("n"),
+    )
+    written = let(put(matches), lambda m: let(F.transform(between, again), lambda gaps: whole(m, gaps)))
+    unchanged = F.struct(F.col("text").alias("text"), F.lit(0).alias("n"))
+    row = lambda w: F.struct(
         "doc_id",
-        F.coalesce(F.size("new"), F.lit(0)).cast("long").alias("n_entities"),
+        (F.coalesce(F.size("new"), F.lit(0)) + w["n"]).cast("long").alias("n_entities"),
         F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"),
-        F.when(F.col("new").isNotNull(), written).otherwise(F.col("text")).alias("text"),
+        w["text"].alias("text"),
     )
+    # the written text is computed once, in one generator
+    return texts.join(by_text, "hash", "left").select(F.inline(F.array(let(F.when(F.col("new").isNotNull(), written).otherwise(unchanged), row))))
