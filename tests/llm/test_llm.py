@@ -133,6 +133,22 @@ def test_lexicon_finds_what_edit_distance_finds():
         assert (found is None) == (not near) and (found is None or found[1] == min(near)), w
 
 
+def test_learned_terms_match_misspelled(spark):
+    terms = "trash idiot stupid moron pathetic".split()
+    clean = "the garden is quiet and green in summer and people walk there with their dogs near water".split()
+    draw = random.Random(5)
+    rows = [(k, " ".join(draw.sample(clean, 9) + ([terms[k % 5] + draw.choice(["", "", "s"])] if k % 2 else [])), k % 2) for k in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    weights, _ = toxicity.train(docs, labels)
+    matches = toxicity.Matches(weights)
+    assert set(terms) <= set(weights)
+    assert all(matches[w] for w in "trosh idjot 1diot mxron stuqid pathetjc moronic".split()) and not any(matches[w] for w in clean)
+    odd = spark.createDataFrame([(9_000 + k, f"the garden is {w} and green") for k, w in enumerate("idjot mxron stuqid trosh quiet".split())], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs.union(odd), labels).filter("doc_id >= 9000").collect()}
+    assert all(got[9_000 + k] > got[9_004] for k in range(4))
+
+
 def test_quotation_weighs_less():
     matches = toxicity.Matches({"moron": 8.0})
     quoted, abuse = (toxicity.features(t, matches) for t in ('He wrote "moron" in a note', "you are a moron"))

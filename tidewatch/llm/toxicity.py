@@ -219,8 +219,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
     return beta
 
 
-def same_root(a: str, b: str) -> bool:
-    a, b = a.removesuffix("*"), b.removesuffix("*")
+def adds_nothing(term: str, chosen: str) -> bool:
+    """Whether ``term`` is a longer or shorter form of a chosen term; a stem does not stand for its words, which allow other edits."""
+    a, b = term.removesuffix("*"), chosen.removesuffix("*")
+    if chosen.endswith("*") and not term.endswith("*"):
+        return False
     return a.startswith(b) or b.startswith(a)
 
 
@@ -244,7 +247,7 @@ def choose_terms(hits: list[tuple[int, float, list[int]]], candidates: list[str]
             for k in c:
                 gain[k] += w
         for k in list(gain):  # a longer or shorter form of a chosen term adds nothing of its own
-            if any(same_root(candidates[k], candidates[c]) for c in chosen):
+            if any(adds_nothing(candidates[k], candidates[c]) for c in chosen):
                 del gain[k]
         best = max(gain, key=lambda k: (gain[k] - clean[k], -k), default=None)
         if best is None or gain[best] - clean[best] < max(4.0, 0.01 * toxic):
@@ -278,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
         return None
     n_clean, n_toxic = totals[0]["clean"], totals[0]["toxic"]
     odds = F.log((F.col("toxic") + 0.5) / n_toxic) - F.log((F.col("clean") + 0.5) / n_clean)
-    ranked = counts.filter("word <> '' AND toxic >= 4").withColumn("odds", odds).filter("odds >= 2").orderBy(F.desc(F.col("odds") * F.col("toxic")), F.desc(F.length("word")), "word").limit(CANDIDATES)
+    ranked = counts.filter("word <> '' AND toxic >= 4").withColumn("odds", odds).filter("odds >= 2").orderBy(F.desc(F.col("odds") * F.col("toxic")), F.col("word").endswith("*"), F.desc(F.length("word")), "word").limit(CANDIDATES)
     ranked = ranked.select("word", "odds").collect()
     candidates = [r["word"] for r in ranked]
     places = {w: k for k, w in enumerate(candidates)}
