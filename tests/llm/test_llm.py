@@ -149,6 +149,21 @@ def test_learned_terms_match_misspelled(spark):
     assert all(got[9_000 + k] > got[9_004] for k in range(4))
 
 
+def test_copies_do_not_crowd_out_terms(spark):
+    draw = random.Random(6)
+    clean = "the garden is quiet and green in summer and people walk there with their dogs near water".split()
+    terms = ["".join(draw.choice("bdfgklmnprst") + draw.choice("aeiou") for _ in range(4)) for _ in range(250)]
+    long = " ".join(f"x{k:04d}q" for k in range(3000))
+    rows = [(k, " ".join(draw.sample(clean, 9)), 0) for k in range(2000)]
+    rows += [(10_000 + 12 * k + j, " ".join(draw.sample(clean, 9) + [t]), 1) for k, t in enumerate(terms) for j in range(12)]
+    rows += [(50_000 + k, long + "." * k, 1) for k in range(1200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    weights, _ = toxicity.train(docs, labels)
+    matches = toxicity.Matches(weights)
+    assert sum(matches[t] is not None for t in terms) >= 240 and not any(matches[w] for w in clean)
+
+
 def test_quotation_weighs_less():
     matches = toxicity.Matches({"moron": 8.0})
     quoted, abuse = (toxicity.features(t, matches) for t in ('He wrote "moron" in a note', "you are a moron"))

@@ -1,7 +1,8 @@
 """Toxicity by a fuzzy lexicon and the context of its matches.
 
 * The lexicon is learned: words and stems (written with a final *, any ending may follow) that are far more frequent in toxic
-  labelled texts and together cover these; a term's weight is its log odds.
+  labelled texts and together cover these; a term's weight is its log odds.  Copies (texts equal but for case, punctuation and
+  spacing) count once, and there is no limit to the terms: the sample bounds them.
 * Words of a text are matched by the intersection of the Levenshtein automata of all terms with the trie of the terms,
   made deterministic as far as texts need it: a state is the set of (trie node, edits used) that a prefix can reach.
   Words of up to 4 letters must match exactly, up to 8 within one edit, longer ones within two; stems of up to 6 letters
@@ -16,9 +17,9 @@ no model and every score is 0.  Only the text enters a score; repeated rows get
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,8 @@ from tidewatch.llm.labelled import held_out, training_sample
 WORD = re.compile(r"\w+")
 THRESHOLD = 0.7
 WINDOW = 8  # words on either side of a match
-MAX_TERMS, CANDIDATES = 200, 1500
+LEAST_TEXTS = 4  # distinct toxic texts that a term must be in
+LEAST_GAIN = 2.0  # toxic texts that a term must add: four of which each has one other term
 STEMS = range(3, 8)  # letters of a stem
 KNOWN_WORDS = 200_000
 OPEN, CLOSE = "“«„", "”»"
@@ -227,33 +229,42 @@ def adds_nothing(term: str, chosen: str) -> bool:
     return a.startswith(b) or b.startswith(a)
 
 
-def choose_terms(hits: list[tuple[int, float, list[int]]], candidates: list[str]) -> list[str]:
-    """Greedy cover: the candidate that adds most toxic weight beyond the clean weight it touches, until little is added.
+def choose_terms(hits: list[tuple[int, float, np.ndarray]], candidates: list[str]) -> list[str]:
+    """Greedy cover: the candidate that adds most toxic weight beyond the clean weight it touches, until too little is added.
 
     A toxic text counts half as much with every term that it already has, so that words which only go along with a
-    few copied texts are not taken while the common terms are, also where they occur together.
+    few texts are not taken while the common terms are, also where they occur together.  Every choice takes at least
+    half of LEAST_GAIN of the toxic weight, so there are at most as many terms as toxic texts.  Gains only fall, so a candidate
+    whose fresh gain still leads is the best one.
     """
-    toxic = sum(w for y, w, _ in hits if y)
-    left = [(w, set(c)) for y, w, c in hits if y]
-    clean = Counter()
-    for y, w, c in hits:
-        if not y:
-            for k in c:
-                clean[k] += w
+    toxic = np.array([y == 1 for y, _, _ in hits], bool)
+    left = np.array([w for _, w, _ in hits], float)
+    least = LEAST_GAIN * (left[toxic].mean() if toxic.any() else 1.0)
+    sizes = np.array([len(c) for _, _, c in hits], np.int64)
+    of = np.concatenate([np.asarray(c, np.int32) for _, _, c in hits]) if hits else np.empty(0, np.int32)
+    order = np.argsort(of, kind="stable")
+    text = np.repeat(np.arange(len(hits), dtype=np.int32), sizes)[order]
+    cuts = np.searchsorted(of[order], np.arange(len(candidates) + 1))
+    clean, found = np.zeros(len(candidates)), []
+    for k in range(len(candidates)):
+        mine = text[cuts[k] : cuts[k + 1]]
+        clean[k] = left[mine[~toxic[mine]]].sum()
+        found.append(mine[toxic[mine]])
+    queue = [(clean[k] - left[found[k]].sum(), k) for k in range(len(candidates))]
+    heapq.heapify(queue)
     chosen: list[int] = []
-    while len(chosen) < MAX_TERMS:
-        gain = Counter()
-        for w, c in left:
-            for k in c:
-                gain[k] += w
-        for k in list(gain):  # a longer or shorter form of a chosen term adds nothing of its own
-            if any(adds_nothing(candidates[k], candidates[c]) for c in chosen):
-                del gain[k]
-        best = max(gain, key=lambda k: (gain[k] - clean[k], -k), default=None)
-        if best is None or gain[best] - clean[best] < max(4.0, 0.01 * toxic):
+    while queue:
+        stale, k = heapq.heappop(queue)
+        if -stale < least:
             break
-        chosen.append(best)
-        left = [(w / 2 if best in c else w, c) for w, c in left]
+        if any(adds_nothing(candidates[k], candidates[c]) for c in chosen):
+            continue
+        fresh = (clean[k] - left[found[k]].sum(), k)
+        if queue and fresh > queue[0]:
+            heapq.heappush(queue, fresh)
+        elif -fresh[0] >= least:
+            chosen.append(k)
+            left[found[k]] /= 2
     return [candidates[k] for k in chosen]
 
 
@@ -264,6 +275,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     learned = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("text", "label", "weight")  # bounded sample
 
+    # of copies one; their words are the same
+    bare = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\p{M}_]+", " ")
+    distinct = learned.withColumn("copy", F.xxhash64(F.trim(bare))).dropDuplicates(["copy", "label"]).select("text", "label", "weight")
+
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen: dict[str, list[float]] = {}
@@ -275,24 +290,24 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
             seen[""] = total
             yield pd.DataFrame([(w, a, b) for w, (a, b) in seen.items()], columns=["word", "clean", "toxic"])
 
-    counts = learned.mapInPandas(words, "word string, clean double, toxic double").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = distinct.mapInPandas(words, "word string, clean double, toxic double").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     totals = counts.filter("word = ''").collect()
     if not totals or not totals[0]["clean"] or not totals[0]["toxic"]:
         return None
     n_clean, n_toxic = totals[0]["clean"], totals[0]["toxic"]
     odds = F.log((F.col("toxic") + 0.5) / n_toxic) - F.log((F.col("clean") + 0.5) / n_clean)
-    ranked = counts.filter("word <> '' AND toxic >= 4").withColumn("odds", odds).filter("odds >= 2").orderBy(F.desc(F.col("odds") * F.col("toxic")), F.col("word").endswith("*"), F.desc(F.length("word")), "word").limit(CANDIDATES)
-    ranked = ranked.select("word", "odds").collect()
+    ranked = counts.filter((F.col("word") != "") & (F.col("toxic") >= LEAST_TEXTS)).withColumn("odds", odds).filter("odds >= 2").orderBy(F.desc(F.col("odds") * F.col("toxic")), F.col("word").endswith("*"), F.desc(F.length("word")), "word")
+    ranked = ranked.select("word", "odds").collect()  # terms of the sample
     candidates = [r["word"] for r in ranked]
     places = {w: k for k, w in enumerate(candidates)}
 
     def spot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [sorted(places[w] for w in terms_of(t) if w in places) for t in batch["text"]]
+            found = [np.array(sorted(places[w] for w in terms_of(t) if w in places), "<i4").tobytes() for t in batch["text"]]
             yield pd.DataFrame({"label": batch["label"], "weight": batch["weight"], "found": found})
 
-    rows = learned.mapInPandas(spot, "label int, weight double, found array<int>").filter("size(found) > 0").collect()  # of the sample
-    terms = choose_terms([(r["label"], r["weight"], r["found"]) for r in rows], candidates)
+    rows = distinct.mapInPandas(spot, "label int, weight double, found binary").filter("length(found) > 0").collect()  # of the sample
+    terms = choose_terms(sorted(((r["label"], r["weight"], np.frombuffer(r["found"], "<i4")) for r in rows), key=lambda h: (h[0], h[1], h[2].tobytes())), candidates)
     odds_of = {r["word"]: min(8.0, r["odds"]) for r in ranked}
     weights = {t: odds_of[t] for t in terms}
     shared = spark.sparkContext.broadcast(weights)
