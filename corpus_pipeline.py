@@ -37,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Token ids of every document and the text decoded from them."""
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded=True)
 
 
 STAGES = [

@@ -545,3 +545,11 @@ def test_stages_on_awkward_rows(spark, awkward, empty, tmp_path, labels):
             got = stage(spark, docs, str(tmp_path))
             assert k == 4 or got.columns == awkward.columns
             got.count()
+
+
+def test_last_stage_decodes_what_it_encodes(spark, docs, awkward):
+    import corpus_pipeline
+
+    for table in (docs, awkward):
+        got = corpus_pipeline.STAGES[-1][1](spark, table, SF)
+        assert collections.Counter((r.doc_id, r.decoded) for r in got.collect()) == collections.Counter((r.doc_id, r.text or "") for r in table.collect())
