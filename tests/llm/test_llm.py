@@ -298,6 +298,22 @@ def test_line_runs(docs, rows, k):
     assert got == without_line_runs(rows, k)
 
 
+@pytest.mark.parametrize("k,m", [(1, 1), (2, 50), (2, 12), (3, 20)])
+def test_long_lines_count_by_themselves(docs, rows, k, m):
+    seen, lines, gone = {}, {d: t.split("\n") for d, t in rows}, collections.defaultdict(set)
+    for d in sorted(lines):
+        for i in range(len(lines[d])):
+            for n in range(1, len(lines[d]) - i + 1):  # all runs, not only the shortest
+                run = tuple(lines[d][i : i + n])
+                if n > 8:
+                    break
+                if (n >= k or sum(len(WORD.findall(x)) for x in run) >= m) and seen.setdefault(run, (d, i)) < (d, i):
+                    gone[d].update(range(i, i + n))
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeated_lines(docs, k, m).collect()}
+    assert got == {d: "\n".join(x for j, x in enumerate(ls) if j not in gone[d]) for d, ls in lines.items()}
+    assert k == 1 or got != {r.doc_id: r.text for r in line_dedup.remove_repeated_lines(docs, k).collect()}
+
+
 def test_line_runs_on_awkward_rows(awkward, empty):
     got = line_dedup.remove_repeated_lines(awkward).collect()
     assert len(got) == 16 and [r.text for r in got if r.doc_id == 10] == [""] and all(r.n_removed == 0 for r in got if r.doc_id in (1, 2, 3, 4, 7, 9, None))
