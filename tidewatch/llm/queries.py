@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F, SparkSession
 
 import corpus_pipeline
-from tidewatch.llm import bpe, exact_dedup, line_dedup, mixing, near_dedup, order_minhash, pii, quality, substring_dedup, toxicity
+from tidewatch.llm import bpe, exact_dedup, line_dedup, merkle, mixing, near_dedup, order_minhash, pii, quality, substring_dedup, toxicity
 from tidewatch.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_documents(spark, sf_dir), _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+def op11_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_manifest(_table(spark, sf_dir, "documents").select(*merkle.FIELDS))
+
+
 QUERIES["op1_quality_gam"] = op1_quality_gam
 QUERIES["op2_hyperminhash"] = op2_hyperminhash
 QUERIES["op3_surrogates"] = op3_surrogates
@@ -81,6 +85,7 @@ QUERIES["op7_maximal_repeats"] = op7_maximal_repeats
 QUERIES["op8_source_mix"] = op8_source_mix
 QUERIES["op9_order_minhash"] = op9_order_minhash
 QUERIES["op10_toxicity"] = op10_toxicity
+QUERIES["op11_merkle_climb"] = op11_merkle_climb
 QUERIES["pipeline"] = corpus_pipeline.run
 
 # DuckDB: lower-case A-Z only, by translate
@@ -129,3 +134,46 @@ SELECT doc_id, len(ls) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce
   sha256(array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: gone IS NULL OR NOT list_contains(gone, i)), lambda i: ls[i]), chr(10))) AS kept_sha256
 FROM split LEFT JOIN marked USING (doc_id)
 """
+
+
+# DuckDB has no crc32: the bytes of a text are folded bit by bit
+def _crc32(text: str) -> str:
+    byte = f"list_transform(range(0, octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    shifted = "list_reduce(range(8), lambda d, i: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, xor(c, x))"
+    return f"xor(list_reduce({byte}, lambda c, x: {shifted}, 4294967295), 4294967295)"
+
+
+def _merkle_sql(levels: int = 8, top_levels: int = 3) -> str:
+    """The levels written out one after the other; a tree with one node left keeps it."""
+    fields = lambda text: "sha256(" + " || ".join(
+        f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)
+    ) + ")"
+    sql = [
+        f"leafs AS (SELECT doc_id, lang, {fields('text')} AS leaf, CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {fields(_ASCII_LOWER_OR_NULL)} END AS changed FROM documents)",
+        "placed AS (SELECT *, coalesce('l' || lang, 'null') AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leafs)",
+        "l0 AS (SELECT tree, pos, leaf AS digest FROM placed)",
+        "f0 AS (SELECT doc_id, lang, tree, pos, leaf, coalesce(changed, leaf) AS folded, '' AS proof FROM placed)",
+    ]
+
+    def climb(lv: str, fv: str, k: int) -> None:
+        sql.append(
+            f"""{lv}r{k} AS (SELECT tree, pos // 8 AS up, list(digest ORDER BY pos) AS ds, max(cnt) AS cnt FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS cnt FROM {lv}{k}) GROUP BY 1, 2)""")
+        sql.append(f"{lv}{k + 1} AS (SELECT tree, up AS pos, CASE WHEN cnt = 1 THEN ds[1] ELSE sha256(array_to_string(ds, '')) END AS digest FROM {lv}r{k})")
+        before, after = "array_to_string(ds[1:f.pos % 8], '')", "array_to_string(ds[f.pos % 8 + 2:], '')"
+        sql.append(
+            f"""{fv}{k + 1} AS (SELECT f.* EXCLUDE (pos, folded, proof), f.pos // 8 AS pos, CASE WHEN cnt = 1 THEN folded ELSE sha256({before} || folded || {after}) END AS folded,
+    CASE WHEN cnt = 1 THEN proof ELSE proof || {before} || {after} END AS proof FROM {fv}{k} f JOIN {lv}r{k} r ON r.tree = f.tree AND r.up = f.pos // 8)""")
+
+    for k in range(levels):
+        climb("l", "f", k)
+    sql.append(f"subs AS (SELECT DISTINCT lang, tree, digest AS subroot FROM l{levels} JOIN placed USING (tree))")
+    sql.append("t0 AS (SELECT 'top' AS tree, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, subroot AS digest, tree AS sub FROM subs)")
+    sql.append(f"g0 AS (SELECT f.* EXCLUDE (tree, pos), s.subroot, 'top' AS tree, t.pos FROM f{levels} f JOIN subs s USING (tree) JOIN t0 t ON t.sub = f.tree)")
+    for k in range(top_levels):
+        climb("t", "g", k)
+    last = f"g{top_levels} CROSS JOIN (SELECT digest AS root FROM t{top_levels})"
+    return "WITH " + ", ".join(sql) + f" SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM {last}"
+
+
+_ASCII_LOWER_OR_NULL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op11_merkle_climb"] = _merkle_sql()
