@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F, SparkSession
 
 import corpus_pipeline
-from tidewatch.llm import bpe, exact_dedup, line_dedup, merkle, mixing, near_dedup, order_minhash, pii, quality, substring_dedup, toxicity
+from tidewatch.llm import bpe, exact_dedup, line_dedup, merkle, mixing, near_dedup, order_minhash, pii, quality, spelling, substring_dedup, toxicity
 from tidewatch.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,10 @@ def op11_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_manifest(_table(spark, sf_dir, "documents").select(*merkle.FIELDS))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_documents(spark, sf_dir))
+
+
 QUERIES["op1_quality_gam"] = op1_quality_gam
 QUERIES["op2_hyperminhash"] = op2_hyperminhash
 QUERIES["op3_surrogates"] = op3_surrogates
@@ -86,6 +90,7 @@ QUERIES["op8_source_mix"] = op8_source_mix
 QUERIES["op9_order_minhash"] = op9_order_minhash
 QUERIES["op10_toxicity"] = op10_toxicity
 QUERIES["op11_merkle_climb"] = op11_merkle_climb
+QUERIES["op13_spelling_variants"] = op13_spelling_variants
 QUERIES["pipeline"] = corpus_pipeline.run
 
 # DuckDB: lower-case A-Z only, by translate
@@ -177,3 +182,26 @@ def _merkle_sql(levels: int = 8, top_levels: int = 3) -> str:
 
 _ASCII_LOWER_OR_NULL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLES["op11_merkle_climb"] = _merkle_sql()
+
+ORACLES["op13_spelling_variants"] = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda d, i: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, b)) AS tab),
+found AS (SELECT doc_id, unnest(regexp_extract_all({_ASCII_LOWER}, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents),
+runs AS (SELECT run, coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run AS key, count(*) AS times FROM found WHERE length(run) >= 5 GROUP BY 1, 2),
+hashed AS (
+  SELECT run, times, xor(list_reduce(list_transform(range(0, octet_length(encode(key))), lambda i: CAST('0x' || substr(hex(encode(key)), 2 * i + 1, 2) AS BIGINT)),
+    lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS h FROM runs, crc),
+words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed)
+  WHERE length(word) >= 5 GROUP BY 1 HAVING sum(times) >= 3),
+cuts AS (SELECT word, n, i, left(word, i) AS a, substr(word, i + 2) AS b FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+shorter AS (SELECT DISTINCT c.word AS longer, c.n AS longer_n, w.word, w.n FROM cuts c JOIN words w ON w.word = c.a || c.b),
+near AS (
+  SELECT x.word, x.n, y.word AS other, y.n AS other_n FROM cuts x JOIN cuts y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION ALL SELECT longer, longer_n, word, n FROM shorter UNION ALL SELECT word, n, longer, longer_n FROM shorter),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY 1),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS at FROM formed UNION ALL SELECT k.word, f.form FROM walk k JOIN formed f ON f.word = k.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, k.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN walk k ON k.word = f.word JOIN formed e ON e.word = k.at AND e.form IS NULL
+"""
