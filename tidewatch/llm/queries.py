@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F, SparkSession
 
 import corpus_pipeline
-from tidewatch.llm import bpe, exact_dedup, line_dedup, merkle, mixing, near_dedup, order_minhash, pii, quality, spelling, substring_dedup, toxicity
+from tidewatch.llm import bpe, exact_dedup, html_extract, line_dedup, merkle, mixing, near_dedup, order_minhash, pii, quality, spelling, substring_dedup, toxicity
 from tidewatch.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,10 @@ def op11_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_manifest(_table(spark, sf_dir, "documents").select(*merkle.FIELDS))
 
 
+def op12_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(_documents(spark, sf_dir))
 
@@ -90,6 +94,7 @@ QUERIES["op8_source_mix"] = op8_source_mix
 QUERIES["op9_order_minhash"] = op9_order_minhash
 QUERIES["op10_toxicity"] = op10_toxicity
 QUERIES["op11_merkle_climb"] = op11_merkle_climb
+QUERIES["op12_crf_main_text"] = op12_crf_main_text
 QUERIES["op13_spelling_variants"] = op13_spelling_variants
 QUERIES["pipeline"] = corpus_pipeline.run
 
