@@ -6,9 +6,9 @@ patterns are array expressions on that one row and need no further shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.operators.temporal import DAY_US, asof_join, from_micros, greedy_accept, lag_in_order, micros
+from tidewatch.operators.temporal import DAY_US, asof_join, from_micros, greedy_accept, lag_in_order, micros, newest_by_rank
 from tidewatch.session import cut_lineage
 
 HOUR_US = 3_600_000_000
@@ -29,25 +29,6 @@ PATTERN_THROTTLE = {
 LIVE_PATTERNS = ("INSIDER_PLUS_8K", "INSIDER_CLUSTER", "INSIDER_PLUS_OPTIONS")
 
 
-def _last_n(rows: DataFrame, n: int, width: int, reach: int) -> DataFrame:
-    """Newest ``n`` signals at each signal row of a ticker.
-
-    Ordered per (ticker, day); what earlier days contribute is their last ``n`` rows,
-    looked up over the days within reach.
-    """
-    rows = rows.withColumn("__chunk", F.floor(F.col("us") / width))
-    inner = Window.partitionBy("ticker", "__chunk").orderBy("us", "id")
-    rows = rows.withColumn("__in", F.collect_list("sig").over(inner.rowsBetween(-(n - 1), 0)))
-    tails = rows.groupBy("ticker", "__chunk").agg(F.max_by("__in", F.struct("us", "id")).alias("__tail"))
-    days = -(-reach // width)
-    before = Window.partitionBy("ticker").orderBy("__chunk").rangeBetween(-days, -1)
-    carried = F.flatten(F.collect_list("__tail").over(before))
-    carry = tails.select("ticker", "__chunk", _tail(carried, n).alias("__carry"))
-    return rows.join(carry, ["ticker", "__chunk"]).withColumn(
-        "newest", _tail(F.concat("__carry", "__in"), n)
-    ).drop("__chunk", "__in", "__carry")
-
-
 def _tail(arr: Column, n: int) -> Column:
     return F.slice(arr, F.greatest(F.size(arr) - n + 1, F.lit(1)), n)
 
@@ -60,13 +41,12 @@ def signal_windows(signals: DataFrame, evaluations: DataFrame, keep: int = KEEP,
     """
     sig = F.struct("us", "id", "source_category", "conviction", "direction", "catalyst_type")
     rows = signals.filter(F.abs("conviction") >= MIN_CONVICTION).withColumn("us", micros(F.col("ts")))
-    rows = rows.select("ticker", "us", "id", (F.col("source_category") == "form4").alias("is_insider"), sig.alias("sig"))
-    out = evaluations.select("ticker", micros(F.col("now")).alias("now_us")).distinct()
-    for name, cond, reach in (("short", ~F.col("is_insider"), SHORT_US), ("insider", F.col("is_insider"), INSIDER_US)):
-        newest = _last_n(rows.filter(cond), keep, width, reach)
-        out = asof_join(out, newest, ["ticker"], "now_us", "us", ["newest"], "backward", "id", width)
-        live = F.filter(F.coalesce(F.col("match.newest"), F.array()), lambda s: s["us"] >= F.col("now_us") - reach)
-        out = out.withColumn(name, live).drop("match")
+    insider = F.coalesce(F.col("source_category") == "form4", F.lit(False))
+    out = newest_by_rank(
+        rows, evaluations.select("ticker", micros(F.col("now")).alias("us")), ["ticker"], "us", "id", sig, {"short": ~insider, "insider": insider}, keep, width
+    ).withColumnRenamed("us", "now_us")
+    for name, reach in (("short", SHORT_US), ("insider", INSIDER_US)):
+        out = out.withColumn(name, F.filter(name, lambda s: s["us"] >= F.col("now_us") - reach))
     return out
 
 
