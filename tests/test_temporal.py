@@ -104,3 +104,33 @@ def test_null_keys_and_positions_keep_their_rows(spark):
     held = rows.withColumn("hold", F.lit(1000))
     taken = {r.id for r in T.greedy_accept(held, ["k"], "pos", "hold", 1000, 100).filter("accepted").collect()}
     assert taken == {"r1", "r6", "r2"} and T.greedy_accept(held, ["k"], "pos", "hold", 1000, 100).count() == 6
+
+
+@pytest.mark.parametrize("keep, width", [(3, 97), (50, 1_000), (1, 20_000)])
+def test_newest_by_rank(spark, points, keep, width):
+    """Against a scan, with a hot key, ties, null keys, rows without a position and a class that is rare."""
+    rng = random.Random(keep)
+    rows = [(k, p - p % 5, i, v) for k, p, i, v in points] + [(None, p, f"n{p}", 0.5) for p in range(0, 900, 30)] + [("hot", None, "lost", 0.1)]
+    asked = [(k, rng.randrange(-50, 21_000)) for k in ("hot", "warm", "cold", None, "nothing here") for _ in range(60)] + [("hot", None)] * 2
+    asked += [(k, p) for k, p, _, _ in rows[:80] if p is not None]
+    classes = {"many": (F.col("v") >= 0.1, 4_000), "few": (F.col("v") < 0.05, 9_000)}
+    probes = spark.createDataFrame(asked, "k string, pos long").repartition(3)
+    got = T.newest_by_rank(frame(spark, rows), probes, ["k"], "pos", "id", classes, keep, width).collect()
+    want = {}
+    for k, at in asked:
+        for name, test, reach in (("many", lambda v: v >= 0.1, 4_000), ("few", lambda v: v < 0.05, 9_000)):
+            seen = sorted((p, i) for key, p, i, v in rows if key == k and p is not None and at is not None and p <= at and test(v))
+            want[k, at, name] = [x for x in seen[-keep:] if x[0] >= at - reach]
+    assert len(got) == len(set(asked))
+    for r in got:
+        for name in ("many", "few"):
+            assert [(x.pos, x.id) for x in r[name]] == want[r.k, r.pos, name]
+
+
+def test_running_counts(spark, points):
+    got = {r.id: (r.a, r.b) for r in T.running_counts(frame(spark, points), ["k"], "pos", ["id"], {"a": F.lit(True), "b": F.col("v") < 0.3}, 97).collect()}
+    seen = defaultdict(lambda: [0, 0])
+    for k, _, i, v in sorted(points):
+        seen[k][0] += 1
+        seen[k][1] += v < 0.3
+        assert got[i] == tuple(seen[k])

@@ -39,15 +39,13 @@ def signal_windows(signals: DataFrame, evaluations: DataFrame, keep: int = KEEP,
     Weak signals are never stored; each class keeps its newest ``keep``; the look-back of
     120 hours (14 days for insiders) includes its edge.
     """
-    sig = F.struct("us", "id", "source_category", "conviction", "direction", "catalyst_type")
-    rows = signals.filter(F.abs("conviction") >= MIN_CONVICTION).withColumn("us", micros(F.col("ts")))
+    rows = signals.filter(F.abs("conviction") >= MIN_CONVICTION).select(
+        "ticker", micros(F.col("ts")).alias("us"), "id", "source_category", "conviction", "direction", "catalyst_type"
+    )
     insider = F.coalesce(F.col("source_category") == "form4", F.lit(False))
-    out = newest_by_rank(
-        rows, evaluations.select("ticker", micros(F.col("now")).alias("us")), ["ticker"], "us", "id", sig, {"short": ~insider, "insider": insider}, keep, width
-    ).withColumnRenamed("us", "now_us")
-    for name, reach in (("short", SHORT_US), ("insider", INSIDER_US)):
-        out = out.withColumn(name, F.filter(name, lambda s: s["us"] >= F.col("now_us") - reach))
-    return out
+    classes = {"short": (~insider, SHORT_US), "insider": (insider, INSIDER_US)}
+    asked = evaluations.select("ticker", micros(F.col("now")).alias("us"))
+    return newest_by_rank(rows, asked, ["ticker"], "us", "id", classes, keep, width).withColumnRenamed("us", "now_us")
 
 
 def _recent(arr: Column, hours: int, *categories: str) -> Column:
@@ -186,8 +184,8 @@ DETECTORS = {
 
 
 def detect_patterns(windows: DataFrame, names: tuple[str, ...] = LIVE_PATTERNS) -> DataFrame:
-    """One row per evaluation and detected pattern."""
-    rows = windows.filter(F.size("short") + F.size("insider") >= 2).withColumn("all", F.concat("short", "insider"))
+    """One row per evaluation and detected pattern; every pattern needs two signals or more by itself."""
+    rows = windows.withColumn("all", F.concat("short", "insider"))
     for name in names:
         rows = DETECTORS[name](rows, name)
     found = F.array_compact(F.array(*names))

@@ -72,50 +72,55 @@ def running_counts(df: DataFrame, keys: Sequence[str], pos: str, tie: Sequence[s
     Counted inside (key, chunk) and raised by the sums of earlier chunks; ``__chunk`` stays for steps that need no other partitioning.
     """
     keys = list(keys)
+    held = {f"__{name}": F.when(flag, 1) for name, flag in flags.items()}
     df = df.withColumn("__chunk", _chunk(pos, width))
     inner = Window.partitionBy(*keys, "__chunk").orderBy(pos, *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    held = {name: F.when(flag, 1) for name, flag in flags.items()}
-    totals = df.groupBy(*keys, "__chunk").agg(*[F.count(one).alias(f"__{name}") for name, one in held.items()])
     before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, "__chunk", *[F.coalesce(F.sum(f"__{name}").over(before), F.lit(0)).alias(f"__{name}") for name in flags])
-    counted = join_same(df.withColumns({name: F.count(one).over(inner) for name, one in held.items()}), carry, [*keys, "__chunk"])
-    return counted.withColumns({name: F.col(name) + F.col(f"__{name}") for name in flags}).drop(*[f"__{name}" for name in flags])
+    totals = df.groupBy(*keys, "__chunk").agg(*[F.count(one).alias(name) for name, one in held.items()])
+    carry = totals.select(*keys, "__chunk", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(name) for name in held])
+    counted = join_same(df.withColumns({name: F.count(held[f"__{name}"]).over(inner) for name in flags}), carry, [*keys, "__chunk"])
+    return counted.select(*df.columns, *[(F.col(name) + F.col(f"__{name}")).alias(name) for name in flags])
 
 
 def newest_by_rank(
-    rows: DataFrame, probes: DataFrame, keys: Sequence[str], pos: str, tie: str, item: Column, classes: dict[str, Column], keep: int, width: int = DAY_US
+    rows: DataFrame, probes: DataFrame, keys: Sequence[str], pos: str, tie: str, classes: dict[str, tuple[Column, int]], keep: int, width: int = DAY_US
 ) -> DataFrame:
     """At every distinct probe (keys, pos) the newest ``keep`` rows of each class at or before it, as arrays ordered by (pos, tie).
 
-    An as-of join by rank: rows are numbered inside (key, class), and a probe knows how many there are before it.  The rows it
-    wants lie in two neighbouring buckets of ``keep`` ranks of each class, and probes between the same bucket edges form a cell, so the
-    rows are brought together once per cell and never once per probe.  Every row takes part in few cells: a bucket meets two cells of
-    its own class, plus one per bucket of the other classes filled meanwhile.  Arrays are cut to the probe's ranks where they are used.
-    ``item`` is a struct that begins with ``pos`` and ``tie``.  Null keys are keys like any other.
+    ``classes`` names conditions on ``rows`` and how far back a probe looks, its edge included.  An element holds ``pos``, ``tie``, the
+    other columns of ``rows`` and ``rank``, its number inside (key, class).
+
+    An as-of join by rank: a probe knows how many rows of each class lie before it.  Those it wants lie in two neighbouring buckets
+    of ``keep`` ranks, and probes between the same bucket edges form a cell, so rows are brought together once per cell and never once
+    per probe.  Every row takes part in few cells: a bucket meets two cells of its own class, plus one per bucket of the other
+    classes filled meanwhile.  Null keys are keys like any other.
     """
-    keys, names = list(keys), list(classes)
-    every = F.coalesce(*[F.when(cond, F.lit(i)) for i, cond in enumerate(classes.values())])
-    told = rows.select(*keys, F.col(pos).alias("__pos"), F.col(tie).alias("__tie"), F.lit(0).alias("__side"), every.alias("__class"), item.alias("__item"))
-    asked = probes.select(*keys, F.col(pos).alias("__pos"), F.lit(None).alias("__tie"), F.lit(1).alias("__side"), F.lit(None).alias("__class"), F.lit(None).alias("__item"))
-    flags = {f"__n{i}": F.col("__class") == i for i in range(len(names))}
-    line = running_counts(told.filter("__pos IS NOT NULL AND __class IS NOT NULL").unionByName(asked), keys, "__pos", ("__side", "__tie"), flags, width)
-    cell = [f"__b{i}" for i in range(len(names))]
-    at = line.filter("__side = 1").dropDuplicates([*keys, "__chunk", "__pos"])  # a probe's chunk follows from its position
-    at = at.select(*keys, F.col("__pos").alias(pos), *flags, *[F.floor(F.col(n) / keep).alias(b) for n, b in zip(flags, cell)])
-    rank = F.coalesce(*[F.when(F.col("__class") == i, F.col(n)) for i, n in enumerate(flags)])
-    ranked = line.filter("__side = 0").select(*keys, "__class", F.floor(rank / keep).alias("__bucket"), F.struct(F.col("__item"), rank.alias("rank")).alias("__row"))
-    wanted = F.array(*[F.struct(F.lit(i).alias("__class"), (F.col(b) - back).alias("__bucket")) for i, b in enumerate(cell) for back in (0, 1)])
-    found = at.select(*keys, *cell).withColumn("w", F.explode(wanted)).select(*keys, "w.*", *cell).filter("__bucket >= 0")
+    keys, conds, reaches = list(keys), [c for c, _ in classes.values()], [r for _, r in classes.values()]
+    counts, cell, lists = ([f"__{letter}{i}" for i in range(len(conds))] for letter in "nba")
+    others = [c for c in rows.columns if c not in (*keys, pos, tie)]
+    told = rows.select(*keys, pos, tie, *others, F.coalesce(*[F.when(cond, F.lit(i)) for i, cond in enumerate(conds)]).alias("__class"))
+    line = told.filter(F.col(pos).isNotNull() & F.col("__class").isNotNull()).unionByName(probes.select(*keys, pos), allowMissingColumns=True)
+    # signals come before probes of the same time
+    line = running_counts(line.withColumn("__side", F.col("__class").isNull()), keys, pos, ["__side", tie], {n: F.col("__class") == i for i, n in enumerate(counts)}, width)
+    at = line.filter("__side").dropDuplicates([*keys, "__chunk", pos]).select(*keys, pos, *counts, *[F.floor(F.col(n) / keep).alias(b) for n, b in zip(counts, cell)])
+    rank = F.coalesce(*[F.when(F.col("__class") == i, F.col(n)) for i, n in enumerate(counts)])
+    ranked = line.filter("NOT __side").select(*keys, "__class", F.floor(rank / keep).alias("__bucket"), F.struct(pos, tie, *others, rank.alias("rank")).alias("__row"))
     spot = [*keys, "__class", "__bucket"]
-    # distinct under the partitioning of the join that follows; hash partitions by these columns serve both
-    found = found.repartition(*spot).dropDuplicates([*spot, *cell])
-    held = join_same(ranked, found, spot)
-    panel = held.groupBy(*keys, *cell).agg(*[F.sort_array(F.collect_list(F.when(F.col("__class") == i, F.col("__row")))).alias(f"__a{i}") for i in range(len(names))])
+    wanted = F.array(*[F.struct(F.lit(i).alias("__class"), (F.col(b) - back).alias("__bucket")) for i, b in enumerate(cell) for back in (0, 1)])
+    met = at.select(*keys, pos, *cell, F.explode(wanted).alias("w")).select(*keys, "w.*", *cell, pos).filter("__bucket >= 0")
+    found = met.groupBy(*spot, *cell).agg(F.min(pos).alias("__since"))
+    reach = F.coalesce(*[F.when(F.col("__class") == i, F.lit(r)) for i, r in enumerate(reaches)])
+    near = join_same(ranked, found, spot).filter(F.col(f"__row.{pos}") >= F.col("__since") - reach)  # of use to the first probe of the cell
+    panel = near.groupBy(*keys, *cell).agg(*[F.sort_array(F.collect_list(F.when(F.col("__class") == i, F.col("__row")))).alias(a) for i, a in enumerate(lists)])
     out = join_same(at, panel, [*keys, *cell], "left")
-    for i, (name, n) in enumerate(zip(names, flags)):
-        inside = F.filter(F.coalesce(F.col(f"__a{i}"), F.array()), lambda r: (r["rank"] > F.col(n) - keep) & (r["rank"] <= F.col(n)))
-        out = out.withColumn(name, F.transform(inside, lambda r: r["__item"]))
-    return out.select(*keys, pos, *names)
+
+    def newest(a: str, n: str, reach: int) -> Column:
+        first = F.col(a)[0]["rank"]  # ranks in an array are consecutive
+        last_ones = F.slice(a, F.greatest(F.col(n) - keep + 2 - first, F.lit(1)).cast("int"), F.least(F.col(n) - first + 1, F.lit(keep)).cast("int"))
+        near = F.filter(last_ones, lambda r: r[pos] >= F.col(pos) - reach)
+        return F.when((F.size(a) > 0) & (F.col(n) >= first), near).otherwise(F.array())
+
+    return out.select(*keys, pos, *[newest(a, n, reach).alias(name) for name, a, n, reach in zip(classes, lists, counts, reaches)])
 
 
 def asof_join(
