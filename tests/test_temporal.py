@@ -134,3 +134,23 @@ def test_running_counts(spark, points):
         seen[k][0] += 1
         seen[k][1] += v < 0.3
         assert got[i] == tuple(seen[k])
+
+
+def test_a_million_links_in_one_key(spark):
+    rows = spark.range(1_000_000).select(F.lit("hot").alias("k"), (F.col("id") * 10).alias("pos"), F.when(F.col("id") % 5 == 0, 25).otherwise(10).alias("hold"))
+    got = T.greedy_accept(rows, ["k"], "pos", "hold", 25, 100_000).filter("accepted")
+    # of every five rows the first is taken, the next two lie within its hold and the others follow one by one
+    assert got.count() == 600_000 and got.filter("(pos / 10) % 5 IN (1, 2)").isEmpty()
+
+
+@pytest.mark.parametrize("width, most", [(7, 60), (40, 900), (10_000, 50)])
+def test_stretches_shorter_and_longer_than_holds(spark, width, most):
+    rng = random.Random(width)
+    rows = [(k, p, rng.choice((0, 1, most // 3, most))) for k in ("a", "b", None) for p in sorted(rng.sample(range(-3_000, 9_000), 700))]
+    df = spark.createDataFrame(rows, "k string, pos long, hold long").repartition(5)
+    want, free = set(), {}
+    for k, p, hold in sorted(rows, key=lambda r: r[1]):
+        if p >= free.get(k, -10_000):
+            want.add((k, p))
+            free[k] = p + hold
+    assert {(r.k, r.pos) for r in T.greedy_accept(df, ["k"], "pos", "hold", most, width).filter("accepted").collect()} == want

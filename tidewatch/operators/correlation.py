@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewatch.operators.temporal import DAY_US, asof_join, from_micros, greedy_accept, lag_in_order, micros, newest_by_rank
+from tidewatch.operators.temporal import DAY_US, from_micros, greedy_accept, lag_in_order, micros, newest_by_rank, running_counts
 from tidewatch.session import cut_lineage
 
 HOUR_US = 3_600_000_000
@@ -225,11 +225,10 @@ def skip_unchanged(hashes: DataFrame, window_us: int = HASH_WINDOW_US) -> DataFr
 
     A changed hash is always kept, so each run of equal hashes is throttled on its own.
     """
-    prev = cut_lineage(lag_in_order(hashes, ["ticker"], "now_us", ["hash"]))
-    starts = prev.filter(F.col("prev").isNull() | (F.col("prev.hash") != F.col("hash")))
-    runs = asof_join(prev.drop("prev"), starts.select("ticker", "now_us"), ["ticker"], "now_us", "now_us", ["now_us"])
-    rows = runs.withColumn("run", F.col("match.now_us")).drop("match").withColumn("hold", F.lit(window_us + 1))
-    kept = greedy_accept(rows, ["ticker", "run"], "now_us", "hold", window_us + 1)
+    prev = lag_in_order(cut_lineage(hashes), ["ticker"], "now_us", ["hash"])
+    changed = F.col("prev").isNull() | ~F.col("prev.hash").eqNullSafe(F.col("hash"))
+    runs = running_counts(prev, ["ticker"], "now_us", [], {"run": changed}).withColumn("hold", F.lit(window_us + 1))
+    kept = greedy_accept(runs.select("ticker", "run", "now_us", "hash", "hold"), ["ticker", "run"], "now_us", "hold", window_us + 1)
     return kept.select("ticker", "now_us", "hash", (~F.col("accepted")).alias("skipped"))
 
 
@@ -252,13 +251,11 @@ def claim_patterns(alerts: DataFrame, short_seconds: int = 900) -> DataFrame:
     """Claim per (ticker, pattern): 15 minutes, extended to the pattern throttle when delivered."""
     throttle = F.create_map(*[F.lit(x) for kv in PATTERN_THROTTLE.items() for x in kv])[F.col("pattern")]
     hold = F.when(F.col("reason").isNull(), F.greatest(throttle, F.lit(short_seconds))).otherwise(F.lit(short_seconds))
-    rows = cut_lineage(alerts.withColumn("__hold", hold.cast("long") * 1_000_000))
-    open_rows = rows.filter(~F.col("low_conviction"))
-    claimed = greedy_accept(
-        open_rows, ["ticker", "pattern"], "now_us", "__hold", max(PATTERN_THROTTLE.values()) * 1_000_000
+    # a pattern below the conviction limit takes no part in claims: it has no position in the chain
+    rows = cut_lineage(alerts).withColumn("__hold", hold.cast("long") * 1_000_000).withColumn("__at", F.when(~F.col("low_conviction"), F.col("now_us")))
+    claimed = greedy_accept(rows, ["ticker", "pattern"], "__at", "__hold", max(PATTERN_THROTTLE.values()) * 1_000_000)
+    action = (
+        F.when(F.col("low_conviction"), "SKIP_LOW_CONVICTION").when(~F.col("accepted"), "DEDUP_SKIP")
+        .when(F.col("reason").isNull(), "ALERT_SENT_TELEGRAM").otherwise(F.concat(F.lit("ALERT_DB_ONLY_"), F.upper("reason")))
     )
-    action = F.when(~F.col("accepted"), "DEDUP_SKIP").when(F.col("reason").isNull(), "ALERT_SENT_TELEGRAM").otherwise(
-        F.concat(F.lit("ALERT_DB_ONLY_"), F.upper("reason"))
-    )
-    low = rows.filter("low_conviction").withColumn("action", F.lit("SKIP_LOW_CONVICTION"))
-    return claimed.withColumn("action", action).drop("accepted").unionByName(low).drop("__hold")
+    return claimed.withColumn("action", action).drop("accepted", "__hold", "__at")

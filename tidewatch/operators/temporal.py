@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidewatch.session import cut_lineage
+from tidewatch.operators.chains import follow_releases
 
 DAY_US = 86_400_000_000
 
@@ -201,33 +201,10 @@ def greedy_accept(
     """Rows accepted by a per-key throttle, marked ``accepted``.
 
     A row is accepted when ``pos >= p + hold`` for the last accepted ``p``.  ``pos`` must be unique per key; a row without a
-    position is not accepted, a null key is a key like any other.  A gap of ``max_hold`` always re-opens the key.  From each such
-    row the chain "first row at or after my release" is followed by pointer doubling: log2(longest chain) rounds of
-    equi-joins, whatever the size of a key.
+    position is not accepted, a null key is a key like any other.  No hold is above ``max_hold``.  Chains are followed by
+    composing what each stretch of ``width`` does to a release (``chains``): a fixed number of exchanges, whatever the size of a key.
     """
-    keys = list(keys)
-    rows = df.select(*keys, pos, hold).filter(F.col(pos).isNotNull())
-    gap = F.col(pos) - F.col("prev")[pos]
-    rows = lag_in_order(rows, keys, pos, [pos], width=width)
-    rows = rows.withColumn("__head", F.col("prev").isNull() | (gap >= max_hold)).drop("prev")
-    linked = asof_join(
-        rows.withColumn("__free", F.col(pos) + F.col(hold)),
-        rows.select(*keys, pos, "__head"),
-        keys, "__free", pos, [pos, "__head"], "forward", width=width,
-    )
-    nodes = cut_lineage(linked.select(*keys, pos, "__head", F.col("match")[pos].alias("__next"), F.col("match")["__head"].alias("__stop")))
-    jump = nodes.filter("__next IS NOT NULL AND NOT __stop").select(*keys, pos, "__next")
-    reached = nodes.filter("__head").select(*keys, pos)
-    while True:
-        hop = cut_lineage(join_same(reached, jump, [*keys, pos]).select(*keys, F.col("__next").alias(pos)))
-        if hop.isEmpty():
-            break
-        reached = reached.unionByName(hop)
-        second = jump.select(*keys, F.col(pos).alias("__next"), F.col("__next").alias("__far"))
-        jump = cut_lineage(join_same(jump, second, [*keys, "__next"]).select(*keys, pos, F.col("__far").alias("__next")))
-    return join_same(df, reached.withColumn("__ok", F.lit(True)), [*keys, pos], "left").withColumn(
-        "accepted", F.coalesce("__ok", F.lit(False))
-    ).drop("__ok")
+    return follow_releases(df, keys, pos, hold, max_hold, width)
 
 
 def fold_sorted(
