@@ -173,15 +173,16 @@ def random_baseline(prices: DataFrame, samples: int = 5000, seed: int = 42, name
     Rows are ordered by a hash of (symbol, index, seed), so the draw does not depend on
     partitioning; it is without replacement.
     """
+    sizes = prices.groupBy("symbol").agg(F.count("*").alias("__n")).filter("__n > 30")
+    shares = sizes.select(F.col("symbol").alias("__of"), F.greatest(F.lit(1), F.floor(F.lit(samples) / F.count("*").over(Window.partitionBy()))).alias("__share"))  # one row per symbol
     rows = _row_returns(prices).filter("n > 30")
-    symbols = rows.agg(F.count_distinct("symbol")).scalar()
     max_idx = F.col("n") - max(HORIZONS.values()) - 1
     eligible = rows.filter((max_idx >= 1) & (F.col("idx") < max_idx))
-    share = F.greatest(F.lit(1), F.floor(F.lit(samples) / symbols))
     rank = F.row_number().over(
         Window.partitionBy("symbol").orderBy(_hash_rank(F.col("symbol"), F.col("idx"), F.lit(seed)))
     )
-    drawn = eligible.withColumn("__rank", rank).filter(F.col("__rank") <= F.least(share, max_idx)).filter("close > 0")
+    drawn = eligible.withColumn("__rank", rank).join(shares, F.col("symbol").eqNullSafe(F.col("__of")))
+    drawn = drawn.filter((F.col("__rank") <= F.least("__share", max_idx)) & (F.col("close") > 0))
     return _long_returns(drawn.withColumn("baseline", F.lit(name)), ["baseline", "symbol"])
 
 
@@ -200,24 +201,29 @@ def dip_baseline(prices: DataFrame, per_symbol: int = 50, seed: int = 45, name:
 RETS = [f"ret_{h}" for h in HORIZONS]
 
 
+def _member(group: Column, direction: Column, baseline: Column) -> Column:
+    return F.struct(group.cast("string").alias("sub_group"), direction.cast("string").alias("direction"), baseline.cast("string").alias("baseline"))
+
+
 def group_rows(events: DataFrame, groups: Sequence[tuple[str, Column, str, str]]) -> DataFrame:
-    """(sub_group, direction, baseline, horizon, ret) for every group an event falls in.
+    """Returns of every event and ``members``, the (sub_group, direction, baseline) of the groups it falls in.
 
-    The statistics read these rows several times, so the narrow form (returns plus one
-    flag per group) is materialised once before it is exploded.
+    One narrow row per event, whatever the number of groups; ``long_rows`` takes them apart inside the aggregation.
     """
-    flags = [F.coalesce(cond, F.lit(False)).alias(f"g{i}") for i, (_, cond, _, _) in enumerate(groups)]
-    stored = cut_lineage(events.select(*RETS, *flags))
-    member = F.array_compact(
-        F.array(
-            *[
-                F.when(F.col(f"g{i}"), F.struct(F.lit(g).alias("sub_group"), F.lit(d).alias("direction"), F.lit(b).alias("baseline")))
-                for i, (g, _, d, b) in enumerate(groups)
-            ]
-        )
-    )
-    rows = stored.select(*RETS, F.explode(member).alias("g")).select("*", "g.*").drop("g")
-    return _long_returns(rows, ["sub_group", "direction", "baseline"])
+    member = F.array_compact(F.array(*[F.when(cond, _member(F.lit(g), F.lit(d), F.lit(b))) for g, cond, d, b in groups]))
+    return events.select(*RETS, member.alias("members")).filter(F.size("members") > 0)
+
+
+def long_rows(rows: DataFrame) -> DataFrame:
+    """(sub_group, direction, baseline, horizon, ret) of every group an event falls in."""
+    each = rows.select(*RETS, F.explode("members").alias("g")).select(*RETS, "g.*")
+    return _long_returns(each, ["sub_group", "direction", "baseline"])
+
+
+def _baseline_members(baselines: DataFrame) -> DataFrame:
+    """Baseline returns in the form of ``group_rows``: a group of its own without a name."""
+    rets = [F.when(F.col("horizon") == h, F.col("ret")).alias(f"ret_{h}") for h in HORIZONS]
+    return baselines.select(*rets, F.array(_member(F.lit(None), F.lit(None), F.col("baseline"))).alias("members"))
 
 
 def _hits(direction: Column, ret: Column) -> Column:
@@ -235,38 +241,70 @@ def winsorize(rows: DataFrame, keys: Sequence[str], value: str = "ret", pct: flo
 
 
 def moments(
-    rows: DataFrame, keys: Sequence[str], median: bool = True, extra: Sequence[Column] = ()
+    rows: DataFrame, keys: Sequence[str], median: bool = True, extra: Sequence[Column] = (), eps: float = 0.001
 ) -> DataFrame:
-    """n, mean, median, variances and winsorised mean/variance per group, plus ``extra`` aggregates."""
-    keys = list(keys)
-    sizes = rows.groupBy(*keys).agg(
-        F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.var_samp("ret").alias("var"), F.stddev_pop("ret").alias("std"), *extra
+    """n, mean, median, variances and winsorised mean/variance per group, plus ``extra`` aggregates; quantiles are exact.
+
+    Two passes over ``rows``.  The first takes the moments and a mergeable sketch whose cells bracket the wanted ranks; the second counts and
+    sums what lies between the brackets and keeps single values only inside them (about ``2 * eps`` of a group each).  From
+    these cells follow the exact quantiles and the sums of the clipped values.  Groups under ``4 / eps`` rows are one bracket.
+    """
+    keys, c = list(keys), F.col
+    probs = [0.01, 0.99] + ([0.5] if median else [])
+    grid = sorted({round(min(max(p + d, 0.0), 1.0), 9) for p in probs for d in (-eps, eps)})
+    kept = ["n", "mean", "var", "std"]
+    head = rows.groupBy(*keys).agg(
+        F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.var_samp("ret").alias("var"), F.stddev_pop("ret").alias("std"), *extra,
+        F.min("ret").alias("__min"), F.max("ret").alias("__max"), F.percentile_approx("ret", grid, int(10 / eps)).alias("__grid"),
+    )
+    kept += [x for x in head.columns if x not in (*keys, *kept, "__min", "__max", "__grid")]
+    small = c("n") * eps < 4
+    lows = [F.when(small, c("__min")).otherwise(c("__grid")[grid.index(round(p - eps, 9))]) for p in probs]
+    highs = [F.when(small, c("__max")).otherwise(c("__grid")[grid.index(round(p + eps, 9))]) for p in probs]
+    head = head.select(*keys, F.struct(*kept).alias("h"), *[x.alias(f"__lo{i}") for i, x in enumerate(lows)], *[x.alias(f"__hi{i}") for i, x in enumerate(highs)])
+    inside = F.lit(False)
+    zone = F.lit(0)
+    for i in range(len(probs)):
+        inside = inside | c("ret").between(c(f"__lo{i}"), c(f"__hi{i}"))
+        zone = zone + (c("ret") > c(f"__hi{i}")).cast("int")
+    off = c("ret") - c("h.mean")
+    placed = join_same(rows.filter("ret IS NOT NULL").select(*keys, "ret"), head, keys).select(*keys, "h", "ret", off.alias("__d"), F.when(inside, c("ret")).alias("__value"), zone.alias("__zone"))
+    cells = placed.groupBy(*keys, "__zone", "__value").agg(
+        F.first("h").alias("h"), F.count("*").alias("__c"), F.min("ret").alias("__at"), F.sum("__d").alias("__s1"), F.sum(c("__d") * c("__d")).alias("__s2")
     )
-    q = exact_quantiles(rows, keys, "ret", [0.01, 0.99] + ([0.5] if median else []))
-    head = cut_lineage(join_same(sizes, q, keys, "left"))  # a few rows per group, read twice
-    clip = F.greatest(F.least("ret", "q1"), F.col("q0"))
-    clipped = join_same(rows, head.select(*keys, "n", "q0", "q1"), keys).withColumn(
-        "c", F.when(F.col("n") < 10, F.col("ret")).otherwise(clip)
+    group = Window.partitionBy(*keys)
+    cells = cells.withColumn("__cum", F.sum("__c").over(group.orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    quantiles = []
+    for i, p in enumerate(probs):
+        rank = (c("h.n") - 1) * p
+        a, b = (F.min(F.when(c("__cum") > edge, c("__at"))).over(group) for edge in (F.floor(rank), F.ceil(rank)))
+        quantiles.append((a + (b - a) * (rank - F.floor(rank))).alias(f"__q{i}"))
+    cells = cells.select(*keys, "h", "__c", "__at", "__s1", "__s2", *quantiles)
+    low, high = c("__q0") - c("h.mean"), c("__q1") - c("h.mean")
+    clip = lambda power, whole: F.when(c("h.n") < 10, whole).when(c("__at") < c("__q0"), c("__c") * low**power).when(c("__at") > c("__q1"), c("__c") * high**power).otherwise(whole)
+    out = cells.groupBy(*keys).agg(
+        F.first("h").alias("h"), F.sum(clip(1, c("__s1"))).alias("__w1"), F.sum(clip(2, c("__s2"))).alias("__w2"), *([F.first("__q2").alias("median")] if median else [])
     )
-    w = clipped.groupBy(*keys).agg(F.avg("c").alias("w_mean"), F.var_samp("c").alias("w_var"))
-    out = join_same(head, w, keys).drop("q0", "q1")
-    return out.withColumnRenamed("q2", "median") if median else out
+    n = c("h.n")
+    w_var = F.when(n > 1, F.greatest(c("__w2") - c("__w1") * c("__w1") / n, F.lit(0.0)) / (n - 1))
+    return out.select(*keys, *[c(f"h.{x}").alias(x) for x in kept], *(["median"] if median else []), (c("h.mean") + c("__w1") / n).alias("w_mean"), w_var.alias("w_var"))
 
 
 def horizon_stats(rows: DataFrame, baselines: DataFrame, with_p: bool = True) -> DataFrame:
-    """Statistics of every (sub_group, direction, baseline, horizon) against its baseline."""
+    """Statistics of every (sub_group, direction, baseline, horizon) of ``group_rows`` against its baseline.
+
+    Events and baselines are groups of one aggregation; its input is stored once, as two passes read it.
+    """
     keys = ["sub_group", "direction", "baseline", "horizon"]
-    hit = F.avg(_hits(F.col("direction"), F.col("ret")).cast("int")).alias("hit")
-    ev = moments(rows, keys, extra=[hit])
-    bkeys = ["baseline", "horizon"]
-    hits = [
-        F.avg(_hits(F.lit(d), F.col("ret")).cast("int")).alias(f"hit_{d}") for d in ("sell", "buy", "any")
-    ]
-    bl = moments(cut_lineage(baselines), bkeys, median=False, extra=hits)
-    bl = bl.select(*bkeys, *[F.col(c).alias(f"b_{c}") for c in bl.columns if c not in bkeys])
-    j = ev.join(bl, bkeys, "left")
     c = F.col
-    b_hit = F.when(c("direction") == "sell", c("b_hit_sell")).when(c("direction") == "buy", c("b_hit_buy")).otherwise(c("b_hit_any"))
+    hits = [F.avg(_hits(F.lit(d), c("ret")).cast("int")).alias(f"hit_{d}") for d in ("sell", "buy", "any")]
+    stored = cut_lineage(rows.unionByName(_baseline_members(baselines)))
+    told = moments(long_rows(stored), keys, extra=hits)
+    own = F.struct(*[x for x in told.columns if x not in keys])
+    told = told.withColumn("b", F.max(F.when(c("sub_group").isNull(), own)).over(Window.partitionBy("baseline", "horizon")))  # one row per group
+    j = told.filter("sub_group IS NOT NULL").select("*", *[c(f"b.{x}").alias(f"b_{x}") for x in told.columns if x not in (*keys, "b")])
+    by_direction = lambda prefix: F.when(c("direction") == "sell", c(f"{prefix}hit_sell")).when(c("direction") == "buy", c(f"{prefix}hit_buy")).otherwise(c(f"{prefix}hit_any"))
+    j, b_hit = j.withColumn("hit", by_direction("")), by_direction("b_")
     enough = c("n") >= 3
     testable = enough & (c("b_n") > 10) & (c("n") > 3)
     t = X.welch_t(c("mean"), c("var"), c("n"), c("b_mean"), c("b_var"), c("b_n"))
@@ -297,11 +335,11 @@ def horizon_stats(rows: DataFrame, baselines: DataFrame, with_p: bool = True) ->
 
 def direct_compare(rows: DataFrame, left: str, right: str, min_n: int, with_p: bool = True) -> DataFrame:
     """Two groups against each other per horizon: Welch t, winsorised and raw d."""
-    m = moments(rows, ["sub_group", "horizon"])
-    a = m.filter(F.col("sub_group") == left).drop("sub_group")
-    b = m.filter(F.col("sub_group") == right).drop("sub_group")
-    b = b.select("horizon", *[F.col(x).alias(f"b_{x}") for x in b.columns if x != "horizon"])
-    j = a.join(b, "horizon", "full")
+    m = moments(long_rows(cut_lineage(rows)), ["sub_group", "horizon"])
+    side = lambda name: F.first(F.when(F.col("sub_group") == name, F.struct(*[x for x in m.columns if x not in ("sub_group", "horizon")])), ignorenulls=True)
+    both = m.filter(F.col("sub_group").isin(left, right)).groupBy("horizon").agg(side(left).alias("a"), side(right).alias("b"))
+    names = [x for x in m.columns if x not in ("sub_group", "horizon")]
+    j = both.select("horizon", *[F.col(f"a.{x}").alias(x) for x in names], *[F.col(f"b.{x}").alias(f"b_{x}") for x in names])
     c = F.col
     n1, n2 = F.coalesce("n", F.lit(0)), F.coalesce("b_n", F.lit(0))
     enough = (n1 >= min_n) & (n2 >= min_n)
@@ -330,7 +368,7 @@ def direct_compare(rows: DataFrame, left: str, right: str, min_n: int, with_p: b
 
 def bonferroni(results: DataFrame, p: str = "p_value") -> DataFrame:
     """Correct over all non-null p values of the run."""
-    n = results.agg(F.count(p)).scalar()
+    n = F.count(p).over(Window.partitionBy())  # one row per group and horizon
     return results.withColumn("n_tests", F.when(F.col(p).isNotNull(), n)).withColumn(
         "threshold_005", F.round(0.05 / F.col("n_tests"), 6)
     ).withColumn("significant_bonferroni", F.col(p) < 0.05 / F.col("n_tests")).withColumn(
@@ -342,8 +380,8 @@ def bonferroni(results: DataFrame, p: str = "p_value") -> DataFrame:
 
 
 def stored_returns(trades: DataFrame, prices: DataFrame) -> DataFrame:
-    """Returns of every filing day, materialised because each hypothesis joins them."""
-    return cut_lineage(day_returns(trades, prices))
+    """Returns of every filing day, one row per symbol and day."""
+    return day_returns(trades, prices)
 
 
 def with_returns(events: DataFrame, returns: DataFrame) -> DataFrame:
@@ -468,10 +506,9 @@ def h8_rows(trades: DataFrame, returns: DataFrame, baseline: str = "random") ->
     rows = group_rows(events, groups)
     enough = events.groupBy("symbol").agg(F.count("*").alias("__n")).filter("__n >= 3").select("symbol")
     own = events.join(enough, "symbol", "left_semi").select(
-        F.concat(F.lit("ticker_"), "symbol").alias("sub_group"), F.lit("buy").alias("direction"),
-        F.lit(baseline).alias("baseline"), *RETS,
+        *RETS, F.array(_member(F.concat(F.lit("ticker_"), "symbol"), F.lit("buy"), F.lit(baseline))).alias("members")
     )
-    return rows.unionByName(_long_returns(own, ["sub_group", "direction", "baseline"]))
+    return rows.unionByName(own)
 
 
 def tier_gate(results: DataFrame, horizon: str = "7d") -> DataFrame:
@@ -482,7 +519,7 @@ def tier_gate(results: DataFrame, horizon: str = "7d") -> DataFrame:
 
 def full_run(trades: DataFrame, prices: DataFrame, samples: int = 10_000) -> DataFrame:
     """All hypotheses in one long table with p values and the Bonferroni correction."""
-    clean = cut_lineage(insider_week_dedup(trades))
+    clean = insider_week_dedup(trades)
     returns = stored_returns(clean, prices)
     scope = clean.filter("is_healthcare")
     hc_symbols = scope.select("symbol").distinct()
@@ -501,6 +538,6 @@ def full_run(trades: DataFrame, prices: DataFrame, samples: int = 10_000) -> Dat
     }
     rows = None
     for name, part in parts.items():
-        part = part.withColumn("sub_group", F.concat_ws("/", F.lit(name), "sub_group"))
+        part = part.withColumn("members", F.transform("members", lambda m: m.withField("sub_group", F.concat_ws("/", F.lit(name), m["sub_group"]))))
         rows = part if rows is None else rows.unionByName(part)
-    return bonferroni(cut_lineage(horizon_stats(rows, baselines)))
+    return bonferroni(horizon_stats(rows, baselines))
