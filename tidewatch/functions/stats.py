@@ -1,5 +1,7 @@
 """Test statistics on aggregated moments."""
 
+import math
+
 from pyspark.sql import Column, functions as F
 
 
@@ -24,51 +26,43 @@ def raw_d(m1: Column, v1: Column, m2: Column, v2: Column) -> Column:
     return F.when(v1 + v2 > 0, (m1 - m2) / F.sqrt((v1 + v2) / 2)).otherwise(0.0)
 
 
-def two_sided_p(t: Column, df: Column) -> Column:
-    """Two-sided p of Student's t by the regularised incomplete beta function.
+def _gamma_ratio(a: Column, shift: int = 24) -> Column:
+    """log(gamma(a + 1/2) / gamma(a)) for a > 0: by the asymptotic series at ``a + shift``, taken down again by recurrence."""
+    b = a + shift
+    down = F.lit(0.0)
+    for k in range(shift):
+        down = down + F.log((a + k) / (a + (k + 0.5)))
+    return F.log(b) / 2 - 1 / (8 * b) + 1 / (192 * b * b * b) - 1 / (640 * F.pow(b, F.lit(5))) + down
+
+
+def two_sided_p(t: Column, df: Column, steps: int = 800) -> Column:
+    """Two-sided p of Student's t: the regularised incomplete beta function I_x(df / 2, 1 / 2) at x = df / (df + t * t).
 
-    Runs on aggregated rows only (one per group and horizon), vectorised over the batch.
+    A column expression: its continued fraction is followed over a fixed sequence of steps (one numerator each), which it leaves
+    untouched once settled; the symmetric form is used where that converges faster.  Null where it does not settle.
     """
-    import pandas as pd
-
-    def p_value(ts: pd.Series, dfs: pd.Series) -> pd.Series:
-        import math
-
-        import numpy as np
-        import pandas as pd
-
-        t, nu = ts.to_numpy(dtype=float), dfs.to_numpy(dtype=float)
-        known = np.isfinite(t) & np.isfinite(nu) & (nu > 0)
-        t, nu = np.where(known, t, 0.0), np.where(known, nu, 1.0)
-        a, b, x = nu / 2, np.full_like(nu, 0.5), nu / (nu + t * t)
-        # the continued fraction converges fast below this point; use the symmetric form above it
-        swap = x > (a + 1) / (a + b + 2)
-        p, q, z = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
-        tiny = 1e-300
-        c = np.ones_like(z)
-        d = 1 - (p + q) * z / (p + 1)
-        d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-        h = d.copy()
-        for m in range(1, 400):
-            for num in (
-                m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)),
-                -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1)),
-            ):
-                d = 1 + num * d
-                d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-                c = 1 + num / c
-                c = np.where(np.abs(c) < tiny, tiny, c)
-                h = h * d * c
-            settled = np.abs(d * c - 1) < 1e-15
-            if np.all(settled):
-                break
-        lgamma = np.vectorize(math.lgamma, otypes=[float])
-        with np.errstate(divide="ignore"):
-            log_front = lgamma(p + q) - lgamma(p) - lgamma(q) + p * np.log(z) + q * np.log1p(-z)
-        front = np.where(z > 0, np.exp(log_front) / p * h, 0.0)
-        out = np.where(swap, 1 - front, front)
-        return pd.Series(np.where(known & settled, np.clip(out, 0.0, 1.0), np.nan))
-
-    udf = F.pandas_udf(p_value, "double")
-    p = udf(t, df)
-    return F.when(t.isNotNull() & df.isNotNull(), F.nanvl(p, F.lit(None).cast("double")))
+    a, ratio = df / 2, t * t / df
+    x, y = 1 / (1 + ratio), ratio / (1 + ratio)
+    swap = x > (a + 1) / (a + 2.5)
+    guard = lambda v: F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
+    start = F.struct(
+        F.when(swap, 0.5).otherwise(a).alias("p"), F.when(swap, a).otherwise(0.5).alias("q"), F.when(swap, y).otherwise(x).alias("z"),
+        F.lit(1.0).alias("c"), F.lit(0.0).alias("d"), F.lit(1.0).alias("h"), F.lit(2.0).alias("last"),
+    )
+
+    def step(acc: Column, j: Column) -> Column:
+        p, q, z, m = acc["p"], acc["q"], acc["z"], F.floor(j / 2)
+        even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+        term = F.when(j % 2 == 0, even).otherwise(odd)
+        # the first term has no numerator before it, so c starts at 1 and d at 0
+        d = 1 / guard(1 + term * F.when(j == 1, F.lit(1.0)).otherwise(acc["d"]))
+        c = F.when(j == 1, F.lit(1.0)).otherwise(guard(1 + term / acc["c"]))
+        new = F.struct(p.alias("p"), q.alias("q"), z.alias("z"), c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h"), (c * d).alias("last"))
+        return F.when((j > 2) & (F.abs(acc["last"] - 1) < 2e-16), acc).otherwise(new)
+
+    done = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)
+    front = F.exp(_gamma_ratio(a) - a * F.log1p(ratio)) * F.sqrt(y / math.pi)
+    part = F.transform(F.array(done), lambda r: F.when(F.abs(r["last"] - 1) < 1e-12, r["h"] / r["p"]))[0] * front
+    p = F.when(t == 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(swap, 1 - part).otherwise(part))))
+    return F.when(t.isNotNull() & df.isNotNull() & ~F.isnan(t) & (df > 0), F.when(part.isNotNull() | (t == 0), p))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.reports import as_ts
 from tidewatch.plans.registry import query
+from tidewatch.plans.study_queries import FULL_RUN
 from tidewatch.sources import feeds as S, sinks as W
 
 
@@ -332,7 +333,20 @@ def k4b(t):
     return W.expired_counts(t.system_logs, as_ts("2024-02-15 00:00:00"))
 
 
-@query("k5_report_table")
+def _signed(value: str) -> str:
+    """Two digits with a sign, halves away from zero on the decimal digits."""
+    return f"CASE WHEN {value} < 0 THEN '-' ELSE '+' END || CAST(CAST(round(abs(CAST({value} AS DECIMAL(18, 3))), 2) AS DECIMAL(18, 2)) AS VARCHAR)"
+
+
+_CELL = f"""trim(concat_ws(' ', 'N=' || n, {_signed('avg_return_pct')} || '%', 'd=' || {_signed('effect_size_d')}, CASE WHEN significant_bonferroni THEN '✓✓✓' WHEN p_value < 0.01 THEN '✓✓' WHEN p_value < 0.05 THEN '✓' ELSE '' END))"""
+
+
+@query(
+    "k5_report_table", "trades prices",
+    FULL_RUN + f""", cells AS (SELECT sub_group, direction, horizon, {_CELL} AS cell FROM full_stats)
+    SELECT '| ' || sub_group || ' | ' || concat_ws(' | ', {', '.join(f"coalesce(max(cell) FILTER (horizon = '{h}'), '—')" for h in ('1d', '3d', '7d', '30d'))}) || ' |' AS value FROM cells GROUP BY sub_group, direction""",
+    recursive=True,
+)
 def k5(t):
     from tidewatch.operators import study as E
 

@@ -67,6 +67,32 @@ _STATS = """hit AS (SELECT *, CASE direction WHEN 'sell' THEN ret < 0 WHEN 'buy'
   FROM em JOIN ew USING (sub_group, direction, baseline, horizon) LEFT JOIN bm USING (baseline, horizon) LEFT JOIN bw USING (baseline, horizon)"""
 
 
+def _p_sql(t: str, df: str, points: int = 4000) -> str:
+    """Two-sided p of Student's t by Simpson's rule: with t = sqrt(df) * tan(x) the density is cos(x) ** (df - 1) up to a constant."""
+
+    def area(lo: str, hi: str) -> str:
+        weight = f"CASE WHEN i = 0 OR i = {points} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+        return f"(({hi}) - ({lo})) * list_sum(list_transform(range({points + 1}), lambda i: ({weight}) * pow(cos(({lo}) + i * (({hi}) - ({lo})) / {points}), {df} - 1)))"
+
+    at, reach = f"atan(abs({t}) / sqrt({df}))", f"14 / sqrt({df})"
+    tail, whole = area(at, f"least(pi() / 2, {at} + {reach})"), area("0e0", f"least(pi() / 2, {reach})")
+    return f"CASE WHEN {t} IS NOT NULL AND {df} > 0 THEN {tail} / ({whole}) END"
+
+
+def _df_sql(v1: str, n1: str, v2: str, n2: str) -> str:
+    a, b = f"({v1}) / ({n1})", f"({v2}) / ({n2})"
+    return f"({a} + {b}) * ({a} + {b}) / ({a} * {a} / ({n1} - 1) + {b} * {b} / ({n2} - 1))"
+
+
+# _STATS with p values and their corrections: rows of st.
+_STATS_P = _STATS.replace("SELECT sub_group, direction, baseline, horizon, n, n < 3", ", st0 AS (SELECT sub_group, direction, baseline, horizon, n, n < 3", 1) \
+    .replace(" AS t_stat\n", f" AS t_stat,\n    CASE WHEN n > 3 AND bn > 10 AND v / n + bv / bn > 0 THEN (m - bmean) / sqrt(v / n + bv / bn) END AS t, CASE WHEN v / n + bv / bn > 0 THEN {_df_sql('v', 'n', 'bv', 'bn')} END AS df\n") \
+    + f"""), st1 AS (SELECT * EXCLUDE (t, df), {_p_sql('t', 'df')} AS p FROM st0),
+  st AS (SELECT * EXCLUDE (p), round(p, 4) AS p_value, coalesce(p < 0.05, false) AS significant_005, coalesce(p < 0.01, false) AS significant_001 FROM st1),
+  bf AS (SELECT *, CASE WHEN p_value IS NOT NULL THEN count(p_value) OVER () END AS n_tests FROM st),
+  full_stats AS (SELECT *, round(0.05e0 / n_tests, 6) AS threshold_005, p_value < 0.05e0 / n_tests AS significant_bonferroni, p_value < 0.01e0 / n_tests AS significant_bonferroni_strict FROM bf)"""
+
+
 def _stats_sql(selection: str, groups, baselines: str = "") -> str:
     """Oracle of a hypothesis: ``selection`` defines sel (trade rows) joined to returns."""
     bl = baselines or _unpivot("rb", "'random' AS baseline, symbol")
@@ -223,9 +249,15 @@ def a24(t):
     return _welch(t).drop("p_value")
 
 
-@query("a24_welch_p")
+@query(
+    "a24_welch_p", "trades",
+    """m AS (SELECT symbol, count(*) FILTER (transaction_type = 'BUY') AS n1, avg(total_value) FILTER (transaction_type = 'BUY') AS m1, var_samp(total_value) FILTER (transaction_type = 'BUY') AS v1,
+      count(*) FILTER (transaction_type = 'SELL') AS n2, avg(total_value) FILTER (transaction_type = 'SELL') AS m2, var_samp(total_value) FILTER (transaction_type = 'SELL') AS v2 FROM trades GROUP BY 1),
+    w AS (SELECT symbol, n1, n2, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t, """ + _df_sql("v1", "n1", "v2", "n2") + """ AS df FROM m)
+    SELECT symbol, n1, n2, round(t, 6) AS t_stat, round(df, 4) AS df, round(""" + _p_sql("t", "df") + """, 9) AS p_value FROM w""",
+)
 def a24p(t):
-    return _welch(t)
+    return _welch(t).withColumn("p_value", F.round("p_value", 9))
 
 
 def _welch(t):
@@ -388,7 +420,22 @@ def h7b(t):
     return E.direct_compare(E.h7_rows(_clean(t), _returns(t), False), "cluster", "single", 3, with_p=False)
 
 
-@query("m27_cluster_verdict")
+# p and verdict of _DIRECT at seven days
+_VERDICT = _DIRECT.replace("  SELECT '{left}_vs_{right}'", "  , dc AS (SELECT '{left}_vs_{right}'", 1).replace(" AS d_raw FROM j", " AS d_raw, CASE WHEN n1 >= {k} AND n2 >= {k} THEN (m1 - m2) / sqrt(v1 / n1 + v2 / n2) END AS t, " + _df_sql("v1", "n1", "v2", "n2") + " AS df FROM j)") + f""",
+  dp AS (SELECT * EXCLUDE (t, df), round({_p_sql('t', 'df')}, 6) AS p_value FROM dc WHERE horizon = '7d')
+  SELECT *, CASE WHEN n_left < 15 THEN 'INSUFFICIENT_N' WHEN p_value < 0.05e0 / 7 AND d_winsor >= 0.3e0 THEN 'PASS' ELSE 'FAIL' END AS verdict, '{{scope}}' AS scope FROM dp"""
+
+
+def _m27_sql() -> str:
+    """Both scopes, each with its own clusters."""
+    parts = []
+    for scope, cond in (("healthcare", "is_healthcare"), ("full_universe", "true")):
+        body = _h7_sql(cond).replace(_DIRECT.format(left="cluster", right="single", k=3), _VERDICT.format(left="cluster", right="single", k=3, scope=scope))
+        parts.append(f"SELECT * FROM (WITH RECURSIVE {body})")
+    return " UNION ALL ".join(parts)
+
+
+@query("m27_cluster_verdict", "trades prices", _m27_sql())
 def m27(t):
     parts = []
     clean, returns = _clean(t), _returns(t)
@@ -425,13 +472,57 @@ def h8(t):
     return _finish(E.h8_rows(_tiered(t), _returns(t)), E.random_baseline(t.stored_prices, 10_000, 42, "random"))
 
 
-@query("h8_tier_gate")
+@query(
+    "h8_tier_gate", "trades prices",
+    f"""{_RT}, {_DEDUP}, {_baseline('rb', 'prices', 10000, 42)}, bl AS ({_unpivot('rb', "'random' AS baseline, symbol")}),
+    pick AS (SELECT * FROM dd WHERE transaction_type = 'BUY' AND is_plan = false),
+    sel AS (SELECT e.*, r1, r3, r5, r21 FROM pick e JOIN rt ON e.symbol = rt.symbol AND e.filing_date = rt.date), ev AS ({_H8_LONG}), {_STATS_P}
+    SELECT *, CASE WHEN effect_size_d IS NULL OR p_value IS NULL THEN 'INDETERMINATE' WHEN effect_size_d >= 0.5e0 AND p_value < 0.01 THEN 'GO' WHEN effect_size_d >= 0.2e0 THEN 'CONSERVATIVE' ELSE 'DROP' END AS decision
+    FROM full_stats WHERE sub_group IN ('all', 'csuite') AND horizon = '7d'""",
+)
 def h8g(t):
     res = E.horizon_stats(E.h8_rows(_tiered(t), _returns(t)), E.random_baseline(t.stored_prices, 10_000, 42, "random"))
     return E.tier_gate(E.bonferroni(res))
 
 
-@query("h9_full_run")
+def _full_run_sql() -> str:
+    """All hypotheses: their events side by side, each group under the name of its hypothesis."""
+    value = lambda kind, word: [(f"{word}_above_{n}", f"transaction_type = '{kind}' AND total_value >= {v}", word[:-1], "random") for v, n in _THRESH]
+    sells, buys = "SELECT * FROM sc WHERE transaction_type = 'SELL'", "SELECT * FROM sc WHERE transaction_type = 'BUY' AND is_plan = false"
+    runs = {
+        "H1": (None, [
+            ("all", "true", "any", "random"), ("sell_clusters", "dominant_type = 'SELL'", "sell", "random"), ("buy_clusters", "dominant_type = 'BUY'", "buy", "random"),
+            ("csuite_clusters", "is_csuite", "any", "random"), ("healthcare_only", "true", "any", "random"),
+        ]),
+        "H2": ("SELECT * FROM sc WHERE is_csuite AND is_plan = false AND transaction_type IN ('BUY', 'SELL')", [
+            ("all", "true", "any", "random"), ("all_sells", "transaction_type = 'SELL'", "sell", "random"), ("all_buys", "transaction_type = 'BUY'", "buy", "random"), *value("SELL", "sells"), *value("BUY", "buys"),
+        ]),
+        "H3": (sells, [("plan", "is_plan = true", "sell", "random"), ("discretionary", "is_plan = false", "sell", "random")]),
+        "H4": (sells + " AND is_plan = false", [
+            ("csuite", "is_csuite", "sell", "random"), ("director", "NOT is_csuite AND is_director", "sell", "random"), ("other", "NOT is_csuite AND NOT is_director", "sell", "random"),
+        ]),
+        "H5": (buys, [
+            ("all", "true", "buy", "random"), ("csuite_buys", "is_csuite", "buy", "random"), ("director_buys", "NOT is_csuite", "buy", "random"), ("healthcare_buys", "is_healthcare", "buy", "random"),
+            ("buys_above_100k", "total_value >= 100000", "buy", "random"), ("buys_above_500k", "total_value >= 500000", "buy", "random"), ("vs_dip_all", "true", "buy", "dip"), ("vs_dip_csuite", "is_csuite", "buy", "dip"),
+        ]),
+        "H6": ("SELECT * FROM dd WHERE transaction_type = 'SELL' AND is_plan = false AND is_csuite", [
+            ("healthcare_vs_common", "is_healthcare", "sell", "random_all"), ("control_vs_common", "NOT is_healthcare", "sell", "random_all"),
+            ("healthcare", "is_healthcare", "sell", "random"), ("control_group", "NOT is_healthcare", "sell", "random_control"),
+        ]),
+    }
+    picks, longs = [_H1_SEL], []
+    for name, (rows, groups) in runs.items():
+        picks.append(f"sel{name} AS (SELECT e.*, r1, r3, r5, r21 FROM {'pick' if rows is None else f'({rows})'} e JOIN rt ON e.symbol = rt.symbol AND e.filing_date = rt.date)")
+        longs.append(_long(f"sel{name}", [(f"{name}/{g}", cond, d, b) for g, cond, d, b in groups]))
+    baselines = " UNION ALL ".join(_unpivot(source, f"'{n}' AS baseline, symbol") for source, n in (("rb", "random"), ("ra", "random_all"), ("rc", "random_control"), ("db", "dip")))
+    head = _stats_sql("", [], baselines).split(", , sel AS")[0]
+    return f"{head}, {', '.join(picks)}, ev AS ({' UNION ALL '.join(longs)}), {_STATS_P}"
+
+
+FULL_RUN = _full_run_sql()
+
+
+@query("h9_full_run", "trades prices", FULL_RUN + " SELECT * FROM full_stats", recursive=True)
 def h9(t):
     return E.full_run(t.trades, t.stored_prices)
 
