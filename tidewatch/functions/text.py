@@ -98,9 +98,12 @@ def guidance_status(text: Column, max_hits: int = 3) -> Column:
 
     The matches are taken once per text and handed on as a one-element array.
     """
+    plain = F.coalesce(plain_spaces(text), F.lit(""))
+    # every kind needs a target word, so one pass settles texts without any
+    target = plain.rlike(ascii_words(f"(?i){_TARGET}"))
     hits = F.struct(
         *[
-            F.slice(F.regexp_extract_all(F.coalesce(plain_spaces(text), F.lit("")), F.lit(ascii_words(p)), F.lit(0)), 1, max_hits).alias(k)
+            F.when(target, F.slice(F.regexp_extract_all(plain, F.lit(ascii_words(p)), F.lit(0)), 1, max_hits)).otherwise(F.array().cast("array<string>")).alias(k)
             for k, p in GUIDANCE_PATTERNS.items()
         ]
     )

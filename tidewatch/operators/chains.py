@@ -20,19 +20,19 @@ NEVER = np.iinfo(np.int64).min  # release of a key before its first row
 
 
 def _segments(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table, np.ndarray], pa.Table]) -> Iterator[pa.RecordBatch]:
-    """Call ``work(rows, number of the stretch of each row)`` with whole stretches; ``__first`` marks where one begins."""
+    """Call ``work(rows, number of the stretch of each row)`` with whole stretches; ``__ch_first`` marks where one begins."""
     held: list[pa.RecordBatch] = []
 
     def done() -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks()
         held.clear()
-        segment = np.cumsum(rows.column("__first").to_numpy())
-        if ((np.diff(rows.column("__pos").to_numpy()) < 0) & (np.diff(segment) == 0)).any():
+        segment = np.cumsum(rows.column("__ch_first").to_numpy())
+        if ((np.diff(rows.column("__ch_pos").to_numpy()) < 0) & (np.diff(segment) == 0)).any():
             raise RuntimeError("rows of a stretch are not in order")
         yield from work(rows, segment).to_batches()
 
     for batch in batches:
-        starts = np.flatnonzero(batch.column("__first").to_numpy(zero_copy_only=False))
+        starts = np.flatnonzero(batch.column("__ch_first").to_numpy(zero_copy_only=False))
         last = int(starts[-1]) if len(starts) else 0
         if len(starts) and (last or held):
             if last:
@@ -58,11 +58,11 @@ def _following(segment: np.ndarray, pos: np.ndarray, release: np.ndarray) -> np.
 
 
 def _steps(max_hold: int):
-    """Rows (``__pos``, ``__release``) become the steps of their stretch: entered at or before ``__pos``, left with ``__release``."""
+    """Rows (``__ch_pos``, ``__ch_release``) become the steps of their stretch: entered at or before ``__ch_pos``, left with ``__ch_release``."""
 
     def work(rows: pa.Table, segment: np.ndarray) -> pa.Table:
-        pos, release = rows.column("__pos").to_numpy(), rows.column("__release").to_numpy()
-        start = rows.column("__start").to_numpy()
+        pos, release = rows.column("__ch_pos").to_numpy(), rows.column("__ch_release").to_numpy()
+        start = rows.column("__ch_start").to_numpy()
         n = len(pos)
         last = _following(segment, pos, release)
         last = np.where(last == n, np.arange(n), last)
@@ -77,16 +77,16 @@ def _steps(max_hold: int):
         # a release that enters lies less than max_hold behind the start, so what follows the first step beyond is never met first
         near = (segment[kept][1:] != segment[kept][:-1]) | (pos[kept][:-1] < start[kept][1:] + max_hold)
         kept = kept[np.insert(near, 0, True)]
-        rows = rows.set_column(rows.schema.get_field_index("__release"), "__release", pa.array(out))
-        return rows.take(pa.array(kept)).drop_columns(["__first", "__start"])
+        rows = rows.set_column(rows.schema.get_field_index("__ch_release"), "__ch_release", pa.array(out))
+        return rows.take(pa.array(kept)).drop_columns(["__ch_first", "__ch_start"])
 
     return work
 
 
 def _reached(rows: pa.Table, segment: np.ndarray) -> np.ndarray:
-    """Rows on the chain that starts at the first row at or after ``__enter`` of each stretch; none where that is null."""
-    pos, release = rows.column("__pos").to_numpy(), rows.column("__release").to_numpy()
-    entered = rows.column("__enter")
+    """Rows on the chain that starts at the first row at or after ``__ch_enter`` of each stretch; none where that is null."""
+    pos, release = rows.column("__ch_pos").to_numpy(), rows.column("__ch_release").to_numpy()
+    entered = rows.column("__ch_enter")
     n = len(pos)
     open_ = entered.is_valid().to_numpy() & (pos >= entered.fill_null(NEVER).to_numpy())
     before = np.insert((segment[1:] == segment[:-1]) & open_[:-1], 0, False)
@@ -102,22 +102,22 @@ def _reached(rows: pa.Table, segment: np.ndarray) -> np.ndarray:
 def _entries(rows: pa.Table, segment: np.ndarray) -> pa.Table:
     """The steps that a chain goes through, with the release by which it enters them."""
     hit = np.flatnonzero(_reached(rows, segment))
-    release, enter = rows.column("__release").to_numpy(), rows.column("__enter").to_numpy()
+    release, enter = rows.column("__ch_release").to_numpy(), rows.column("__ch_enter").to_numpy()
     same = np.insert(segment[hit][1:] == segment[hit][:-1], 0, False) if len(hit) else np.zeros(0, bool)
     came = np.where(same, release[np.roll(hit, 1)], enter[hit]) if len(hit) else np.zeros(0, np.int64)
     out = rows.take(pa.array(hit))
-    return out.set_column(out.schema.get_field_index("__enter"), "__enter", pa.array(came, pa.int64())).drop_columns(["__first", "__pos", "__release"])
+    return out.set_column(out.schema.get_field_index("__ch_enter"), "__ch_enter", pa.array(came, pa.int64())).drop_columns(["__ch_first", "__ch_pos", "__ch_release"])
 
 
 def _marks(rows: pa.Table, segment: np.ndarray) -> pa.Table:
     hit = _reached(rows, segment)
-    return rows.append_column("accepted", pa.array(hit)).drop_columns(["__first", "__pos", "__release", "__enter"])
+    return rows.append_column("accepted", pa.array(hit)).drop_columns(["__ch_first", "__ch_pos", "__ch_release", "__ch_enter"])
 
 
 def _in_order(rows: DataFrame, *part: str, alone: Column | None = None) -> DataFrame:
-    """``rows`` sorted by stretch and position, with ``__first``; a row that is ``alone`` is a stretch by itself."""
-    first = F.row_number().over(Window.partitionBy(*part).orderBy("__pos")) == 1
-    return rows.withColumn("__first", first if alone is None else first | alone)
+    """``rows`` sorted by stretch and position, with ``__ch_first``; a row that is ``alone`` is a stretch by itself."""
+    first = F.row_number().over(Window.partitionBy(*part).orderBy("__ch_pos")) == 1
+    return rows.withColumn("__ch_first", first if alone is None else first | alone)
 
 
 def _enter(rows: DataFrame, entries: DataFrame, *part: str) -> DataFrame:
@@ -142,21 +142,21 @@ def follow_releases(df: DataFrame, keys: Sequence[str], pos: str, hold: str, max
     spread = F.pmod(F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind]), F.lit(1024))
     name = F.to_json(F.struct(F.lit(1).alias("k"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]))
     rows = df.withColumns({
-        "__key": F.concat(F.when(at.isNull(), "none").otherwise("at"), name),  # never null: plain equality serves null keys too
-        "__n": F.coalesce(F.floor(at / width), spread), "__pos": F.coalesce(at, F.lit(0)), "__release": F.coalesce(at + F.col(hold), F.lit(0)),
+        "__ch_key": F.concat(F.when(at.isNull(), "none").otherwise("at"), name),  # never null: plain equality serves null keys too
+        "__ch_n": F.coalesce(F.floor(at / width), spread), "__ch_pos": F.coalesce(at, F.lit(0)), "__ch_release": F.coalesce(at + F.col(hold), F.lit(0)),
     })
-    rows = _in_order(rows, "__key", "__n", alone=F.col("__key").startswith("none"))
-    step = "`__key` string, `__n` bigint, `__pos` bigint, `__release` bigint"
+    rows = _in_order(rows, "__ch_key", "__ch_n", alone=F.col("__ch_key").startswith("none"))
+    step = "`__ch_key` string, `__ch_n` bigint, `__ch_pos` bigint, `__ch_release` bigint"
     # steps take the same exchange as the last pass: both read all columns
-    up = rows.withColumn("__start", F.col("__n") * width)
-    small = _run(up, lambda part, segment: _steps(max_hold)(part, segment).select(["__key", "__n", "__pos", "__release"]), step)
-    small = _in_order(small.filter(F.col("__key").startswith("at")).select("__key", "__n", F.floor(F.col("__pos") / wide).alias("__wide"), "__pos", "__release"), "__key", "__wide")
+    up = rows.withColumn("__ch_start", F.col("__ch_n") * width)
+    small = _run(up, lambda part, segment: _steps(max_hold)(part, segment).select(["__ch_key", "__ch_n", "__ch_pos", "__ch_release"]), step)
+    small = _in_order(small.filter(F.col("__ch_key").startswith("at")).select("__ch_key", "__ch_n", F.floor(F.col("__ch_pos") / wide).alias("__ch_wide"), "__ch_pos", "__ch_release"), "__ch_key", "__ch_wide")
     large = _run(
-        small.select("__key", F.col("__wide").alias("__n"), "__pos", "__release", "__first", (F.col("__wide") * wide).alias("__start")), _steps(max_hold), step
+        small.select("__ch_key", F.col("__ch_wide").alias("__ch_n"), "__ch_pos", "__ch_release", "__ch_first", (F.col("__ch_wide") * wide).alias("__ch_start")), _steps(max_hold), step
     )
-    top = _in_order(large.withColumn("__enter", F.lit(NEVER + 1)), "__key")
-    entry = "`__key` string, `__n` bigint, `__enter` bigint"
-    groups = _run(top, _entries, entry).withColumnRenamed("__n", "__wide")
-    parts = _run(_enter(small, groups, "__key", "__wide").drop("__wide"), _entries, entry)
-    told = _enter(rows, parts, "__key", "__n").drop("__key", "__n")
+    top = _in_order(large.withColumn("__ch_enter", F.lit(NEVER + 1)), "__ch_key")
+    entry = "`__ch_key` string, `__ch_n` bigint, `__ch_enter` bigint"
+    groups = _run(top, _entries, entry).withColumnRenamed("__ch_n", "__ch_wide")
+    parts = _run(_enter(small, groups, "__ch_key", "__ch_wide").drop("__ch_wide"), _entries, entry)
+    told = _enter(rows, parts, "__ch_key", "__ch_n").drop("__ch_key", "__ch_n")
     return _run(told, _marks, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "accepted boolean"]))

@@ -79,11 +79,42 @@ def form4_scored(trades: DataFrame, tickers: DataFrame, analyses: DataFrame, str
     observation = F.coalesce("observation_only", F.lit(False))
     return rows.withColumn("rule_name", F.when(c("priority").isNotNull(), rule)).withColumn(
         "effective_direction", S.effective_direction(c("direction"), c("final_conviction"))
-    ).withColumn("actionable", S.actionable(is_buy, rule, c("observation_only"))).withColumn(
+    ).withColumn("action", low_priority(c("priority"))).withColumn("actionable", S.actionable(is_buy, rule, c("observation_only"))).withColumn(
         "signal", F.when(is_buy & ~observation & ~F.coalesce(c("sector") == S.DISCOVERY_SECTOR, F.lit(False)), S.normalized_conviction(c("final_conviction")))
     )
 
 
+def low_priority(priority: Column) -> Column:
+    """Action of an analysed document that is worth no alert."""
+    return F.when(priority.isNull(), "SKIP_LOW_PRIORITY")
+
+
+# What a material event counts for before anybody has read it.
+PLAIN_RULE, PLAIN_CONVICTION, PLAIN_DIRECTION = "8-K Material Event", 0.5, "negative"
+
+
+def plain_filing_alerts(filings: DataFrame, rules: DataFrame, ts: str, tie: str, longest: int = 30 * 24 * 60) -> DataFrame:
+    """Alert path of a filing without analysis: form, active rule and throttle in this order, then a fixed negative signal.
+
+    ``rules`` (name, is_active, throttle_minutes, none of more than ``longest`` minutes); a filing that is not an 8-K or meets no active rule blocks nothing.
+    """
+    live = rules.filter("is_active").groupBy(F.col("name").alias("__name")).agg(F.max("throttle_minutes").alias("__minutes"))
+    rows = filings.withColumn("__rule", F.when(F.col("form_type") == "8-K", PLAIN_RULE)).join(live, F.col("__rule") == F.col("__name"), "left")
+    rows = rows.withColumn("__us", F.when(F.col("__name").isNotNull(), micros(F.col(ts))))
+    rows = rows.withColumn("__hold", F.greatest(F.coalesce("__minutes", F.lit(1)), F.lit(1)).cast("long") * MINUTE_US)
+    first = rows.filter("__us IS NOT NULL").groupBy("symbol", "__us").agg(F.min(tie).alias("__first"), F.max("__hold").alias("__hold"))
+    sent = greedy_accept(first, ["symbol"], "__us", "__hold", longest * MINUTE_US).filter("accepted").select(F.col("__first").alias("__sent"))
+    told = rows.join(sent, F.col(tie) == F.col("__sent"), "left")
+    action = (
+        F.when(~F.coalesce(F.col("form_type") == "8-K", F.lit(False)), "SKIP_NOT_8K").when(F.col("__name").isNull(), "SKIP_NO_RULE")
+        .when(F.col("__sent").isNull(), "THROTTLED").otherwise("ALERT")
+    )
+    alert = F.col("__sent").isNotNull()
+    return told.withColumn("action", action).withColumn("conviction", F.when(alert, F.lit(PLAIN_CONVICTION))).withColumn(
+        "direction", F.when(alert, F.lit(PLAIN_DIRECTION))
+    ).drop("__us", "__hold", "__minutes", "__rule", "__name", "__sent")
+
+
 def filing_gates(filings: DataFrame, tickers: DataFrame) -> DataFrame:
     """First gate each filing meets: form, analysed, observation, text, items, bankruptcy."""
     c = F.col

@@ -388,6 +388,14 @@ def with_returns(events: DataFrame, returns: DataFrame) -> DataFrame:
     return events.join(returns, ["symbol", "filing_date"])
 
 
+def price_coverage(events: DataFrame, returns: DataFrame, *by: str) -> DataFrame:
+    """How many events have returns and how many are dropped for lack of a price."""
+    known = returns.select("symbol", "filing_date", F.lit(True).alias("__known"))
+    priced = F.count_if(F.col("__known"))
+    told = events.join(known, ["symbol", "filing_date"], "left").groupBy(*by)
+    return told.agg(F.count("*").alias("n_events"), priced.alias("n_priced"), (F.count("*") - priced).alias("n_dropped"))
+
+
 def h1_events(trades: DataFrame, returns: DataFrame) -> DataFrame:
     disc = discretionary(trades, "BUY", "SELL")
     clusters = cluster_events(disc).withColumn("filing_date", F.col("event_date"))

@@ -111,6 +111,36 @@ def m20(t):
     return out.select("trade_id", F.round("final_conviction", 9).alias("final_conviction"), "base_priority", "priority", "rule_name", "effective_direction")
 
 
+_F8P = """CASE WHEN attention AND abs(conviction) >= 0.4 THEN CASE WHEN magnitude = 'high' THEN 'CRITICAL' ELSE 'HIGH' END
+    WHEN magnitude = 'high' AND confidence >= 0.7 THEN 'CRITICAL' WHEN magnitude = 'medium' AND confidence >= 0.6 THEN 'HIGH' WHEN magnitude = 'high' THEN 'HIGH' END"""
+
+
+@query(
+    "m20_low_priority", "trades tickers",
+    _M20 + f" SELECT trade_id, CASE WHEN priority IS NULL THEN 'SKIP_LOW_PRIORITY' END AS form4_action, CASE WHEN {_F8P} IS NULL THEN 'SKIP_LOW_PRIORITY' END AS form8k_action FROM fl",
+)
+def m20_low(t):
+    c = F.col
+    out = D.form4_scored(t.trades, t.tickers, _analyses(t), ("S2", "S7", "S12"))
+    other = D.low_priority(S.form8k_priority(c("conviction"), c("magnitude"), c("confidence"), c("attention")))
+    return out.select("trade_id", c("action").alias("form4_action"), other.alias("form8k_action"))
+
+
+@query(
+    "m24_plain_filings", "filings",
+    """e AS (SELECT accession, doc_id, symbol, form_type, CAST(filing_date AS TIMESTAMP) + (doc_id % 24) * INTERVAL 1 HOUR AS seen FROM filings),
+    r AS (SELECT symbol, seen, min(doc_id) AS doc_id, row_number() OVER (PARTITION BY symbol ORDER BY seen) AS i FROM e WHERE form_type = '8-K' GROUP BY 1, 2),
+    f AS (SELECT *, seen AS sent, true AS ok FROM r WHERE i = 1 UNION ALL SELECT r.*, CASE WHEN r.seen >= f.sent + INTERVAL 2 DAY THEN r.seen ELSE f.sent END, r.seen >= f.sent + INTERVAL 2 DAY FROM f JOIN r ON r.symbol = f.symbol AND r.i = f.i + 1),
+    a AS (SELECT e.*, CASE WHEN form_type <> '8-K' THEN 'SKIP_NOT_8K' WHEN EXISTS (SELECT 1 FROM f WHERE ok AND f.doc_id = e.doc_id) THEN 'ALERT' ELSE 'THROTTLED' END AS action FROM e)
+    SELECT accession, symbol, action, CASE WHEN action = 'ALERT' THEN 0.5e0 END AS conviction, CASE WHEN action = 'ALERT' THEN 'negative' END AS direction FROM a""",
+    recursive=True,
+)
+def m24_plain(t):
+    rules = t.spark.sql("SELECT '8-K Material Event' AS name, true AS is_active, 2880 AS throttle_minutes")
+    events = t.filings.withColumn("at", F.expr("CAST(filing_date AS TIMESTAMP_NTZ) + make_dt_interval(0, CAST(doc_id % 24 AS INT))"))
+    return D.plain_filing_alerts(events.drop("direction"), rules, "at", "doc_id").select("accession", "symbol", "action", "conviction", "direction")
+
+
 @query(
     "m30_actionable", "trades tickers",
     _M20 + " SELECT trade_id, transaction_type = 'BUY' AND NOT coalesce(observation_only, false) AS actionable FROM fl",

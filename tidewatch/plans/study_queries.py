@@ -225,6 +225,18 @@ def j8(t):
     return E.lone_buys(E.discretionary(t.trades, "BUY")).select("trade_id", "symbol", "filing_date", "insider_name")
 
 
+@query(
+    "q4_price_coverage", "trades prices",
+    f"""{_RT}, {_Q4}
+    SELECT count(*) AS n_events, count(*) FILTER (ok) AS n_priced, count(*) FILTER (NOT ok) AS n_dropped
+    FROM (SELECT EXISTS (SELECT 1 FROM rt WHERE rt.symbol = cl.symbol AND rt.date = cl.second_date AND coalesce(r1, r3, r5, r21) IS NOT NULL) AS ok FROM cl)""",
+    recursive=True,
+)
+def q4_coverage(t):
+    clusters = E.cluster_buy_events(E.discretionary(t.trades, "BUY")).withColumn("filing_date", F.col("event_date"))
+    return E.price_coverage(clusters, _returns(t))
+
+
 # --- statistics ------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from tidewatch.functions import text as X
 from tidewatch.operators import feeds as J
 from tidewatch.plans.decision_queries import _MISS, _n
 from tidewatch.plans.registry import query
+from tidewatch.sources import feeds as S
 
 _ITEMS = "list_filter(l, lambda x, i: list_position(l, x) = i)"
 _L = "it AS (SELECT *, regexp_extract_all(text, '(?i)Item\\s+(\\d+\\.\\d+)', 1) AS l FROM filings)"
@@ -59,14 +60,14 @@ def _frag(kind: str, label: str) -> str:
     concat_ws(' | ', coalesce({_frag('affirm_adjusted', 'AFFIRMS_ADJUSTED')}, {_frag('affirm', 'AFFIRMS')}), coalesce({_frag('lower_gaap', 'LOWERS_GAAP')}, {_frag('lower', 'LOWERS')}), {_frag('raise', 'RAISES')}, {_frag('withdraw', 'WITHDRAWS')}) AS fragments FROM gs""",
 )
 def t4(t):
-    g = t.filings.select("accession", X.guidance_status(F.col("text")).alias("g"))
+    g = S.spread_documents(t.filings.select("accession", "text")).select("accession", X.guidance_status(F.col("text")).alias("g"))
     flags = ("has_affirmation", "affirms_adjusted", "has_lowering", "lowers_gaap_only", "has_raising", "has_withdrawal")
     return g.select("accession", *[f"g.{f}" for f in flags], F.array_join("g.fragments", " | ").alias("fragments"))
 
 
 @query("t5_guidance_floor", "filings", _G + " SELECT accession, (n_affirm > 0 OR n_affirm_adjusted > 0) AND n_withdraw = 0 AND NOT n_lower > n_lower_gaap AS enforce FROM gs")
 def t5(t):
-    g = t.filings.select("accession", X.guidance_status(F.col("text")).alias("g"))
+    g = S.spread_documents(t.filings.select("accession", "text")).select("accession", X.guidance_status(F.col("text")).alias("g"))
     return g.select("accession", X.guidance_floor(F.col("g")).alias("enforce"))
 
 

@@ -110,13 +110,19 @@ def submission_filings(
 CODES = {"P": "BUY", "S": "SELL", "A": "GRANT", "M": "EXERCISE", "F": "TAX", "G": "GIFT"}
 
 
-def form4_transactions(docs: DataFrame, study: bool = False) -> DataFrame:
+def spread_documents(docs: DataFrame, key: str = "accession") -> DataFrame:
+    """Documents dealt out by their key, so that parsing does not depend on how files were landed."""
+    return docs.repartition(key)
+
+
+def form4_transactions(docs: DataFrame, study: bool = False, spread: bool = True) -> DataFrame:
     """Ownership XML (``accession``, ``value``) to one row per transaction, non-derivative first.
 
-    ``study`` keeps prices of zero, knows conversions and does not round the value.
+    ``spread`` deals the documents out first; leave it off for feeds landed in many files of like size.  ``study`` keeps prices of zero, knows conversions and does not round the value.
     """
     codes = {**CODES, **({"C": "CONVERSION"} if study else {})}
     table = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
+    docs = spread_documents(docs) if spread else docs
     d = docs.select("accession", F.from_xml("value", schemas.FORM4_XML).alias("d"))
     none = F.array().cast("array<string>")
     owners = F.coalesce("d.reportingOwner", F.array())
