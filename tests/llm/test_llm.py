@@ -171,6 +171,34 @@ def test_quotation_weighs_less():
     assert quoted[at("quoted")] > 0 == quoted[at("exact")] and abuse[at("direct")] > 0 and abuse[at("densest")] > quoted[at("densest")]
 
 
+@pytest.mark.parametrize(
+    "text, quoted",
+    [
+        ('he is a "trashbag" really', True), ("er ist ein „trashbag“ hier", True), ("c'est un « trashbag » ici", True), ("a 'trashbag' here", True), ("a ‘trashbag’ here", True),
+        ("das Buch „Garten“ ist da, trashbag", False), ('a 5" pipe, trashbag', False), ('a 5" pipe and a 6" pipe, trashbag, then 7" more', False), ('"never closed, trashbag', False),
+        ("never opened” trashbag", False), ('"ends here\n" trashbag', False), ("don't, trashbag, won't", False), ("the dogs' trashbag and the cats' food", False),
+        ('"' + "long " * 100 + "trashbag" + " long" * 100 + '"', False), ("“one” trashbag “two”", False),
+    ],
+)
+def test_quotations_are_pairs_of_marks(text, quoted):
+    told, exact = toxicity.FEATURES.index("quoted"), toxicity.FEATURES.index("exact")
+    f = toxicity.features(text, toxicity.Matches({"trashbag": 4.0}))
+    assert (f[told] > 0, f[exact] > 0) == (quoted, not quoted)
+
+
+def test_stray_marks_do_not_hide_abuse(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
+    weights, beta = toxicity.train(docs, labels)
+    matches = toxicity.Matches(weights)
+    predicted = lambda t: float(np.dot(toxicity.features(t, matches), beta[:-1]) + beta[-1]) >= np.log(0.7 / 0.3)
+    toxic = [r.text for r in docs.join(labels.filter("toxic = 1"), "doc_id").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).collect()]
+    plain = [predicted(t) for t in toxic]
+    assert sum(plain) > 10
+    for front in ('A 5" pipe. ', "Das Buch „Garten“ ist da. ", "“ "):
+        assert sum(a != predicted(front + t) for a, t in zip(plain, toxic)) <= 0.05 * len(toxic)
+
+
 def test_additive_model_learns_a_pair():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 3))

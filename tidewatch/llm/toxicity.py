@@ -35,7 +35,12 @@ LEAST_TEXTS = 4  # distinct toxic texts that a term must be in
 LEAST_GAIN = 2.0  # toxic texts that a term must add: four of which each has one other term
 STEMS = range(3, 8)  # letters of a stem
 KNOWN_WORDS = 200_000
-OPEN, CLOSE = "“«„", "”»"
+# a quotation is a pair of marks of one style inside a paragraph; a mark without its partner within REACH characters is none
+REACH = 400
+QUOTATION = re.compile(
+    r"„[^„“”\n]{1,%(n)d}+[“”]|“[^“”\n]{1,%(n)d}+”|«[^«»\n]{1,%(n)d}+»|»[^«»\n]{1,%(n)d}+«"
+    r"|(?<!\w)\"(?=\S)[^\"\n]{1,%(n)d}+\"(?!\w)|(?<!\w)'(?=\w)(?:[^'\n]|(?<=\w)'(?=\w)){1,%(n)d}+'(?!\w)|‘(?:[^‘’\n]|(?<=\w)’(?=\w)){1,%(n)d}+’|‚[^‚‘’\n]{1,%(n)d}+[‘’]" % {"n": REACH}
+)
 # words of address and of reporting in the languages of the texts
 ADDRESS = frozenset("you your youre yourself u ur thou tu te toi vous votre ton ta du dich dir dein deine ihr euch usted ustedes eres vosotros".split())
 REPORT = frozenset(
@@ -160,24 +165,18 @@ def features(text: str | None, matches: Matches) -> list[float]:
     if not hits:
         return [0.0] * len(FEATURES)
     spots = [m.start() for m in WORD.finditer(low)]
-    quoted, depth, at = [], 0, 0
-    straight = False
+    spans = QUOTATION.finditer(low)
+    span = next(spans, None)
     exact = near = told = direct = 0.0
     terms = set()
     weights = []
     for k, w in enumerate(words):
         if w not in hits:
             continue
-        for c in low[at : spots[k]]:
-            if c == '"':
-                straight = not straight
-            elif c in OPEN:
-                depth += 1
-            elif c in CLOSE:
-                depth = max(0, depth - 1)
-        at = spots[k]
+        while span is not None and span.end() <= spots[k]:
+            span = next(spans, None)
         around = words[max(0, k - WINDOW) : k + WINDOW + 1]
-        quotation = straight or depth > 0 or not REPORT.isdisjoint(around)
+        quotation = span is not None and span.start() < spots[k] or not REPORT.isdisjoint(around)
         abuse = not ADDRESS.isdisjoint(around)
         term, distance = matches[w]
         terms.add(term)
