@@ -1,7 +1,8 @@
 """From raw documents to tokens: the stages of a training-data pipeline over the operators of ``tidewatch.llm``.
 
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame; all but the last return
-the columns of documents.  ``run`` writes each stage's rows as a table in the shared folder and reads it for the next one.
+the columns of documents.  ``run`` writes each stage's rows as a table in the shared folder, reads it for the next one and removes
+it once that has written its own; the last table stays, as the result reads it.
 Null or empty texts, repeated rows, empty tables and extra columns are handled as the operators state.
 """
 
@@ -9,7 +10,6 @@ from __future__ import annotations
 
 import uuid
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
@@ -38,6 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text decoded from them."""
+    import public_tokenizers
+
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), decoded=True)
 
 
@@ -52,6 +54,11 @@ STAGES = [
 ORACLE_SQL = None  # near-duplicates and the tokenizer are beyond SQL; tests hold run() against brute force
 
 
+def _remove(spark: SparkSession, table: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     ship_package(spark)
@@ -60,4 +67,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:  # what the stage before wrote is needed no more
+            _remove(spark, f"{folder}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
