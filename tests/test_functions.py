@@ -174,3 +174,41 @@ def test_clock_without_a_session_is_null(spark):
     days = [str(d.date()) for d in __import__("pandas").date_range("2026-03-01", "2026-05-01")]
     row = spark.sql("SELECT timestamp_ntz'2026-03-02 15:00:00' AS t").select(C.effective_start(F.col("t"), days).alias("none"), C.effective_start(F.col("t")).alias("open")).first()
     assert row.none is None and row.open.hour == 15
+
+
+def test_plain_filings_by_form_rule_and_throttle(spark):
+    from tidewatch.operators.decisions import plain_filing_alerts
+
+    t0 = dt.datetime(2024, 1, 2)
+    rows = [(1, "A", "8-K", 0), (2, "A", "8-K", 30), (3, "A", "4", 61), (4, "A", "8-K", 60), (5, "B", "8-K", 1), (6, "B", None, 2), (7, None, "8-K", 3), (8, None, "8-K", 4)]
+    filings = spark.createDataFrame([(i, s, f, t0 + dt.timedelta(minutes=m)) for i, s, f, m in rows], "id int, symbol string, form_type string, at timestamp")
+    rules = spark.createDataFrame([("8-K Material Event", True, 60), ("8-K Material Event", False, 999), ("other", True, 1)], "name string, is_active boolean, throttle_minutes int")
+    got = {r.id: (r.action, r.conviction, r.direction) for r in plain_filing_alerts(filings, rules, "at", "id").collect()}
+    sent, none = ("ALERT", 0.5, "negative"), (None, None)
+    assert got == {1: sent, 2: ("THROTTLED", *none), 3: ("SKIP_NOT_8K", *none), 4: sent, 5: sent, 6: ("SKIP_NOT_8K", *none), 7: sent, 8: ("THROTTLED", *none)}
+    off = plain_filing_alerts(filings, rules.filter("NOT is_active"), "at", "id").collect()
+    assert {r.action for r in off} == {"SKIP_NO_RULE", "SKIP_NOT_8K"} and all(r.conviction is None for r in off)
+
+
+def test_events_without_a_price_are_counted(spark):
+    day = dt.date(2024, 1, 2)
+    events = spark.createDataFrame([("A", day), ("A", day), ("B", day)], "symbol string, filing_date date")
+    known = spark.createDataFrame([("A", day)], "symbol string, filing_date date")
+    assert [tuple(r) for r in E.price_coverage(events, known).collect()] == [(3, 2, 1)]
+    assert {tuple(r) for r in E.price_coverage(events, known, "symbol").collect()} == {("A", 2, 2, 0), ("B", 1, 0, 1)}
+
+
+def test_moments_against_numpy(spark):
+    """Small and large groups, ties, nulls: quantiles exact, winsorised moments from cells as from rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = {"large": rng.normal(5, 100, 30_000).round(1), "ties": np.repeat([1.0, 2.0, 7.0], [4000, 3000, 3000]), "small": rng.normal(0, 1, 40), "nine": rng.normal(0, 1, 9), "one": np.array([3.0])}
+    rows = [(g, float(v)) for g, xs in data.items() for v in xs] + [("small", None)]
+    got = {r.g: r for r in E.moments(spark.createDataFrame(rows, "g string, ret double").repartition(5), ["g"]).collect()}
+    for g, xs in data.items():
+        r, low, high = got[g], np.quantile(xs, 0.01), np.quantile(xs, 0.99)
+        w = xs if len(xs) < 10 else np.clip(xs, low, high)
+        assert r.n == len(xs) and r.median == pytest.approx(np.median(xs), rel=1e-12) and r["mean"] == pytest.approx(xs.mean(), rel=1e-9, abs=1e-12)
+        assert r.w_mean == pytest.approx(w.mean(), rel=1e-9, abs=1e-12)
+        assert (r.w_var is None) if len(xs) == 1 else r.w_var == pytest.approx(w.var(ddof=1), rel=1e-9)
