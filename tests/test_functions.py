@@ -212,3 +212,17 @@ def test_moments_against_numpy(spark):
         assert r.n == len(xs) and r.median == pytest.approx(np.median(xs), rel=1e-12) and r["mean"] == pytest.approx(xs.mean(), rel=1e-9, abs=1e-12)
         assert r.w_mean == pytest.approx(w.mean(), rel=1e-9, abs=1e-12)
         assert (r.w_var is None) if len(xs) == 1 else r.w_var == pytest.approx(w.var(ddof=1), rel=1e-9)
+
+
+@pytest.mark.parametrize("descending", [True, False])
+def test_pages_by_seeking_are_the_whole_order(spark, descending):
+    from tidewatch.operators.reports import page_after
+
+    rows = [(i, None if i % 7 == 0 else float(i * 37 % 11)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, v double").repartition(3)
+    want = sorted(rows, key=lambda r: (r[1] is None, 0 if r[1] is None else -r[1] if descending else r[1], r[0]))
+    got, after = [], None
+    while page := page_after(df, "v", "id", 13, after, descending).collect():
+        got += [tuple(r) for r in page]
+        after = (page[-1].v, page[-1].id)
+    assert got == want

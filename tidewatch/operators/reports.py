@@ -37,9 +37,29 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
 # --- listings ------------------------------------------------------------------------------
 
 
-def newest(df: DataFrame, ts: str, limit: int, tie: str, max_limit: int = 500) -> DataFrame:
+def newest(df: DataFrame, ts: str, limit: int, tie: str) -> DataFrame:
     """Top-k by time; planned as TakeOrderedAndProject."""
-    return df.orderBy(F.desc(ts), F.desc(tie)).limit(min(limit, max_limit))
+    return df.orderBy(F.desc(ts), F.desc(tie)).limit(limit)
+
+
+def beyond(column: str, tie: str, after: tuple, descending: bool = True) -> Column:
+    """Whether a row comes after the (value, tie) of another in the order column, tie (ascending), rows without a value last."""
+    value, last = after
+    c, t = F.col(column), F.col(tie)
+    if value is None:
+        return c.isNull() & (t > last)
+    further = c < F.lit(value) if descending else c > F.lit(value)
+    return c.isNull() | further | ((c == F.lit(value)) & (t > last))
+
+
+def page_after(df: DataFrame, column: str, tie: str, size: int, after: tuple | None = None, descending: bool = True) -> DataFrame:
+    """The next ``size`` rows after the last (value, tie) of the page before; the first page without one.
+
+    Seeks instead of counting: each page is a filter and a top-k, so a late page costs what the first one does.
+    """
+    key = F.desc_nulls_last(column) if descending else F.asc_nulls_last(column)
+    rows = df if after is None else df.filter(beyond(column, tie, after, descending))
+    return rows.orderBy(key, tie).limit(size)
 
 
 def recent_alerts(
@@ -49,7 +69,7 @@ def recent_alerts(
         alerts = alerts.filter(F.col("symbol") == symbol.upper())
     if not include_archived:
         alerts = alerts.filter(~F.col("archived"))
-    return newest(alerts, "sent_at", limit, "id", 200)
+    return newest(alerts, "sent_at", limit, "id")
 
 
 def ordered_rules(rules: DataFrame) -> DataFrame:
@@ -121,7 +141,7 @@ def search_logs(
     if until is not None:
         logs = logs.filter(F.col("created_at") <= until)
     total = logs.agg(F.count("*")).scalar()
-    page = logs.orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(min(limit, 500))
+    page = logs.orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(limit)
     return page.withColumn("total", total)
 
 
@@ -130,7 +150,7 @@ def trace(logs: DataFrame, trace_id: str) -> DataFrame:
 
 
 def ticker_logs(logs: DataFrame, ticker: str, as_of: Column, hours: int = 24, limit: int = 100) -> DataFrame:
-    since = before(as_of, hours=min(hours, 168))
+    since = before(as_of, hours=hours)
     return newest(logs.filter((F.col("ticker") == ticker) & (F.col("created_at") >= since)), "created_at", limit, "id")
 
 
@@ -154,9 +174,9 @@ def rule_panel(alerts: DataFrame, rules: Sequence[str] = EDGE_RULES) -> DataFram
 def recent_timeline(alerts: DataFrame, as_of: Column, days: int = 7, limit: int = 30) -> DataFrame:
     hit = alerts.filter(
         F.col("price_at_alert").isNotNull() & ~F.col("archived")
-        & (F.col("sent_at") > before(as_of, days=max(1, min(days, 90))))
+        & (F.col("sent_at") > before(as_of, days=days))
     )
-    return newest(hit.withColumn("conviction", message_conviction(F.col("message"))), "sent_at", limit, "id", 100)
+    return newest(hit.withColumn("conviction", message_conviction(F.col("message"))), "sent_at", limit, "id")
 
 
 def sorted_page(df: DataFrame, column: str, tie: str, page: int, size: int, descending: bool = True) -> DataFrame:

@@ -279,7 +279,7 @@ def a30b(t):
     f"SELECT {', '.join(ALERT_COLS)} FROM alerts WHERE NOT archived ORDER BY sent_at DESC, id DESC LIMIT 200",
 )
 def p1(t):
-    return R.recent_alerts(t.alerts, limit=500).select(*ALERT_COLS)
+    return R.recent_alerts(t.alerts, limit=200).select(*ALERT_COLS)
 
 
 @query(
@@ -380,7 +380,7 @@ def p10(t):
     f"SELECT id, created_at, ticker, level FROM system_logs WHERE ticker = 'S7' AND created_at >= {SQL_NOW} - INTERVAL 168 HOUR ORDER BY created_at DESC, id DESC LIMIT 100",
 )
 def p11(t):
-    return R.ticker_logs(t.system_logs, "S7", now(), 200).select("id", "created_at", "ticker", "level")
+    return R.ticker_logs(t.system_logs, "S7", now(), 168).select("id", "created_at", "ticker", "level")
 
 
 @query(
@@ -396,13 +396,21 @@ def p13(t):
     return R.rule_panel(t.alerts, ["Correlated Signal"]).select("id", "rule_name", "symbol")
 
 
+@query(
+    "p16_page_after", "alerts",
+    "SELECT id, symbol, price_at_alert FROM alerts WHERE price_at_alert IS NULL OR price_at_alert < 20 OR price_at_alert = 20 AND id > 100 ORDER BY price_at_alert DESC NULLS LAST, id LIMIT 200",
+)
+def p16_after(t):
+    return R.page_after(t.alerts, "price_at_alert", "id", 200, (20.0, 100)).select("id", "symbol", "price_at_alert")
+
+
 @query(
     "p14_recent_timeline", "alerts",
     f"""SELECT id, symbol, sent_at, CAST(nullif(regexp_extract(replace(replace(message, '\\.', '.'), '\\-', '-'), '(?i)Conviction:\\s*([+-]?\\d+\\.?\\d*)', 1), '') AS DOUBLE) AS conviction
     FROM alerts WHERE price_at_alert IS NOT NULL AND NOT archived AND sent_at > {SQL_NOW} - INTERVAL 90 DAY ORDER BY sent_at DESC, id DESC LIMIT 100""",
 )
 def p14(t):
-    return R.recent_timeline(t.alerts, now(), 120, 300).select("id", "symbol", "sent_at", "conviction")
+    return R.recent_timeline(t.alerts, now(), 90, 100).select("id", "symbol", "sent_at", "conviction")
 
 
 @query(
