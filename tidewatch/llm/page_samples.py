@@ -9,7 +9,7 @@ from __future__ import annotations
 import random
 from typing import NamedTuple
 
-MARK = ""
+MARK = "\ue000"  # of the private use area
 SYLLABLES = "an be co da el fi go ha in jo ka lu ma no or pe qu ra sa te un vi wo xa ye zu th er re on st ing tion".split()
 
 
