@@ -258,6 +258,26 @@ def test_estimate_corrects_collisions():
     assert used[0] == near_dedup.REGISTERS and abs(guess[0] - 3600 / 4400) < 0.12
 
 
+def test_words_of_thue_morse_letters_differ(spark):
+    one = ["ab"[bin(k).count("1") % 2] for k in range(1024)]
+    texts = [(1, "".join(one)), (2, "".join("ba"["ab".index(c)] for c in one)), (3, "".join(one).upper())]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 2).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_blocks_of_long_texts_lose_no_link(spark, monkeypatch):
+    """Blocks of a few texts each link what one block does."""
+    rng = random.Random(8)
+    texts = []
+    for family in range(3):
+        core = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [(100 * family + k, " ".join(core[:-3] + [f"x{rng.randrange(10**6)}" for _ in range(k % 5)])) for k in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    whole = sorted(map(tuple, near_dedup.near_duplicates(docs, 2).collect()))
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 300)
+    assert sorted(map(tuple, near_dedup.near_duplicates(docs, 2).collect())) == whole and len({r[2] for r in whole}) == 3
+
+
 # 3
 
 

@@ -7,7 +7,7 @@
    order, so that small sets do not meet because of what they lack.  In a band's bucket every member is first compared with the
    bucket's smallest one, so m members give m - 1 pairs; what that links forms groups.
 4. Buckets that still hold several groups are gone through again: the members outside of the largest group are compared with all
-   of it and with each other, in blocks of ``BLOCK`` rows, so no link between groups is lost and no pairs are written out.
+   of it and with each other, in blocks of at most about ``BLOCK`` rows and ``BLOCK_SHINGLES`` shingles, so no link between groups is lost and no pairs are written out.
 5. Compared means: the Jaccard estimate from the registers, corrected for accidental equality of registers, is not more than
    ``MARGIN`` standard errors below the threshold, and then the full sets decide.
 
@@ -34,6 +34,7 @@ MANTISSA = 10
 EMPTY = 0xFFFF
 MARGIN = 6.0
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 22  # long texts make smaller blocks; one text is never cut
 _BITS = 52  # hash bits of a register's value; exact in a double
 _U = np.uint64
 
@@ -112,7 +113,8 @@ def _band_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = np.broadcast_to(salt, regs.shape[:2]).copy()
         for k in range(ROWS):
             keys = mix(keys * _U(0x9E3779B97F4A7C15) + regs[:, :, k].astype(np.uint64))
-        yield pd.DataFrame({"rep": np.repeat(batch["rep"].to_numpy(), BANDS), "band": keys.view(np.int64).ravel()})
+        rep, n = (np.repeat(batch[c].to_numpy(), BANDS) for c in ("rep", "n_shingles"))
+        yield pd.DataFrame({"rep": rep, "n_shingles": n, "band": keys.view(np.int64).ravel()})
 
 
 def _probable(percent: int, inside: bool):
@@ -193,15 +195,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     facts = linkable.join(member.filter("doc_id = rep").select("rep", *identity).distinct(), identity).filter("doc_id = rep")
     facts = facts.select("rep", "n_shingles", "registers")
 
-    banded = facts.mapInPandas(_band_keys, "rep long, band long")
-    shared = banded.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
-    crowded = cut_lineage(banded.join(shared, "band").select("band", "rep", "least"))
+    banded = facts.mapInPandas(_band_keys, "rep long, n_shingles long, band long")
+    shared = banded.groupBy("band").agg(F.min(F.struct("rep", "n_shingles")).alias("least"), F.max("rep").alias("most")).filter("least.rep < most")
+    crowded = cut_lineage(banded.join(shared, "band").select("band", "rep", "n_shingles", F.col("least.rep").alias("least"), F.col("least.n_shingles").alias("n_least")))
 
     def linked(rows: DataFrame, inside: bool) -> DataFrame:
-        """Links (a, b) among rows (item, rep, outer): of outer rows to the item's inner ones, and among outer ones if ``inside``."""
-        counted = rows.groupBy("item").agg(F.count(F.when(F.col("outer"), 1)).alias("n_outer"), F.count(F.when(~F.col("outer"), 1)).alias("n_inner"))
-        blocks = [F.ceil(F.col(c) / BLOCK).cast("int") for c in ("n_outer", "n_inner")]
-        placed = rows.join(counted, "item").withColumn("outers", blocks[0]).withColumn("inners", blocks[1])
+        """Links (a, b) among rows (item, rep, n_shingles, outer): of outer rows to the item's inner ones, and among outer ones if ``inside``."""
+        sides = {"outer": F.col("outer"), "inner": ~F.col("outer")}
+        counted = rows.groupBy("item").agg(
+            *[F.count(F.when(side, 1)).alias(f"n_{c}") for c, side in sides.items()],
+            *[F.coalesce(F.sum(F.when(side, F.col("n_shingles"))), F.lit(0)).alias(f"shingles_{c}") for c, side in sides.items()],
+        )
+        blocks = {
+            f"{c}s": F.least(f"n_{c}", F.greatest(F.ceil(F.col(f"n_{c}") / BLOCK), F.ceil(F.col(f"shingles_{c}") / BLOCK_SHINGLES))).cast("int") for c in sides
+        }
+        placed = rows.drop("n_shingles").join(counted, "item").withColumns(blocks)
         luck = F.xxhash64("rep")
         own = F.when(F.col("outer"), F.pmod(luck, "outers")).otherwise(F.pmod(luck, "inners")).cast("int")
         # a work item is a block of outer rows (x) with a block of inner rows (y >= 0) or with itself or another outer block (y < 0)
@@ -230,12 +238,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             .applyInPandas(_confirm(percent, inside), "a long, b long")
         )
 
-    stars = crowded.filter("rep <> least").select(F.col("least").alias("item"), "rep", F.lit(True).alias("outer")).distinct()
-    centres = stars.select("item", F.col("item").alias("rep"), F.lit(False).alias("outer")).distinct()
+    others = crowded.filter("rep <> least")
+    stars = others.select(F.col("least").alias("item"), "rep", "n_shingles", F.lit(True).alias("outer")).distinct()
+    centres = others.select(F.col("least").alias("item"), F.col("least").alias("rep"), F.col("n_least").alias("n_shingles"), F.lit(False).alias("outer")).distinct()
     groups = cut_lineage(connected_components(linked(stars.unionByName(centres), inside=False)))
 
-    placed = crowded.select("band", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.select("band", "rep", F.coalesce("root", "rep").alias("root"))
+    placed = crowded.select("band", "rep", "n_shingles").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = placed.select("band", "rep", "n_shingles", F.coalesce("root", "rep").alias("root"))
     weight = groups.groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
     weighed = placed.groupBy("band", "root").agg(F.lit(1)).join(weight, "root", "left").select("band", "root", F.coalesce("weight", F.lit(1)).alias("weight"))
     largest = (
@@ -244,7 +253,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         .filter("roots > 1")
         .select("band", (-F.col("top.root")).alias("item"))
     )
-    rest = placed.join(largest, "band").select("item", "rep", (F.col("root") != F.col("item")).alias("outer")).distinct()
+    rest = placed.join(largest, "band").select("item", "rep", "n_shingles", (F.col("root") != F.col("item")).alias("outer")).distinct()
     bridges = linked(rest, inside=True)
     tree = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
     same_set = member.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))

@@ -1,7 +1,8 @@
 """Vectorised words and shingles of text batches (numpy inside Spark tasks).
 
 A word is a maximal run of bytes other than space and \\x09-\\x0D, compared after lower-casing A-Z.  Words and shingles
-are handled as 64-bit hashes: a word's polynomial over random byte values modulo 2**64, finished by an avalanche mix.
+are handled as 64-bit hashes: the sum of a mixed value of every byte and its place in the word, mixed again.  (A polynomial modulo
+2**64 would not do: words built from the Thue-Morse sequence collide under every odd base.)
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ _byte_values = mix(np.arange(1, 257, dtype=np.uint64) * _U(_BASE))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the polynomial's base and of its inverse modulo 2**64, at least ``n`` of them."""
+    """Powers of a polynomial's base and of its inverse modulo 2**64, at least ``n`` of them."""
     if len(_powers.get("up", ())) < n:
         size = max(n, PIECE)
         up, down = np.full(size, _BASE, dtype=np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
@@ -49,9 +50,11 @@ def _hash_piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.empty(0, np.uint64), start
-    up, down = powers(len(raw))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_byte_values[_lower[raw]] * up[: len(raw)], dtype=np.uint64)))
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), start
+    size = end - start
+    first = np.cumsum(size) - size  # of each word among the bytes of all words
+    place = np.arange(size.sum()) - np.repeat(first, size)
+    values = mix(_byte_values[_lower[raw[~gap[1:-1]]]] + place.astype(np.uint64) * _U(_BASE))
+    return mix(np.add.reduceat(values, first) + size.astype(np.uint64)), start
 
 
 def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
