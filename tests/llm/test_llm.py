@@ -309,6 +309,29 @@ def test_surrogates_stay_distinct(spark):
     assert len(set(got)) == len(got) and not set(got) & {t for _, t in texts}
 
 
+def test_ten_thousand_names_of_one_kind_stay_distinct(spark):
+    forms = [f"n{k}" for k in range(10_000)]
+    rows = [(kind, f) for kind in ("given_m", "family") for f in forms] + [("given_f", "анна"), ("given_f", "ελένη"), ("family", "νικολάου")]
+    table = {(r.kind, r.form): r.surrogate for r in pii.surrogate_table(spark.createDataFrame(rows, "kind string, form string"), "k").collect()}
+    assert len(table) == len(rows)
+    for kind in ("given_m", "family"):
+        made = [v for (k, _), v in table.items() if k == kind]
+        assert len(set(made)) == len(made) and not any("[" in x for x in made)
+    assert all(table["given_m", f].split("-")[0] in pii.GIVEN["latin_m"] for f in forms)
+    assert table["given_f", "анна"] in pii.GIVEN["cyrillic_f"] and table["given_f", "ελένη"] in pii.GIVEN["greek_f"]
+    assert all("Ͱ" <= c <= "Ͽ" for c in table["family", "νικολάου"])
+
+
+def test_names_keep_their_script_and_hyphens(spark):
+    texts = [(1, "Mr Χρήστος Νικολάου"), (2, "Frau Müller-Lüdenscheidt"), (3, "Frau Eva Müller-Lüdenscheidt"), (4, "Signora Rossi and Signor Rossi")]
+    got = {r.doc_id: r.text for r in pii.replace_entities(spark.createDataFrame(texts, "doc_id long, text string"), "k").collect()}
+    first, last = got[1].split()[1:]
+    assert first in pii.GIVEN["greek_m"] and all("Ͱ" <= c <= "Ͽ" for c in last)
+    assert got[2].split()[1] == got[3].split()[2] and "Müller" not in got[2] and got[3].split()[1] in pii.GIVEN["latin_f"]
+    words = got[4].split()
+    assert words[1] == words[4] != "Rossi" and words[0] == "Signora"
+
+
 # 4
 
 

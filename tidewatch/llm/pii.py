@@ -6,15 +6,17 @@ one canonical form (case, spacing and punctuation aside) are one entity everywhe
 hash of its kind and canonical form: digits stay digits, letters letters of their script and case, hexadecimal stays hexadecimal;
 cards and IBANs get valid check digits, octets stay octets of the same length, country codes and top-level domains stay, addresses
 at one domain share the new domain, and given names keep their gender.  Names are replaced word by word, so that "Mr Smith" and "Mr John
-Smith" still share a word.
+Smith" still share a word; words that a hyphen joins at the end of a name are all of the family name.  Names in Cyrillic or Greek letters
+get names in these letters, all others Latin ones.
 
 Names are found by a form of address.  After that, every other mention of their words in the same text (capitalised, the whole word) is
 replaced by the same surrogate, a word that is both given and family name by that of the family name.  Given names that stand with
 no form of address anywhere in the text stay, and so do names in texts without any form of address.
 
 Surrogates are checked against each other and against the entities of the corpus; on a collision all but one of the entities get the
-hash of the next attempt.  After ``ATTEMPTS`` attempts (more entities of a form than the form has values) a surrogate is the kind
-with a hash in brackets, which is distinct but gives up the form.
+hash of the next attempt, until there is none.  Names gain two syllables with every attempt, so there are as many as needed.  Of other kinds,
+after ``ATTEMPTS`` attempts (more entities of a form than the form has values) a surrogate is the kind with a hash in brackets, which is
+distinct but gives up the form.
 
 Null texts stay null and have no entity; texts without one are unchanged.  Repeated rows get equal results, also without an id;
 empty tables give empty results; other columns are not looked at.
@@ -29,8 +31,8 @@ from tidewatch.session import cut_lineage
 
 ATTEMPTS = 12
 # Forms of address by gender, given names by gender, syllables of family names, alphabets
-MALE = ("Mr", "Herr", "Sr", "Señor", "Monsieur", "господин")
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Madame", "Mme", "госпожа")
+MALE = ("Mr", "Herr", "Sr", "Señor", "Signor", "Monsieur", "господин", "Κύριος")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Sra", "Señora", "Signora", "Madame", "Mme", "госпожа", "Κυρία")
 NEUTRAL = ("Dr", "Prof")
 GIVEN = {
     "latin_m": ("Adam", "Bruno", "Carl", "Daniel", "Erik", "Felix", "Gustav", "Hugo", "Ivan", "Jonas", "Karim", "Leon", "Marco", "Nils", "Oscar", "Paul"),
@@ -39,10 +41,14 @@ GIVEN = {
     "cyrillic_m": ("Алексей", "Борис", "Виктор", "Глеб", "Денис", "Иван", "Кирилл", "Максим", "Олег", "Павел"),
     "cyrillic_f": ("Алла", "Вера", "Галина", "Дарья", "Елена", "Инна", "Ксения", "Мария", "Ольга", "Полина"),
     "cyrillic_n": ("Саша", "Женя", "Валя"),
+    "greek_m": ("Ανδρέας", "Γιώργος", "Δημήτρης", "Κώστας", "Λευτέρης", "Μάριος", "Νίκος", "Πέτρος", "Σταύρος", "Χρήστος"),
+    "greek_f": ("Αγγελική", "Βασιλική", "Γεωργία", "Δέσποινα", "Ελένη", "Ιωάννα", "Κατερίνα", "Μαρία", "Σοφία", "Χριστίνα"),
+    "greek_n": ("Άλεξ", "Ντάνι", "Κιμ"),
 }
 SYLLABLES = {
     "latin": ("ba", "ber", "dor", "fen", "gal", "hol", "kar", "lin", "mar", "nor", "pel", "ros", "sten", "tal", "ver", "win"),
     "cyrillic": ("ба", "бер", "дор", "фен", "гал", "хол", "кар", "лин", "мар", "нор", "пел", "рос", "стен", "тал", "вер", "вин"),
+    "greek": ("βα", "βερ", "δορ", "φεν", "γαλ", "χολ", "καρ", "λιν", "μαρ", "νορ", "πελ", "ρο", "στεν", "ταλ", "βιν", "ζακ"),
 }
 LATIN, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 
@@ -130,7 +136,8 @@ def _parts(kind: Column, m: Column) -> Column:
     part = lambda k, c: F.struct(k.alias("kind"), c.alias("form"))
     words = F.split(F.regexp_replace(m, _ADDRESS, ""), "[ -]")
     gender = F.when(m.rlike(rf"^(?:{'|'.join(MALE)})\b"), "given_m").when(m.rlike(rf"^(?:{'|'.join(FEMALE)})\b"), "given_f").otherwise("given_n")
-    names = let(words, lambda ws: F.transform(ws, lambda w, i: part(F.when(i == F.size(ws) - 1, "family").otherwise(gender), _plain(w))))
+    last = F.size(F.split(F.substring_index(m, " ", -1), "-"))  # words of the family name
+    names = let(words, lambda ws: F.transform(ws, lambda w, i: part(F.when(i >= F.size(ws) - last, "family").otherwise(gender), _plain(w))))
     form = (
         F.when(kind == "secret", F.regexp_replace(m, _PREFIX, ""))
         .when(kind.isin("phone", "card"), F.regexp_replace(m, "[^0-9]", ""))
@@ -173,7 +180,7 @@ def _like(form: Column, stream: Column, hexadecimal: Column) -> Column:
 def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
     """Surrogate of an entity's canonical form."""
     keyed = lambda *parts: F.sha2(F.concat_ws("|", F.lit(key), *parts), 256)
-    stream = _stream(keyed(kind, form, attempt.cast("string")), F.length(form))
+    stream = _stream(keyed(kind, form, attempt.cast("string")), F.greatest(F.length(form), 8 + 2 * attempt))
     hexadecimal = form.rlike("^[0-9a-fA-F]+$") & (kind == "secret")
     like = lambda f, s: _like(f, s, hexadecimal)
 
@@ -202,20 +209,21 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
         country = F.substr(form, F.lit(1), F.lit(2))
         return let(account, lambda a: F.concat(country, F.lpad((98 - mod_97(F.concat(country, F.lit("00"), a))).cast("string"), 2, "0"), a))
 
+    script = F.when(form.rlike(r"\p{IsCyrillic}"), "cyrillic").when(form.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
+
+    def syllables(s: Column, first: int, n: Column) -> Column:
+        """A capitalised word of ``n`` syllables by the draws from ``first`` on."""
+        of = F.create_map(*[x for k, v in SYLLABLES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[script]
+        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.get(of, _draw(s, i + (first - 1)) % len(SYLLABLES["latin"]))), ""))
+
     def family(s: Column) -> Column:
-        made = lambda syllables: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(F.array(*map(F.lit, syllables)), _draw(s, i) % len(syllables))), "")
-        return F.initcap(F.when(form.rlike(r"\p{IsCyrillic}"), made(SYLLABLES["cyrillic"])).otherwise(made(SYLLABLES["latin"])))
+        return syllables(s, 0, 4 + 2 * attempt)
 
     def given(s: Column) -> Column:
-        out = None
-        for names, of in GIVEN.items():
-            script, gender = names.split("_")
-            fits = (kind == f"given_{gender}") & (form.rlike(r"\p{IsCyrillic}") == F.lit(script == "cyrillic"))
-            name = F.get(F.array(*map(F.lit, of)), _draw(s, F.lit(0)) % len(of))
-            out = F.when(fits, name) if out is None else out.when(fits, name)
-        # later attempts add a syllable, so that there are as many names as needed
-        more = F.initcap(F.get(F.array(*map(F.lit, SYLLABLES["latin"])), _draw(s, F.lit(1)) % len(SYLLABLES["latin"])))
-        return F.when(attempt == 0, out).otherwise(F.concat(out, F.lit("-"), more))
+        gender = F.substring_index(kind, "_", -1)
+        of = F.create_map(*[x for k, v in GIVEN.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.concat_ws("_", script, gender)]
+        name = let(of, lambda names: F.get(names, _draw(s, F.lit(0)) % F.size(names)))
+        return F.when(attempt == 0, name).otherwise(F.concat(name, F.lit("-"), syllables(s, 1, 2 * attempt)))
 
     def made(s: Column) -> Column:
         return (
@@ -230,13 +238,14 @@ def surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
         )
 
     given_up = F.concat(F.lit("["), kind, F.lit("-"), F.substr(keyed(kind, form), F.lit(1), F.lit(20)), F.lit("]"))
-    return F.when(attempt >= ATTEMPTS, given_up).otherwise(let(stream, made))
+    grows = kind.startswith("given") | (kind == "family")
+    return F.when((attempt >= ATTEMPTS) & ~grows, given_up).otherwise(let(stream, made))
 
 
 def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     """(kind, form, surrogate) for distinct entities (kind, form): distinct per kind, and no entity's own form."""
     table = entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", surrogate(F.col("kind"), F.col("form"), F.col("attempt"), key))
-    for _ in range(ATTEMPTS):
+    for _ in range(2 * ATTEMPTS + 1):
         table = cut_lineage(table)
         real = table.select(F.col("kind").alias("k"), F.col("form").alias("r")).withColumn("real", F.lit(True))
         groups = table.groupBy("kind", "surrogate").agg(F.min("form").alias("first"), F.count(F.lit(1)).alias("n"))
@@ -244,7 +253,7 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
         bad = groups.withColumn("spelled", spelled).join(real, (F.col("kind") == F.col("k")) & (F.col("spelled") == F.col("r")), "left")
         bad = bad.filter("n > 1 OR real").select(F.col("kind").alias("bad_kind"), F.col("surrogate").alias("bad"), "first", "real")
         if bad.isEmpty():
-            break
+            return table.select("kind", "form", "surrogate")
         joined = table.join(bad, (F.col("kind") == F.col("bad_kind")) & (F.col("surrogate") == F.col("bad")), "left")
         again = F.col("bad").isNotNull() & (F.coalesce("real", F.lit(False)) | (F.col("form") != F.col("first")))
         attempt = F.when(again, F.col("attempt") + 1).otherwise(F.col("attempt"))
@@ -252,7 +261,7 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
         table = table.select(
             "kind", "form", "attempt", F.when(F.col("again"), surrogate(F.col("kind"), F.col("form"), F.col("attempt"), key)).otherwise(F.col("old")).alias("surrogate")
         )
-    return table.select("kind", "form", "surrogate")
+    raise RuntimeError("surrogates still collide")  # names have had 50 syllables by then, other kinds 80 bits of a hash
 
 
 def _dressed(m: Column, kind: Column, parts: Column) -> Column:
@@ -281,7 +290,7 @@ def _dressed(m: Column, kind: Column, parts: Column) -> Column:
 def replace_entities(docs: DataFrame, key: str) -> DataFrame:
     """(doc_id, n_entities, kinds array<string>, text) per row of ``docs``: replaced mentions, their kinds, and the new text."""
     text = F.col("text").cast("string")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("hash"))
     found = texts.filter(_may_match(F.col("text"))).select("hash", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("found")).filter(F.size("found") > 0)
     mentions = found.select("hash", F.posexplode("found").alias("at", "mention")).distinct().withColumn("kind", _kind(F.col("mention")))
     mentions = cut_lineage(mentions.filter(_valid(F.col("kind"), F.col("mention"))).withColumn("parts", _parts(F.col("kind"), F.col("mention"))))
