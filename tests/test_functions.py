@@ -226,3 +226,28 @@ def test_pages_by_seeking_are_the_whole_order(spark, descending):
         got += [tuple(r) for r in page]
         after = (page[-1].v, page[-1].id)
     assert got == want
+
+
+def test_guidance_is_found_from_its_first_stem_on(spark):
+    """Matches agree with the plain patterns, and texts are neither translated nor searched where no stem stands."""
+    import re
+
+    texts = [
+        "İ filler. The firm REAFFIRMS its adjusted outlook. GAAP basis: it cuts and trims its target.", "no verb but an outlook", "it cut costs", None,
+        "continues\n to expect adj. results as forecast", "non-gaap guidance. Reduces guidance range; withdraws forecast, withdraws target", "x" * 300 + " narrows up expectations",
+    ]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(N.guidance_status(F.col("t")).alias("g"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate(" not in plan
+    for text, g in zip(texts, [r.g for r in got.collect()]):
+        plain = re.sub(f"[{N.WIDE_SPACES}]", " ", text or "")
+        n = {k: min(3, len(re.findall(p, plain, re.A))) for k, p in N.GUIDANCE_PATTERNS.items()}
+        assert (g.has_affirmation, g.affirms_adjusted, g.has_lowering, g.has_raising, g.has_withdrawal) == (
+            n["affirm"] > 0, n["affirm_adjusted"] > 0, n["lower"] > n["lower_gaap"], n["raise"] > 0, n["withdraw"] > 0), text
+
+
+def test_missing_facts_by_unicode_case(spark):
+    facts = ["unknown terms", "inſufficient data", "NİE podano", "noted", "not disclosed", "plain"]
+    got = spark.createDataFrame([(facts,)], "f array<string>").select(N.missing_data_facts(F.col("f")).alias("m"))
+    assert "translate(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.first().m == ["unknown terms", "inſufficient data", "NİE podano", "not disclosed"]

@@ -17,8 +17,8 @@ WIDE_SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u200
 
 
 def plain_spaces(text: Column) -> Column:
-    """Every wide space as one ASCII space, so that places in the text stay as they are."""
-    return F.translate(text, WIDE_SPACES, " " * len(WIDE_SPACES))
+    """Every wide space as one ASCII space, so that places in the text stay as they are; ASCII texts pass unread."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(text, f"[{WIDE_SPACES}]", " "))
 
 
 ITEM_RE = r"(?i)Item\s+(\d+\.\d+)"
@@ -93,20 +93,48 @@ GUIDANCE_PATTERNS = {
 }
 
 
-def guidance_status(text: Column, max_hits: int = 3) -> Column:
-    """Struct of guidance flags; each kind counts its first ``max_hits`` matches.
+# Every match of a pattern has one of these at most two characters after its start, and a target stem behind that.
+_TARGET_STEMS = ("guidance", "outlook", "forecast", "target", "expectation")
+_VERB_STEMS = {
+    "affirm": ("affirm", "maintain", "reiterate", "reconfirm", "continue"),
+    "lower": ("lower", "reduce", "cut", "trim", "decrease", "narrow"),
+    "raise": ("raise", "increase", "boost", "lift", "expand", "narrow"),
+    "withdraw": ("withdraw", "suspend", "pull", "remove"),
+    "gaap": ("gaap",),
+}
+_STEMS_OF = {k: (k,) for k in ("affirm", "lower", "raise", "withdraw")} | {"affirm_adjusted": ("affirm",), "lower_gaap": ("lower", "gaap")}
+
+
+def _once(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once and handed on as a one-element array."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _any_of(low: Column, stems) -> Column:
+    found = F.lit(False)
+    for stem in stems:
+        found = found | F.contains(low, F.lit(stem))
+    return found
 
-    The matches are taken once per text and handed on as a one-element array.
-    """
-    plain = F.coalesce(plain_spaces(text), F.lit(""))
-    # every kind needs a target word, so one pass settles texts without any
-    target = plain.rlike(ascii_words(f"(?i){_TARGET}"))
-    hits = F.struct(
-        *[
-            F.when(target, F.slice(F.regexp_extract_all(plain, F.lit(ascii_words(p)), F.lit(0)), 1, max_hits)).otherwise(F.array().cast("array<string>")).alias(k)
-            for k, p in GUIDANCE_PATTERNS.items()
-        ]
-    )
+
+def _guidance_hits(plain: Column, low: Column, max_hits: int) -> Column:
+    """First matches of every kind.  Patterns are slow to fail, so each is tried only from the first of its stems on."""
+    spots = F.struct(*[F.least(F.lit(None), *[F.when(F.contains(low, F.lit(x)), F.instr(low, x)) for x in stems]).alias(k) for k, stems in _VERB_STEMS.items()])
+    same_places = F.length(low) == F.length(plain)
+
+    def taken(kind: str, at: Column) -> Column:
+        start = F.least(F.lit(None), *[at[k] for k in _STEMS_OF[kind]])
+        rest = F.substr(plain, F.when(same_places, F.greatest(start - 3, F.lit(1))).otherwise(1))
+        found = F.slice(F.regexp_extract_all(rest, F.lit(ascii_words(GUIDANCE_PATTERNS[kind])), F.lit(0)), 1, max_hits)
+        return F.when(start.isNotNull(), found).otherwise(F.array().cast("array<string>"))
+
+    hits = _once(spots, lambda at: F.struct(*[taken(kind, at).alias(kind) for kind in GUIDANCE_PATTERNS]))
+    return F.when(_any_of(low, _TARGET_STEMS), hits).otherwise(F.struct(*[F.array().cast("array<string>").alias(kind) for kind in GUIDANCE_PATTERNS]))
+
+
+def guidance_status(text: Column, max_hits: int = 3) -> Column:
+    """Struct of guidance flags; each kind counts its first ``max_hits`` matches, taken once per text."""
+    hits = _once(F.coalesce(plain_spaces(text), F.lit("")), lambda plain: _once(F.lower(plain), lambda low: _guidance_hits(plain, low, max_hits)))
 
     def flags(h: Column) -> Column:
         n = {k: F.size(h[k]) for k in GUIDANCE_PATTERNS}
@@ -133,7 +161,7 @@ def guidance_status(text: Column, max_hits: int = 3) -> Column:
             fragments.alias("fragments"),
         )
 
-    return F.get(F.transform(F.array(hits), flags), F.lit(0))
+    return _once(hits, flags)
 
 
 def guidance_floor(status: Column) -> Column:
@@ -203,8 +231,11 @@ MISSING_DATA_RE = "(?iu)" + "|".join(
 )
 
 
+_MISSING_STEMS = ("nie", "brak", "unknown", "insufficient", "not")  # every match in an ASCII fact holds one of them
+
+
 def missing_data_facts(facts: Column) -> Column:
-    return F.filter(facts, lambda f: plain_spaces(f).rlike(ascii_words(MISSING_DATA_RE)))
+    return F.filter(facts, lambda f: ((F.octet_length(f) != F.length(f)) | _any_of(F.lower(f), _MISSING_STEMS)) & plain_spaces(f).rlike(ascii_words(MISSING_DATA_RE)))
 
 
 def message_conviction(message: Column) -> Column:
