@@ -158,8 +158,8 @@ def form8k_decisions(rows: DataFrame) -> DataFrame:
     cap = S.consensus_cap(c("eps_surprise"), c("revenue_surprise"), c("aligned"))
     rows = rows.withColumn("cap", F.when(earnings, cap))
     capped = S.apply_cap(c("aligned"), c("cap.cap"))
-    missing = F.size(X.missing_data_facts(c("key_facts"))) > 0
-    rows = rows.withColumn("missing_data", missing).withColumn(
+    missing = c("missing_data")
+    rows = rows.withColumn("missing_data", F.size(X.missing_data_facts(c("key_facts"))) > 0).withColumn(
         "final_conviction", F.when(missing, S.clamp(capped, -0.3, 0.3)).otherwise(capped)
     )
     rows = rows.withColumn("effective_direction", S.effective_direction(c("direction"), c("final_conviction")))
