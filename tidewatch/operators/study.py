@@ -6,7 +6,7 @@ row per symbol and day, which the calendar bounds, whatever the number of trades
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -17,6 +17,8 @@ from tidewatch.session import cut_lineage
 
 WINDOW_DAYS, MIN_INSIDERS = 7, 2
 VALUE_THRESHOLDS = (100_000, 500_000, 1_000_000)
+# What the hypotheses read of a trade once the rows of a week are one.
+STUDY_COLUMNS = ("symbol", "transaction_type", "total_value", "filing_date", "is_plan", "is_csuite", "is_director", "is_healthcare")
 
 
 def insider_week_dedup(trades: DataFrame) -> DataFrame:
@@ -201,29 +203,37 @@ def dip_baseline(prices: DataFrame, per_symbol: int = 50, seed: int = 45, name:
 RETS = [f"ret_{h}" for h in HORIZONS]
 
 
-def _member(group: Column, direction: Column, baseline: Column) -> Column:
-    return F.struct(group.cast("string").alias("sub_group"), direction.cast("string").alias("direction"), baseline.cast("string").alias("baseline"))
+SMALL = 4000  # groups of one symbol below this many events are ordered whole
+_CODES: dict[tuple, int] = {}
+
+
+def _code(group: str | None, direction: str | None, baseline: str) -> Column:
+    """Number of a group; rows carry numbers, names are put back on the finished groups."""
+    return F.lit(_CODES.setdefault((group, direction, baseline), len(_CODES)))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """(sub_group, direction, baseline) of the ``code`` of every row."""
+    names = ("sub_group", "direction", "baseline")
+    of = {name: F.array(*[F.lit(key[i]).cast("string") for key in _CODES]) for i, name in enumerate(names)}
+    return rows.select(*[F.get(of[name], F.col("code")).alias(name) for name in names], *[c for c in rows.columns if c != "code"])
 
 
 def group_rows(events: DataFrame, groups: Sequence[tuple[str, Column, str, str]]) -> DataFrame:
-    """Returns of every event and ``members``, the (sub_group, direction, baseline) of the groups it falls in.
+    """Returns of every event and ``members``, the numbers of the (sub_group, direction, baseline) groups it falls in.
 
-    One narrow row per event, whatever the number of groups; ``long_rows`` takes them apart inside the aggregation.
+    One narrow row per event, whatever the number of groups; they are taken apart inside the aggregation.
     """
-    member = F.array_compact(F.array(*[F.when(cond, _member(F.lit(g), F.lit(d), F.lit(b))) for g, cond, d, b in groups]))
+    member = F.array_compact(F.array(*[F.when(cond, _code(g, d, b)) for g, cond, d, b in groups]))
     return events.select(*RETS, member.alias("members")).filter(F.size("members") > 0)
 
 
-def long_rows(rows: DataFrame) -> DataFrame:
-    """(sub_group, direction, baseline, horizon, ret) of every group an event falls in."""
-    each = rows.select(*RETS, F.explode("members").alias("g")).select(*RETS, "g.*")
-    return _long_returns(each, ["sub_group", "direction", "baseline"])
-
-
 def _baseline_members(baselines: DataFrame) -> DataFrame:
     """Baseline returns in the form of ``group_rows``: a group of its own without a name."""
     rets = [F.when(F.col("horizon") == h, F.col("ret")).alias(f"ret_{h}") for h in HORIZONS]
-    return baselines.select(*rets, F.array(_member(F.lit(None), F.lit(None), F.col("baseline"))).alias("members"))
+    known = sorted({b for _, _, b in list(_CODES)})
+    code = F.coalesce(*[F.when(F.col("baseline") == b, _code(None, None, b)) for b in known])
+    return baselines.select(*rets, F.array(code).alias("members"))
 
 
 def _hits(direction: Column, ret: Column) -> Column:
@@ -240,66 +250,140 @@ def winsorize(rows: DataFrame, keys: Sequence[str], value: str = "ret", pct: flo
     return joined.withColumn("clipped", F.when(F.col("__n") < min_n, F.col(value)).otherwise(clip)).drop("q0", "q1", "__n")
 
 
+def _plan(median: bool, eps: float) -> tuple[list[float], list[float]]:
+    probs = [0.01, 0.99] + ([0.5] if median else [])
+    return probs, sorted({round(min(max(p + d, 0.0), 1.0), 9) for p in probs for d in (-eps, eps)})
+
+
+def _heads(ret: Column, grid: Sequence[float], eps: float) -> dict[str, Column]:
+    return {
+        "n": F.count(ret), "mean": F.avg(ret), "var": F.var_samp(ret), "std": F.stddev_pop(ret),
+        "__min": F.min(ret), "__max": F.max(ret), "__grid": F.percentile_approx(ret, list(grid), int(10 / eps)),
+    }
+
+
 def moments(
-    rows: DataFrame, keys: Sequence[str], median: bool = True, extra: Sequence[Column] = (), eps: float = 0.001
+    rows: DataFrame, keys: Sequence[str], median: bool = True, extra: dict[str, Column] | None = None, eps: float = 0.001, head: DataFrame | None = None
 ) -> DataFrame:
     """n, mean, median, variances and winsorised mean/variance per group, plus ``extra`` aggregates; quantiles are exact.
 
     Two passes over ``rows``.  The first takes the moments and a mergeable sketch whose cells bracket the wanted ranks; the second counts and
     sums what lies between the brackets and keeps single values only inside them (about ``2 * eps`` of a group each).  From
     these cells follow the exact quantiles and the sums of the clipped values.  Groups under ``4 / eps`` rows are one bracket.
+    ``head`` is the first pass if it has been taken already; its groups are then few and go to every task.
     """
     keys, c = list(keys), F.col
-    probs = [0.01, 0.99] + ([0.5] if median else [])
-    grid = sorted({round(min(max(p + d, 0.0), 1.0), 9) for p in probs for d in (-eps, eps)})
-    kept = ["n", "mean", "var", "std"]
-    head = rows.groupBy(*keys).agg(
-        F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.var_samp("ret").alias("var"), F.stddev_pop("ret").alias("std"), *extra,
-        F.min("ret").alias("__min"), F.max("ret").alias("__max"), F.percentile_approx("ret", grid, int(10 / eps)).alias("__grid"),
-    )
-    kept += [x for x in head.columns if x not in (*keys, *kept, "__min", "__max", "__grid")]
+    probs, grid = _plan(median, eps)
+    few = head is not None
+    if not few:
+        told = _heads(c("ret"), grid, eps) | (extra or {})
+        head = rows.groupBy(*keys).agg(*[agg.alias(name) for name, agg in told.items()])
+    kept = [x for x in head.columns if x not in (*keys, "__min", "__max", "__grid")]
     small = c("n") * eps < 4
     lows = [F.when(small, c("__min")).otherwise(c("__grid")[grid.index(round(p - eps, 9))]) for p in probs]
     highs = [F.when(small, c("__max")).otherwise(c("__grid")[grid.index(round(p + eps, 9))]) for p in probs]
-    head = head.select(*keys, F.struct(*kept).alias("h"), *[x.alias(f"__lo{i}") for i, x in enumerate(lows)], *[x.alias(f"__hi{i}") for i, x in enumerate(highs)])
+    edges = head.select(*keys, c("mean").alias("__mean"), *[x.alias(f"__lo{i}") for i, x in enumerate(lows)], *[x.alias(f"__hi{i}") for i, x in enumerate(highs)])
     inside = F.lit(False)
     zone = F.lit(0)
     for i in range(len(probs)):
         inside = inside | c("ret").between(c(f"__lo{i}"), c(f"__hi{i}"))
         zone = zone + (c("ret") > c(f"__hi{i}")).cast("int")
-    off = c("ret") - c("h.mean")
-    placed = join_same(rows.filter("ret IS NOT NULL").select(*keys, "ret"), head, keys).select(*keys, "h", "ret", off.alias("__d"), F.when(inside, c("ret")).alias("__value"), zone.alias("__zone"))
+    placed = join_same(rows.filter("ret IS NOT NULL").select(*keys, "ret"), F.broadcast(edges) if few else edges, keys).select(
+        *keys, "ret", (c("ret") - c("__mean")).alias("__d"), F.when(inside, c("ret")).alias("__value"), zone.alias("__zone")
+    )
     cells = placed.groupBy(*keys, "__zone", "__value").agg(
-        F.first("h").alias("h"), F.count("*").alias("__c"), F.min("ret").alias("__at"), F.sum("__d").alias("__s1"), F.sum(c("__d") * c("__d")).alias("__s2")
+        F.count("*").alias("__c"), F.min("ret").alias("__at"), F.sum("__d").alias("__s1"), F.sum(c("__d") * c("__d")).alias("__s2")
     )
+    cells = join_same(cells, F.broadcast(head) if few else head, keys)
     group = Window.partitionBy(*keys)
     cells = cells.withColumn("__cum", F.sum("__c").over(group.orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     quantiles = []
     for i, p in enumerate(probs):
-        rank = (c("h.n") - 1) * p
+        rank = (c("n") - 1) * p
         a, b = (F.min(F.when(c("__cum") > edge, c("__at"))).over(group) for edge in (F.floor(rank), F.ceil(rank)))
         quantiles.append((a + (b - a) * (rank - F.floor(rank))).alias(f"__q{i}"))
-    cells = cells.select(*keys, "h", "__c", "__at", "__s1", "__s2", *quantiles)
-    low, high = c("__q0") - c("h.mean"), c("__q1") - c("h.mean")
-    clip = lambda power, whole: F.when(c("h.n") < 10, whole).when(c("__at") < c("__q0"), c("__c") * low**power).when(c("__at") > c("__q1"), c("__c") * high**power).otherwise(whole)
+    cells = cells.select(*keys, *kept, "__c", "__at", "__s1", "__s2", *quantiles)
+    low, high = c("__q0") - c("mean"), c("__q1") - c("mean")
+    clip = lambda power, whole: F.when(c("n") < 10, whole).when(c("__at") < c("__q0"), c("__c") * low**power).when(c("__at") > c("__q1"), c("__c") * high**power).otherwise(whole)
     out = cells.groupBy(*keys).agg(
-        F.first("h").alias("h"), F.sum(clip(1, c("__s1"))).alias("__w1"), F.sum(clip(2, c("__s2"))).alias("__w2"), *([F.first("__q2").alias("median")] if median else [])
+        *[F.first(x).alias(x) for x in kept], F.sum(clip(1, c("__s1"))).alias("__w1"), F.sum(clip(2, c("__s2"))).alias("__w2"), *([F.first("__q2").alias("median")] if median else [])
     )
-    n = c("h.n")
-    w_var = F.when(n > 1, F.greatest(c("__w2") - c("__w1") * c("__w1") / n, F.lit(0.0)) / (n - 1))
-    return out.select(*keys, *[c(f"h.{x}").alias(x) for x in kept], *(["median"] if median else []), (c("h.mean") + c("__w1") / n).alias("w_mean"), w_var.alias("w_var"))
+    w_mean, w_var = _winsorised(c("n"), c("mean"), c("__w1"), c("__w2"))
+    return out.select(*keys, *kept, *(["median"] if median else []), w_mean.alias("w_mean"), w_var.alias("w_var"))
+
 
+def _winsorised(n: Column, mean: Column, first: Column, second: Column) -> tuple[Column, Column]:
+    """Mean and variance from the sums of the clipped values' distances from the plain mean and of their squares."""
+    return mean + first / n, F.when(n > 1, F.greatest(second - first * first / n, F.lit(0.0)) / (n - 1))
 
-def horizon_stats(rows: DataFrame, baselines: DataFrame, with_p: bool = True) -> DataFrame:
+
+def _by_horizon(wide: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Columns ``<name>_<horizon>`` as one row per key and horizon; horizons without a value have none."""
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), *[F.col(f"{x}_{h}").alias(x) for x in names]) for h in HORIZONS]))
+    return wide.select(*keys, each.alias("p")).select(*keys, "p.*").filter("n > 0")
+
+
+def group_moments(rows: DataFrame, extra: Callable[[Column], dict[str, Column]] = lambda ret: {}, eps: float = 0.001) -> DataFrame:
+    """``moments`` of every (code, horizon) of stored ``group_rows``.
+
+    The first pass keeps the horizons side by side, so it has one entry per group; the second meets its result in every task.
+    """
+    grid = _plan(True, eps)[1]
+    each = rows.select(*RETS, F.explode("members").alias("code"))
+    told = {h: _heads(F.col(f"ret_{h}"), grid, eps) | extra(F.col(f"ret_{h}")) for h in HORIZONS}
+    wide = each.groupBy("code").agg(*[agg.alias(f"{name}_{h}") for h, aggs in told.items() for name, agg in aggs.items()])
+    return moments(_long_returns(each, ["code"]), ["code", "horizon"], eps=eps, head=_by_horizon(wide, ["code"], list(told["1d"])))
+
+
+def symbol_moments(events: DataFrame, extra: Callable[[Column], dict[str, Column]] = lambda ret: {}) -> DataFrame:
+    """``moments`` of every (symbol, horizon) of symbols with less than ``SMALL`` events, which are ordered whole."""
+    c = F.col
+    told = {h: {k: v for k, v in _heads(c(f"ret_{h}"), [0.5], 0.001).items() if not k.startswith("__")} | extra(c(f"ret_{h}")) for h in HORIZONS}
+    wide = events.select("symbol", *RETS).repartition("symbol").groupBy("symbol").agg(
+        *[agg.alias(f"{name}_{h}") for h, aggs in told.items() for name, agg in aggs.items()], *[F.sort_array(F.collect_list(f"ret_{h}")).alias(f"__v_{h}") for h in HORIZONS]
+    )
+    rows = _by_horizon(wide, ["symbol"], [*told["1d"], "__v"])
+    n = c("n")
+    for name, p in (("__q0", 0.01), ("__q1", 0.99), ("median", 0.5)):
+        rank = (n - 1) * p
+        a, b = (F.get("__v", edge.cast("int")) for edge in (F.floor(rank), F.ceil(rank)))
+        rows = rows.withColumn(name, a + (b - a) * (rank - F.floor(rank)))
+    clipped = lambda x: F.when(n < 10, x).otherwise(F.greatest(F.least(x, c("__q1")), c("__q0"))) - c("mean")
+    sums = F.aggregate(
+        "__v", F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("b")),
+        lambda acc, x: F.struct((acc["a"] + clipped(x)).alias("a"), (acc["b"] + clipped(x) * clipped(x)).alias("b")),
+    )
+    rows = rows.withColumn("__w", sums)
+    w_mean, w_var = _winsorised(n, c("mean"), c("__w.a"), c("__w.b"))
+    return rows.select("symbol", "horizon", *told["1d"], "median", w_mean.alias("w_mean"), w_var.alias("w_var"))
+
+
+def _symbol_groups(own: DataFrame, baseline: str, extra: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """Moments of every symbol with three of the stored events or more, as groups ``ticker_<symbol>``."""
+    sizes = own.groupBy("symbol").agg(F.count("*").alias("__n")).filter("__n >= 3")
+    large = sizes.filter(F.col("__n") >= SMALL).select("symbol")
+    few = sizes.select("symbol", (F.col("__n") >= SMALL).alias("__large"))
+    told = symbol_moments(own.join(F.broadcast(large), "symbol", "left_anti"), extra).join(few.filter("NOT __large").select("symbol"), "symbol", "left_semi")
+    if large.head(1):
+        rows = _long_returns(own.join(F.broadcast(large), "symbol", "left_semi"), ["symbol"])
+        told = told.unionByName(moments(rows, ["symbol", "horizon"], extra=extra(F.col("ret"))))
+    names = [F.concat(F.lit("ticker_"), "symbol").alias("sub_group"), F.lit("buy").alias("direction"), F.lit(baseline).alias("baseline")]
+    return told.select(*names, *[x for x in told.columns if x != "symbol"])
+
+
+def horizon_stats(rows: DataFrame, baselines: DataFrame, with_p: bool = True, own: tuple[DataFrame, str] | None = None) -> DataFrame:
     """Statistics of every (sub_group, direction, baseline, horizon) of ``group_rows`` against its baseline.
 
-    Events and baselines are groups of one aggregation; its input is stored once, as two passes read it.
+    Events and baselines are groups of one aggregation; its input is stored once, as two passes read it.  ``own`` holds events that are
+    also grouped by their symbol, and the baseline of these groups.
     """
     keys = ["sub_group", "direction", "baseline", "horizon"]
     c = F.col
-    hits = [F.avg(_hits(F.lit(d), c("ret")).cast("int")).alias(f"hit_{d}") for d in ("sell", "buy", "any")]
+    hits = lambda ret: {f"hit_{d}": F.avg(_hits(F.lit(d), ret).cast("int")) for d in ("sell", "buy", "any")}
     stored = cut_lineage(rows.unionByName(_baseline_members(baselines)))
-    told = moments(long_rows(stored), keys, extra=hits)
+    told = _named(group_moments(stored, hits))
+    if own:
+        told = told.unionByName(_symbol_groups(*own, hits))
     own = F.struct(*[x for x in told.columns if x not in keys])
     told = told.withColumn("b", F.max(F.when(c("sub_group").isNull(), own)).over(Window.partitionBy("baseline", "horizon")))  # one row per group
     j = told.filter("sub_group IS NOT NULL").select("*", *[c(f"b.{x}").alias(f"b_{x}") for x in told.columns if x not in (*keys, "b")])
@@ -335,7 +419,7 @@ def horizon_stats(rows: DataFrame, baselines: DataFrame, with_p: bool = True) ->
 
 def direct_compare(rows: DataFrame, left: str, right: str, min_n: int, with_p: bool = True) -> DataFrame:
     """Two groups against each other per horizon: Welch t, winsorised and raw d."""
-    m = moments(long_rows(cut_lineage(rows)), ["sub_group", "horizon"])
+    m = _named(group_moments(cut_lineage(rows))).drop("direction", "baseline")
     side = lambda name: F.first(F.when(F.col("sub_group") == name, F.struct(*[x for x in m.columns if x not in ("sub_group", "horizon")])), ignorenulls=True)
     both = m.filter(F.col("sub_group").isin(left, right)).groupBy("horizon").agg(side(left).alias("a"), side(right).alias("b"))
     names = [x for x in m.columns if x not in ("sub_group", "horizon")]
@@ -403,16 +487,20 @@ def h1_events(trades: DataFrame, returns: DataFrame) -> DataFrame:
     return with_returns(clusters.join(health, "symbol"), returns)
 
 
-def h1_rows(trades: DataFrame, returns: DataFrame, baseline: str = "random") -> DataFrame:
-    """Clusters: all, by dominant type, with C-suite, healthcare."""
+def _h1_groups(baseline: str) -> list[tuple[str, Column, str, str]]:
     yes, c = F.lit(True), F.col
-    return group_rows(h1_events(trades, returns), [
+    return [
         ("all", yes, "any", baseline),
         ("sell_clusters", c("dominant_type") == "SELL", "sell", baseline),
         ("buy_clusters", c("dominant_type") == "BUY", "buy", baseline),
         ("csuite_clusters", c("is_csuite"), "any", baseline),
         ("healthcare_only", c("is_healthcare"), "any", baseline),
-    ])
+    ]
+
+
+def h1_rows(trades: DataFrame, returns: DataFrame, baseline: str = "random") -> DataFrame:
+    """Clusters: all, by dominant type, with C-suite, healthcare."""
+    return group_rows(h1_events(trades, returns), _h1_groups(baseline))
 
 
 def h1_direct_rows(trades: DataFrame, returns: DataFrame) -> DataFrame:
@@ -424,41 +512,42 @@ def h1_direct_rows(trades: DataFrame, returns: DataFrame) -> DataFrame:
     return group_rows(clusters, [("cluster", yes, "buy", "")]).unionByName(group_rows(singles, [("single", yes, "buy", "")]))
 
 
-def h2_rows(trades: DataFrame, returns: DataFrame, baseline: str = "random") -> DataFrame:
-    """Discretionary C-suite trades by type and value threshold."""
+def _where(cond: Column, groups: Sequence[tuple[str, Column, str, str]]) -> list[tuple[str, Column, str, str]]:
+    return [(name, cond & member, direction, baseline) for name, member, direction, baseline in groups]
+
+
+def _unplanned(*types: str) -> Column:
+    """Condition of ``discretionary``."""
+    return (F.col("is_plan") == F.lit(False)) & F.col("transaction_type").isin(*types)
+
+
+def _h2_groups(baseline: str) -> list[tuple[str, Column, str, str]]:
     c = F.col
-    events = with_returns(discretionary(trades, "BUY", "SELL").filter("is_csuite"), returns)
     sell, buy = c("transaction_type") == "SELL", c("transaction_type") == "BUY"
     groups = [("all", F.lit(True), "any", baseline), ("all_sells", sell, "sell", baseline), ("all_buys", buy, "buy", baseline)]
     for v in VALUE_THRESHOLDS:
         groups.append((f"sells_above_{v // 1000}k", sell & (c("total_value") >= v), "sell", baseline))
         groups.append((f"buys_above_{v // 1000}k", buy & (c("total_value") >= v), "buy", baseline))
-    return group_rows(events, groups)
+    return _where(_unplanned("BUY", "SELL") & c("is_csuite"), groups)
 
 
-def h3_rows(trades: DataFrame, returns: DataFrame, baseline: str = "random") -> DataFrame:
-    """Plan against discretionary sales."""
-    sells = trades.filter((F.col("transaction_type") == "SELL") & F.col("is_plan").isNotNull())
+def _h3_groups(baseline: str) -> list[tuple[str, Column, str, str]]:
     plan = F.col("is_plan")
-    return group_rows(with_returns(sells, returns), [("plan", plan, "sell", baseline), ("discretionary", ~plan, "sell", baseline)])
+    return _where(F.col("transaction_type") == "SELL", [("plan", plan, "sell", baseline), ("discretionary", ~plan, "sell", baseline)])
 
 
-def h4_rows(trades: DataFrame, returns: DataFrame, baseline: str = "random") -> DataFrame:
-    """Discretionary sales by seniority."""
+def _h4_groups(baseline: str) -> list[tuple[str, Column, str, str]]:
     c = F.col
-    events = with_returns(discretionary(trades, "SELL"), returns)
-    return group_rows(events, [
+    return _where(_unplanned("SELL"), [
         ("csuite", c("is_csuite"), "sell", baseline),
         ("director", ~c("is_csuite") & c("is_director"), "sell", baseline),
         ("other", ~c("is_csuite") & ~c("is_director"), "sell", baseline),
     ])
 
 
-def h5_rows(trades: DataFrame, returns: DataFrame, baseline: str = "random", dip: str = "dip") -> DataFrame:
-    """Discretionary buys against a random and a dip baseline."""
+def _h5_groups(baseline: str, dip: str) -> list[tuple[str, Column, str, str]]:
     c, yes = F.col, F.lit(True)
-    events = with_returns(discretionary(trades, "BUY"), returns)
-    return group_rows(events, [
+    return _where(_unplanned("BUY"), [
         ("all", yes, "buy", baseline),
         ("csuite_buys", c("is_csuite"), "buy", baseline),
         ("director_buys", ~c("is_csuite"), "buy", baseline),
@@ -470,11 +559,9 @@ def h5_rows(trades: DataFrame, returns: DataFrame, baseline: str = "random", dip
     ])
 
 
-def h6_rows(trades: DataFrame, returns: DataFrame, common: str, own: str, control: str) -> DataFrame:
-    """Sector against control on discretionary C-suite sales, with common and own baselines."""
+def _h6_groups(common: str, own: str, control: str) -> list[tuple[str, Column, str, str]]:
     hc = F.col("is_healthcare")
-    events = with_returns(discretionary(trades, "SELL").filter("is_csuite"), returns)
-    return group_rows(events, [
+    return _where(_unplanned("SELL") & F.col("is_csuite"), [
         ("healthcare_vs_common", hc, "sell", common),
         ("control_vs_common", ~hc, "sell", common),
         ("healthcare", hc, "sell", own),
@@ -482,6 +569,39 @@ def h6_rows(trades: DataFrame, returns: DataFrame, common: str, own: str, contro
     ])
 
 
+def _trade_rows(trades: DataFrame, returns: DataFrame, groups: Sequence[tuple[str, Column, str, str]]) -> DataFrame:
+    """``group_rows`` of the trades that fall in any of the groups; only they meet the returns."""
+    member = F.lit(False)
+    for _, cond, _, _ in groups:
+        member = member | cond
+    return group_rows(with_returns(trades.filter(member), returns), groups)
+
+
+def h2_rows(trades: DataFrame, returns: DataFrame, baseline: str = "random") -> DataFrame:
+    """Discretionary C-suite trades by type and value threshold."""
+    return _trade_rows(trades, returns, _h2_groups(baseline))
+
+
+def h3_rows(trades: DataFrame, returns: DataFrame, baseline: str = "random") -> DataFrame:
+    """Plan against discretionary sales."""
+    return _trade_rows(trades, returns, _h3_groups(baseline))
+
+
+def h4_rows(trades: DataFrame, returns: DataFrame, baseline: str = "random") -> DataFrame:
+    """Discretionary sales by seniority."""
+    return _trade_rows(trades, returns, _h4_groups(baseline))
+
+
+def h5_rows(trades: DataFrame, returns: DataFrame, baseline: str = "random", dip: str = "dip") -> DataFrame:
+    """Discretionary buys against a random and a dip baseline."""
+    return _trade_rows(trades, returns, _h5_groups(baseline, dip))
+
+
+def h6_rows(trades: DataFrame, returns: DataFrame, common: str, own: str, control: str) -> DataFrame:
+    """Sector against control on discretionary C-suite sales, with common and own baselines."""
+    return _trade_rows(trades, returns, _h6_groups(common, own, control))
+
+
 def h7_rows(trades: DataFrame, returns: DataFrame, healthcare_only: bool) -> DataFrame:
     """Buy clusters (entry at the second insider) and lone buys."""
     buys = discretionary(trades, "BUY")
@@ -500,10 +620,14 @@ def h7_verdict(comparison: DataFrame, horizon: str = "7d") -> DataFrame:
     return row.withColumn("verdict", S.cluster_verdict(F.col("n_left"), F.col("d_winsor"), F.col("p_value")))
 
 
-def h8_rows(trades: DataFrame, returns: DataFrame, baseline: str = "random") -> DataFrame:
-    """Tiered replication: all, C-suite, tiers, thresholds and every symbol with three events."""
+def h8_events(trades: DataFrame, returns: DataFrame) -> DataFrame:
+    """Discretionary buys with their returns, stored: the groups read them and so do the symbols."""
+    return cut_lineage(with_returns(discretionary(trades, "BUY"), returns).select("symbol", *RETS, "is_csuite", "tier", "total_value"))
+
+
+def h8_rows(events: DataFrame, baseline: str = "random") -> DataFrame:
+    """Tiered replication: all, C-suite, tiers and thresholds; ``horizon_stats`` adds every symbol with three events."""
     c, yes = F.col, F.lit(True)
-    events = with_returns(discretionary(trades, "BUY"), returns)
     groups = [
         ("all", yes, "buy", baseline),
         ("csuite", c("is_csuite"), "buy", baseline),
@@ -511,12 +635,7 @@ def h8_rows(trades: DataFrame, returns: DataFrame, baseline: str = "random") ->
         ("stretch", c("tier") == "stretch", "buy", baseline),
     ]
     groups += [(f"buys_above_{v // 1000}k", c("total_value") >= v, "buy", baseline) for v in VALUE_THRESHOLDS]
-    rows = group_rows(events, groups)
-    enough = events.groupBy("symbol").agg(F.count("*").alias("__n")).filter("__n >= 3").select("symbol")
-    own = events.join(enough, "symbol", "left_semi").select(
-        *RETS, F.array(_member(F.concat(F.lit("ticker_"), "symbol"), F.lit("buy"), F.lit(baseline))).alias("members")
-    )
-    return rows.unionByName(own)
+    return group_rows(events, groups)
 
 
 def tier_gate(results: DataFrame, horizon: str = "7d") -> DataFrame:
@@ -527,8 +646,8 @@ def tier_gate(results: DataFrame, horizon: str = "7d") -> DataFrame:
 
 def full_run(trades: DataFrame, prices: DataFrame, samples: int = 10_000) -> DataFrame:
     """All hypotheses in one long table with p values and the Bonferroni correction."""
-    clean = insider_week_dedup(trades)
-    returns = stored_returns(clean, prices)
+    clean = cut_lineage(insider_week_dedup(trades).select(*STUDY_COLUMNS, "insider_name"))
+    returns = cut_lineage(stored_returns(clean.filter("transaction_type IN ('BUY', 'SELL')"), prices))
     scope = clean.filter("is_healthcare")
     hc_symbols = scope.select("symbol").distinct()
     hc_prices = prices.join(hc_symbols, "symbol", "left_semi")
@@ -539,13 +658,10 @@ def full_run(trades: DataFrame, prices: DataFrame, samples: int = 10_000) -> Dat
         .unionByName(random_baseline(control, samples // 2, 44, "random_control"))
         .unionByName(dip_baseline(hc_prices))
     )
-    parts = {
-        "H1": h1_rows(scope, returns), "H2": h2_rows(scope, returns), "H3": h3_rows(scope, returns),
-        "H4": h4_rows(scope, returns), "H5": h5_rows(scope, returns),
-        "H6": h6_rows(clean, returns, "random_all", "random", "random_control"),
-    }
-    rows = None
-    for name, part in parts.items():
-        part = part.withColumn("members", F.transform("members", lambda m: m.withField("sub_group", F.concat_ws("/", F.lit(name), m["sub_group"]))))
-        rows = part if rows is None else rows.unionByName(part)
+    name = lambda label, groups: [(f"{label}/{g}", *rest) for g, *rest in groups]
+    of_trades = [
+        *_where(F.col("is_healthcare"), name("H2", _h2_groups("random")) + name("H3", _h3_groups("random")) + name("H4", _h4_groups("random")) + name("H5", _h5_groups("random", "dip"))),
+        *name("H6", _h6_groups("random_all", "random", "random_control")),
+    ]
+    rows = group_rows(h1_events(scope, returns), name("H1", _h1_groups("random"))).unionByName(_trade_rows(clean, returns, of_trades))
     return bonferroni(horizon_stats(rows, baselines))

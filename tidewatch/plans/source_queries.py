@@ -350,7 +350,7 @@ _CELL = f"""trim(concat_ws(' ', 'N=' || n, {_signed('avg_return_pct')} || '%', '
 def k5(t):
     from tidewatch.operators import study as E
 
-    return W.markdown_lines(W.report_table(E.full_run(t.trades, t.prices)))
+    return W.markdown_lines(W.report_table(E.full_run(t.trades, t.stored_prices)))
 
 
 @query("k6_archive_by_age", "alerts", "SELECT id, archived OR sent_at < TIMESTAMP '2024-01-10' AS archived, sent_at < TIMESTAMP '2024-01-10' AND NOT archived AS affected FROM alerts")

@@ -103,15 +103,15 @@ def _stats_sql(selection: str, groups, baselines: str = "") -> str:
       ev AS ({_long('sel', groups)}), {_STATS}"""
 
 
-def _clean(t):
-    """Deduplicated trades; several passes read them, so one query stores them once."""
+def _clean(t, *more):
+    """What the study reads of deduplicated trades; several passes read them, so one query stores them once."""
     if "clean_trades" not in t.__dict__:
-        t.__dict__["clean_trades"] = cut_lineage(E.insider_week_dedup(t.trades))
+        t.__dict__["clean_trades"] = cut_lineage(E.insider_week_dedup(t.trades).select(*E.STUDY_COLUMNS, *more))
     return t.__dict__["clean_trades"]
 
 
-def _scope(t):
-    return _clean(t).filter("is_healthcare")
+def _scope(t, *more):
+    return _clean(t, *more).filter("is_healthcare")
 
 
 def _hc_prices(t):
@@ -123,9 +123,15 @@ def _random(t):
     return E.random_baseline(_hc_prices(t), 5000, 43, "random")
 
 
-def _returns(t):
-    """Returns of the filing days of the deduplicated trades if the query uses them, else of all."""
-    return E.stored_returns(t.__dict__.get("clean_trades", t.trades), t.stored_prices)
+def _returns(t, trades=None):
+    """Returns of the filing days of ``trades``, else of the deduplicated trades if the query uses them, else of all; exercises are no events."""
+    rows = t.__dict__.get("clean_trades", t.trades) if trades is None else trades
+    return E.stored_returns(rows.filter("transaction_type IN ('BUY', 'SELL')"), t.stored_prices)
+
+
+def _buy_returns(t):
+    """Returns of the days of buys outside a plan, stored because clusters and lone buys both meet them."""
+    return cut_lineage(_returns(t, E.discretionary(_clean(t, "insider_name"), "BUY")))
 
 
 def _finish(rows, baselines):
@@ -297,7 +303,7 @@ _H1_SEL = _walk("b AS (SELECT * FROM sc WHERE is_plan = false AND transaction_ty
     recursive=True,
 )
 def h1(t):
-    return _finish(E.h1_rows(_scope(t), _returns(t)), _random(t))
+    return _finish(E.h1_rows(_scope(t, "insider_name"), _returns(t, _scope(t))), _random(t))
 
 
 _THRESH = ((100000, "100k"), (500000, "500k"), (1000000, "1000k"))
@@ -313,7 +319,7 @@ _THRESH = ((100000, "100k"), (500000, "500k"), (1000000, "1000k"))
     ),
 )
 def h2(t):
-    return _finish(E.h2_rows(_scope(t), _returns(t)), _random(t))
+    return _finish(E.h2_rows(_scope(t), _returns(t, _scope(t))), _random(t))
 
 
 @query(
@@ -324,7 +330,7 @@ def h2(t):
     ),
 )
 def h3(t):
-    return _finish(E.h3_rows(_scope(t), _returns(t)), _random(t))
+    return _finish(E.h3_rows(_scope(t), _returns(t, _scope(t).filter("transaction_type = 'SELL'"))), _random(t))
 
 
 @query(
@@ -335,7 +341,7 @@ def h3(t):
     ),
 )
 def h4(t):
-    return _finish(E.h4_rows(_scope(t), _returns(t)), _random(t))
+    return _finish(E.h4_rows(_scope(t), _returns(t, _scope(t).filter("transaction_type = 'SELL'"))), _random(t))
 
 
 @query(
@@ -351,7 +357,7 @@ def h4(t):
     ),
 )
 def h5(t):
-    return _finish(E.h5_rows(_scope(t), _returns(t)), _random(t).unionByName(E.dip_baseline(_hc_prices(t))))
+    return _finish(E.h5_rows(_scope(t), _returns(t, _scope(t).filter("transaction_type = 'BUY'"))), _random(t).unionByName(E.dip_baseline(_hc_prices(t))))
 
 
 @query(
@@ -372,7 +378,7 @@ def h6(t):
         _random(t).unionByName(E.random_baseline(t.stored_prices, 10_000, 42, "random_all"))
         .unionByName(E.random_baseline(control, 5000, 44, "random_control"))
     )
-    return _finish(E.h6_rows(clean, _returns(t), "random_all", "random", "random_control"), baselines)
+    return _finish(E.h6_rows(clean, _returns(t, clean.filter("transaction_type = 'SELL' AND is_csuite")), "random_all", "random", "random_control"), baselines)
 
 
 _DIRECT = """em AS (SELECT sub_group, horizon, count(*) AS n, avg(ret) AS m, median(ret) AS med, var_samp(ret) AS v, quantile_cont(ret, 0.01) AS q0, quantile_cont(ret, 0.99) AS q1 FROM ev GROUP BY ALL),
@@ -395,7 +401,8 @@ _DIRECT = """em AS (SELECT sub_group, horizon, count(*) AS n, avg(ret) AS m, med
 )
 def h6d(t):
     hc = F.col("is_healthcare")
-    events = E.with_returns(E.discretionary(_clean(t), "SELL").filter("is_csuite"), _returns(t))
+    sells = E.discretionary(_clean(t), "SELL").filter("is_csuite")
+    events = E.with_returns(sells, _returns(t, sells))
     rows = E.group_rows(events, [("healthcare", hc, "sell", ""), ("control", ~hc, "sell", "")])
     return E.direct_compare(rows, "healthcare", "control", 4, with_p=False)
 
@@ -424,12 +431,12 @@ def _h7_sql(cond: str) -> str:
 
 @query("h7_cluster_buy_healthcare", "trades prices", _h7_sql("is_healthcare"), recursive=True)
 def h7(t):
-    return E.direct_compare(E.h7_rows(_clean(t), _returns(t), True), "cluster", "single", 3, with_p=False)
+    return E.direct_compare(E.h7_rows(_clean(t, "insider_name"), _buy_returns(t), True), "cluster", "single", 3, with_p=False)
 
 
 @query("h7_cluster_buy_full", "trades prices", _h7_sql("true"), recursive=True)
 def h7b(t):
-    return E.direct_compare(E.h7_rows(_clean(t), _returns(t), False), "cluster", "single", 3, with_p=False)
+    return E.direct_compare(E.h7_rows(_clean(t, "insider_name"), _buy_returns(t), False), "cluster", "single", 3, with_p=False)
 
 
 # p and verdict of _DIRECT at seven days
@@ -450,7 +457,7 @@ def _m27_sql() -> str:
 @query("m27_cluster_verdict", "trades prices", _m27_sql())
 def m27(t):
     parts = []
-    clean, returns = _clean(t), _returns(t)
+    clean, returns = _clean(t, "insider_name"), _buy_returns(t)
     for scope, only in (("healthcare", True), ("full_universe", False)):
         cmp = E.direct_compare(E.h7_rows(clean, returns, only), "cluster", "single", 3)
         parts.append(E.h7_verdict(cmp).withColumn("scope", F.lit(scope)))
@@ -459,7 +466,13 @@ def m27(t):
 
 def _tiered(t):
     tier = F.when(F.col("shares") >= 25, "strict").otherwise("stretch")
-    return _clean(t).withColumn("tier", tier)
+    return _clean(t, "shares").withColumn("tier", tier)
+
+
+def _h8(t, with_p):
+    trades = _tiered(t)
+    events = E.h8_events(trades, _returns(t, E.discretionary(trades, "BUY")))
+    return E.horizon_stats(E.h8_rows(events), E.random_baseline(t.stored_prices, 10_000, 42, "random"), with_p, own=(events, "random"))
 
 
 def _h8_groups():
@@ -481,7 +494,7 @@ _H8_LONG = _long("sel", _h8_groups()) + " UNION ALL " + " UNION ALL ".join(
     sel AS (SELECT e.*, r1, r3, r5, r21 FROM pick e JOIN rt ON e.symbol = rt.symbol AND e.filing_date = rt.date), ev AS ({_H8_LONG}), {_STATS}""",
 )
 def h8(t):
-    return _finish(E.h8_rows(_tiered(t), _returns(t)), E.random_baseline(t.stored_prices, 10_000, 42, "random"))
+    return _h8(t, False)
 
 
 @query(
@@ -493,8 +506,7 @@ def h8(t):
     FROM full_stats WHERE sub_group IN ('all', 'csuite') AND horizon = '7d'""",
 )
 def h8g(t):
-    res = E.horizon_stats(E.h8_rows(_tiered(t), _returns(t)), E.random_baseline(t.stored_prices, 10_000, 42, "random"))
-    return E.tier_gate(E.bonferroni(res))
+    return E.tier_gate(E.bonferroni(_h8(t, True)))
 
 
 def _full_run_sql() -> str:
