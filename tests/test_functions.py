@@ -251,3 +251,48 @@ def test_missing_facts_by_unicode_case(spark):
     got = spark.createDataFrame([(facts,)], "f array<string>").select(N.missing_data_facts(F.col("f")).alias("m"))
     assert "translate(" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.first().m == ["unknown terms", "inſufficient data", "NİE podano", "not disclosed"]
+
+
+def test_groups_are_numbers_and_symbols_have_their_own(spark):
+    """Group rows carry numbers, symbols of any size agree with numpy, and only those with three events are groups."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sizes = {"L": E.SMALL + 50, "M": 25, "N": 9, "T": 3, "W": 2}
+    data = {s: rng.normal(1, 30, n).round(2) for s, n in sizes.items()}
+    rows = [(s, float(x), None, float(-x), 1.0, True, "strict", 2e5) for s, xs in data.items() for x in xs]
+    schema = "symbol string, ret_1d double, ret_3d double, ret_7d double, ret_30d double, is_csuite boolean, tier string, total_value double"
+    events = spark.createDataFrame(rows, schema).repartition(4)
+    grouped = E.h8_rows(events)
+    assert dict(grouped.dtypes)["members"] == "array<int>"
+    base = spark.createDataFrame([("random", "X", "1d", float(i)) for i in range(20)], "baseline string, symbol string, horizon string, ret double")
+    got = {(r.sub_group, r.horizon): r for r in E.horizon_stats(grouped, base, False, own=(events, "random")).collect()}
+    assert {g for g, _ in got if g.startswith("ticker_")} == {"ticker_L", "ticker_M", "ticker_N", "ticker_T"} and not any(h == "3d" for _, h in got)
+    b = np.arange(20.0)
+    for s in "LMN":
+        xs = data[s]
+        r, w = got[f"ticker_{s}", "1d"], xs if len(xs) < 10 else np.clip(xs, np.quantile(xs, 0.01), np.quantile(xs, 0.99))
+        bw = np.clip(b, np.quantile(b, 0.01), np.quantile(b, 0.99))
+        pooled = ((len(xs) - 1) * w.var(ddof=1) + 19 * bw.var(ddof=1)) / (len(xs) + 18)
+        assert (r.n, r.baseline, r.direction) == (len(xs), "random", "buy") and r.median_return_pct == pytest.approx(np.median(xs), abs=6e-4)
+        assert r.effect_size_d == pytest.approx((w.mean() - bw.mean()) / pooled**0.5, abs=6e-4)
+        assert r.avg_return_pct == pytest.approx(xs.mean(), abs=6e-4) and r.hit_rate_pct == pytest.approx((xs > 0).mean() * 100, abs=0.06)
+    assert got["all", "1d"].n == sum(sizes.values())
+
+
+def test_recent_history_against_a_scan(spark):
+    """Histories across stretches, days with more rows than the limit, several filings a day; none is joined to its filing."""
+    import random
+
+    from tidewatch.operators.feeds import recent_history
+
+    rnd = random.Random(4)
+    trades = [(s, dt.date(2024, 1, 1) + dt.timedelta(rnd.choice([0, 5, 29, 30, 59, 60, 89, 90, 91, 119, 200])), f"t{i:04d}", f"a{rnd.randrange(40)}") for i in range(300) for s in ["AB"[i % 2]]]
+    trades += [(None, dt.date(2024, 1, 1), "t9", "a1"), ("A", None, "t8", "a1")]
+    found = recent_history(spark.createDataFrame(trades, "symbol string, transaction_date date, trade_id string, accession string"))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = set()
+    for s, day, acc in {(s, d, a) for s, d, _, a in trades if s and d}:
+        near = sorted(((d, t, a) for x, d, t, a in trades if x == s and d and 0 <= (day - d).days < 30), reverse=True)[:20]
+        want |= {(s, day, acc, k, t, d) for k, (d, t, _) in enumerate(x for x in near if x[2] != acc)}
+    assert {tuple(r) for r in found.collect()} == want

@@ -89,23 +89,26 @@ def replay_summary(rows: DataFrame) -> DataFrame:
 def recent_history(trades: DataFrame, days: int = 30, last: int = 20) -> DataFrame:
     """Newest trades of the same symbol before each filing, without the filing's own rows.
 
-    The limit applies before the filing's rows are dropped.  Per (symbol, date) at most
-    ``last`` rows can matter, so the look-back runs over that reduced daily table.
+    The limit applies before the filing's rows are dropped.  Per (symbol, date) at most ``last`` rows can matter, so the
+    look-back runs over that reduced daily table.  Filings stand in the same line as the days, cut into stretches that begin
+    with the days before them, so no history travels to its filings.
     """
-    row = F.struct("transaction_date", "trade_id", "accession")
-    top = first_k(trades, ["symbol", "transaction_date"], [F.desc("trade_id")], last)
-    daily = top.groupBy("symbol", F.col("transaction_date").alias("day")).agg(F.collect_list(row).alias("rows"))
-    filed = trades.groupBy("symbol", F.col("transaction_date").alias("day"), "accession").agg(F.count("*").alias("own_rows"))
-    span = Window.partitionBy("symbol").orderBy(F.unix_date("day")).rangeBetween(-(days - 1), 0)
-    seen = daily.withColumn("seen", F.flatten(F.collect_list("rows").over(span)))
-    newest = F.slice(F.sort_array("seen", asc=False), 1, last)
-    history = seen.select("symbol", "day", newest.alias("history"))
-    return (
-        filed.join(history, ["symbol", "day"])
-        .select("symbol", "day", "accession", "own_rows", F.filter("history", lambda h: h["accession"] != F.col("accession")).alias("h"))
-        .select("symbol", "day", "accession", F.posexplode_outer("h").alias("pos", "h"))
-        .filter("h IS NOT NULL")
-        .select("symbol", "day", "accession", "pos", F.col("h.trade_id").alias("history_trade_id"), F.col("h.transaction_date").alias("history_date"))
+    day, width = F.unix_date("transaction_date"), 3 * days
+    known = trades.filter("symbol IS NOT NULL AND transaction_date IS NOT NULL").select("symbol", "transaction_date", "trade_id", "accession")
+    top = first_k(known, ["symbol", "transaction_date"], [F.desc("trade_id")], last)
+    daily = top.groupBy("symbol", "transaction_date").agg(F.collect_list(F.struct("transaction_date", "trade_id", "accession")).alias("rows"))
+    daily = daily.withColumn("stretch", F.explode(F.sequence(F.floor(day / width), F.floor((day + days - 1) / width))))
+    bundle = F.pmod(F.xxhash64("accession"), F.lit(4))  # a day's filings share few rows, as each row works out its history
+    filed = known.repartition("symbol", "transaction_date").groupBy("symbol", "transaction_date", bundle.alias("bundle")).agg(
+        F.collect_set(F.struct("accession")).alias("filings")
+    ).withColumn("stretch", F.floor(day / width)).drop("bundle")
+    span = Window.partitionBy("symbol", "stretch").orderBy(day).rangeBetween(-(days - 1), 0)
+    line = daily.unionByName(filed, allowMissingColumns=True).withColumn("seen", F.collect_list("rows").over(span)).filter("filings IS NOT NULL")
+    newest = F.slice(F.sort_array(F.flatten("seen"), asc=False), 1, last)
+    each = line.select("symbol", F.col("transaction_date").alias("day"), newest.alias("history"), F.explode("filings").alias("f"))
+    history = each.select("symbol", "day", "f.accession", F.filter("history", lambda h: h["accession"] != F.col("f.accession")).alias("h"))
+    return history.select("symbol", "day", "accession", F.posexplode("h").alias("pos", "h")).select(
+        "symbol", "day", "accession", "pos", F.col("h.trade_id").alias("history_trade_id"), F.col("h.transaction_date").alias("history_date")
     )
 
 
