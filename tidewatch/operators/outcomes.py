@@ -97,15 +97,18 @@ def forward_closes(prices: DataFrame, offsets: Sequence[int]) -> DataFrame:
 def entry_prices(days: DataFrame, prices: DataFrame, offsets: Sequence[int]) -> DataFrame:
     """First close on or after each (symbol, date) and the closes ``k`` rows after it.
 
-    ``days`` is reduced to distinct pairs first, so both sides are bounded by the calendar.
+    ``days`` is reduced to distinct pairs first, so both sides are bounded by the calendar.  They are exchanged once and swept together:
+    from a day on, the next price row is its entry, and ``k`` rows on stands the close wanted.
     """
-    table = forward_closes(prices, offsets).withColumn("__d", F.unix_date("date"))
-    grid = days.select("symbol", "date").distinct().withColumn("__d", F.unix_date("date"))
-    values = ["date", "close", *[f"close_{k}" for k in offsets]]
-    out = asof_join(grid, table, ["symbol"], "__d", "__d", values, "forward", width=None)
+    rows = prices.filter("date IS NOT NULL").select("symbol", "date", "close", F.lit(1).alias("__side"))
+    both = days.select("symbol", "date").distinct().withColumn("__side", F.lit(0)).unionByName(rows, allowMissingColumns=True)
+    both = both.repartition("symbol").withColumn("__price", F.when(F.col("__side") == 1, F.struct("date", "close")))  # days stay null, a price without a close does not
+    line = Window.partitionBy("symbol").orderBy("date", "__side")
+    ahead = {f"__{k}": F.expr(f"lead(__price, {k + 1}) IGNORE NULLS").over(line) for k in (0, *offsets)}
+    out = both.withColumns(ahead).filter("__side = 0")
+    at = lambda k, field: F.when(F.col("date").isNotNull(), F.col(f"__{k}.{field}"))
     return out.select(
-        "symbol", "date", F.col("match.date").alias("entry_date"), F.col("match.close").alias("entry_close"),
-        *[F.col(f"match.close_{k}").alias(f"close_{k}") for k in offsets],
+        "symbol", "date", at(0, "date").alias("entry_date"), at(0, "close").alias("entry_close"), *[at(k, "close").alias(f"close_{k}") for k in offsets]
     )
 
 

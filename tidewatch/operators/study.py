@@ -22,12 +22,36 @@ STUDY_COLUMNS = ("symbol", "transaction_type", "total_value", "filing_date", "is
 
 
 def insider_week_dedup(trades: DataFrame) -> DataFrame:
-    """Largest trade per symbol, insider, ISO week of the filing and type."""
-    keyed = trades.withColumn("__week", F.weekofyear("filing_date")).withColumn(
-        "__year", F.expr("extract(YEAROFWEEK FROM filing_date)")
-    )
-    keys = ["symbol", "insider_name", "__week", "__year", "transaction_type"]
-    return first_k(keyed, keys, [F.desc("total_value"), F.asc("trade_id")], 1).drop("__week", "__year")
+    """Largest trade per symbol, insider, ISO week of the filing and type.
+
+    Rows are dealt out before they are ordered: a scan's task would have to order all it reads, however large its part of a file is.
+    """
+    keys = ["symbol", "insider_name", "__week", "transaction_type"]
+    keyed = trades.withColumn("__week", F.trunc("filing_date", "week")).repartition(*keys)
+    return first_k(keyed, keys, [F.desc("total_value"), F.asc("trade_id")], 1).drop("__week")
+
+
+def study_trades(trades: DataFrame, types: Sequence[str], where: Column | None = None, columns: Sequence[str] = STUDY_COLUMNS) -> DataFrame:
+    """``insider_week_dedup`` of the given types, stored as several passes read it; ``where`` tests the rows that are left.
+
+    The type is a key of the deduplication, so other types leave before it.
+    """
+    kept = insider_week_dedup(trades.filter(F.col("transaction_type").isin(*types)))
+    return cut_lineage((kept if where is None else kept.filter(where)).select(*columns))
+
+
+def healthcare_symbols(trades: DataFrame) -> DataFrame:
+    """Symbols with a healthcare row among the deduplicated trades of all types, stored.
+
+    Of a symbol whose rows agree nothing has to be deduplicated to know this; the others are.
+    """
+    flag = F.coalesce("is_healthcare", F.lit(False))
+    told = cut_lineage(trades.groupBy("symbol").agg(F.bool_or(flag).alias("some"), F.bool_and(flag).alias("every")))
+    sure, mixed = told.filter("every").select("symbol"), told.filter("some AND NOT every").select("symbol")
+    if not mixed.head(1):
+        return sure
+    kept = insider_week_dedup(trades.join(F.broadcast(mixed), "symbol", "left_semi")).filter("is_healthcare")
+    return cut_lineage(sure.unionByName(kept.select("symbol").distinct()))
 
 
 def discretionary(trades: DataFrame, *types: str) -> DataFrame:
@@ -176,14 +200,14 @@ def random_baseline(prices: DataFrame, samples: int = 5000, seed: int = 42, name
     partitioning; it is without replacement.
     """
     sizes = prices.groupBy("symbol").agg(F.count("*").alias("__n")).filter("__n > 30")
-    shares = sizes.select(F.col("symbol").alias("__of"), F.greatest(F.lit(1), F.floor(F.lit(samples) / F.count("*").over(Window.partitionBy()))).alias("__share"))  # one row per symbol
+    share = sizes.agg(F.greatest(F.lit(1), F.floor(F.try_divide(F.lit(samples), F.count("*")))).alias("__share"))  # one row
     rows = _row_returns(prices).filter("n > 30")
     max_idx = F.col("n") - max(HORIZONS.values()) - 1
     eligible = rows.filter((max_idx >= 1) & (F.col("idx") < max_idx))
     rank = F.row_number().over(
         Window.partitionBy("symbol").orderBy(_hash_rank(F.col("symbol"), F.col("idx"), F.lit(seed)))
     )
-    drawn = eligible.withColumn("__rank", rank).join(shares, F.col("symbol").eqNullSafe(F.col("__of")))
+    drawn = eligible.withColumn("__rank", rank).crossJoin(F.broadcast(share))
     drawn = drawn.filter((F.col("__rank") <= F.least("__share", max_idx)) & (F.col("close") > 0))
     return _long_returns(drawn.withColumn("baseline", F.lit(name)), ["baseline", "symbol"])
 
@@ -646,10 +670,10 @@ def tier_gate(results: DataFrame, horizon: str = "7d") -> DataFrame:
 
 def full_run(trades: DataFrame, prices: DataFrame, samples: int = 10_000) -> DataFrame:
     """All hypotheses in one long table with p values and the Bonferroni correction."""
-    clean = cut_lineage(insider_week_dedup(trades).select(*STUDY_COLUMNS, "insider_name"))
-    returns = cut_lineage(stored_returns(clean.filter("transaction_type IN ('BUY', 'SELL')"), prices))
+    clean = study_trades(trades, ("BUY", "SELL"), columns=(*STUDY_COLUMNS, "insider_name"))
+    returns = cut_lineage(stored_returns(clean, prices))
     scope = clean.filter("is_healthcare")
-    hc_symbols = scope.select("symbol").distinct()
+    hc_symbols = healthcare_symbols(trades)
     hc_prices = prices.join(hc_symbols, "symbol", "left_semi")
     control = prices.join(hc_symbols, "symbol", "left_anti")
     baselines = (

@@ -103,20 +103,15 @@ def _stats_sql(selection: str, groups, baselines: str = "") -> str:
       ev AS ({_long('sel', groups)}), {_STATS}"""
 
 
-def _clean(t, *more):
-    """What the study reads of deduplicated trades; several passes read them, so one query stores them once."""
-    if "clean_trades" not in t.__dict__:
-        t.__dict__["clean_trades"] = cut_lineage(E.insider_week_dedup(t.trades).select(*E.STUDY_COLUMNS, *more))
-    return t.__dict__["clean_trades"]
-
-
-def _scope(t, *more):
-    return _clean(t, *more).filter("is_healthcare")
+def _clean(t, types: str, where: str, *more):
+    """Deduplicated trades of the types as far as a query reads them."""
+    return E.study_trades(t.trades, types.split(), F.expr(where), (*E.STUDY_COLUMNS, *more))
 
 
 def _hc_prices(t):
-    keep = _scope(t).select("symbol").distinct()
-    return t.stored_prices.join(keep, "symbol", "left_semi")
+    if "hc_prices" not in t.__dict__:
+        t.__dict__["hc_prices"] = t.stored_prices.join(E.healthcare_symbols(t.trades), "symbol", "left_semi")
+    return t.__dict__["hc_prices"]
 
 
 def _random(t):
@@ -124,14 +119,15 @@ def _random(t):
 
 
 def _returns(t, trades=None):
-    """Returns of the filing days of ``trades``, else of the deduplicated trades if the query uses them, else of all; exercises are no events."""
-    rows = t.__dict__.get("clean_trades", t.trades) if trades is None else trades
+    """Returns of the filing days of ``trades``, else of all; exercises are no events."""
+    rows = t.trades if trades is None else trades
     return E.stored_returns(rows.filter("transaction_type IN ('BUY', 'SELL')"), t.stored_prices)
 
 
-def _buy_returns(t):
-    """Returns of the days of buys outside a plan, stored because clusters and lone buys both meet them."""
-    return cut_lineage(_returns(t, E.discretionary(_clean(t, "insider_name"), "BUY")))
+def _buys(t, where: str = "NOT is_plan"):
+    """Buys outside a plan and the returns of their days, stored because clusters and lone buys both meet them."""
+    buys = _clean(t, "BUY", where, "insider_name")
+    return buys, cut_lineage(_returns(t, buys))
 
 
 def _finish(rows, baselines):
@@ -303,7 +299,8 @@ _H1_SEL = _walk("b AS (SELECT * FROM sc WHERE is_plan = false AND transaction_ty
     recursive=True,
 )
 def h1(t):
-    return _finish(E.h1_rows(_scope(t, "insider_name"), _returns(t, _scope(t))), _random(t))
+    trades = _clean(t, "BUY SELL", "is_healthcare AND NOT is_plan", "insider_name")
+    return _finish(E.h1_rows(trades, _returns(t, trades)), _random(t))
 
 
 _THRESH = ((100000, "100k"), (500000, "500k"), (1000000, "1000k"))
@@ -319,7 +316,8 @@ _THRESH = ((100000, "100k"), (500000, "500k"), (1000000, "1000k"))
     ),
 )
 def h2(t):
-    return _finish(E.h2_rows(_scope(t), _returns(t, _scope(t))), _random(t))
+    trades = _clean(t, "BUY SELL", "is_healthcare AND is_csuite AND NOT is_plan")
+    return _finish(E.h2_rows(trades, _returns(t, trades)), _random(t))
 
 
 @query(
@@ -330,7 +328,8 @@ def h2(t):
     ),
 )
 def h3(t):
-    return _finish(E.h3_rows(_scope(t), _returns(t, _scope(t).filter("transaction_type = 'SELL'"))), _random(t))
+    sells = _clean(t, "SELL", "is_healthcare")
+    return _finish(E.h3_rows(sells, _returns(t, sells)), _random(t))
 
 
 @query(
@@ -341,7 +340,8 @@ def h3(t):
     ),
 )
 def h4(t):
-    return _finish(E.h4_rows(_scope(t), _returns(t, _scope(t).filter("transaction_type = 'SELL'"))), _random(t))
+    sells = _clean(t, "SELL", "is_healthcare AND NOT is_plan")
+    return _finish(E.h4_rows(sells, _returns(t, sells)), _random(t))
 
 
 @query(
@@ -357,7 +357,8 @@ def h4(t):
     ),
 )
 def h5(t):
-    return _finish(E.h5_rows(_scope(t), _returns(t, _scope(t).filter("transaction_type = 'BUY'"))), _random(t).unionByName(E.dip_baseline(_hc_prices(t))))
+    buys = _clean(t, "BUY", "is_healthcare AND NOT is_plan")
+    return _finish(E.h5_rows(buys, _returns(t, buys)), _random(t).unionByName(E.dip_baseline(_hc_prices(t))))
 
 
 @query(
@@ -372,13 +373,13 @@ def h5(t):
     ),
 )
 def h6(t):
-    clean = _clean(t)
-    control = t.stored_prices.join(_scope(t).select("symbol").distinct(), "symbol", "left_anti")
+    sells, hc = _clean(t, "SELL", "is_csuite AND NOT is_plan"), E.healthcare_symbols(t.trades)
+    in_scope, control = (t.stored_prices.join(hc, "symbol", how) for how in ("left_semi", "left_anti"))
     baselines = (
-        _random(t).unionByName(E.random_baseline(t.stored_prices, 10_000, 42, "random_all"))
+        E.random_baseline(in_scope, 5000, 43, "random").unionByName(E.random_baseline(t.stored_prices, 10_000, 42, "random_all"))
         .unionByName(E.random_baseline(control, 5000, 44, "random_control"))
     )
-    return _finish(E.h6_rows(clean, _returns(t, clean.filter("transaction_type = 'SELL' AND is_csuite")), "random_all", "random", "random_control"), baselines)
+    return _finish(E.h6_rows(sells, _returns(t, sells), "random_all", "random", "random_control"), baselines)
 
 
 _DIRECT = """em AS (SELECT sub_group, horizon, count(*) AS n, avg(ret) AS m, median(ret) AS med, var_samp(ret) AS v, quantile_cont(ret, 0.01) AS q0, quantile_cont(ret, 0.99) AS q1 FROM ev GROUP BY ALL),
@@ -401,7 +402,7 @@ _DIRECT = """em AS (SELECT sub_group, horizon, count(*) AS n, avg(ret) AS m, med
 )
 def h6d(t):
     hc = F.col("is_healthcare")
-    sells = E.discretionary(_clean(t), "SELL").filter("is_csuite")
+    sells = _clean(t, "SELL", "is_csuite AND NOT is_plan")
     events = E.with_returns(sells, _returns(t, sells))
     rows = E.group_rows(events, [("healthcare", hc, "sell", ""), ("control", ~hc, "sell", "")])
     return E.direct_compare(rows, "healthcare", "control", 4, with_p=False)
@@ -431,12 +432,12 @@ def _h7_sql(cond: str) -> str:
 
 @query("h7_cluster_buy_healthcare", "trades prices", _h7_sql("is_healthcare"), recursive=True)
 def h7(t):
-    return E.direct_compare(E.h7_rows(_clean(t, "insider_name"), _buy_returns(t), True), "cluster", "single", 3, with_p=False)
+    return E.direct_compare(E.h7_rows(*_buys(t, "is_healthcare AND NOT is_plan"), True), "cluster", "single", 3, with_p=False)
 
 
 @query("h7_cluster_buy_full", "trades prices", _h7_sql("true"), recursive=True)
 def h7b(t):
-    return E.direct_compare(E.h7_rows(_clean(t, "insider_name"), _buy_returns(t), False), "cluster", "single", 3, with_p=False)
+    return E.direct_compare(E.h7_rows(*_buys(t), False), "cluster", "single", 3, with_p=False)
 
 
 # p and verdict of _DIRECT at seven days
@@ -457,21 +458,21 @@ def _m27_sql() -> str:
 @query("m27_cluster_verdict", "trades prices", _m27_sql())
 def m27(t):
     parts = []
-    clean, returns = _clean(t, "insider_name"), _buy_returns(t)
+    buys, returns = _buys(t)
     for scope, only in (("healthcare", True), ("full_universe", False)):
-        cmp = E.direct_compare(E.h7_rows(clean, returns, only), "cluster", "single", 3)
+        cmp = E.direct_compare(E.h7_rows(buys, returns, only), "cluster", "single", 3)
         parts.append(E.h7_verdict(cmp).withColumn("scope", F.lit(scope)))
     return parts[0].unionByName(parts[1])
 
 
 def _tiered(t):
     tier = F.when(F.col("shares") >= 25, "strict").otherwise("stretch")
-    return _clean(t, "shares").withColumn("tier", tier)
+    return _clean(t, "BUY", "NOT is_plan", "shares").withColumn("tier", tier)
 
 
 def _h8(t, with_p):
     trades = _tiered(t)
-    events = E.h8_events(trades, _returns(t, E.discretionary(trades, "BUY")))
+    events = E.h8_events(trades, _returns(t, trades))
     return E.horizon_stats(E.h8_rows(events), E.random_baseline(t.stored_prices, 10_000, 42, "random"), with_p, own=(events, "random"))
 
 
