@@ -77,3 +77,12 @@ def test_random_baseline_joins_no_symbols(spark):
     assert "<=>" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.symbol, r.horizon): r["count"] for r in rows.groupBy("symbol", "horizon").count().collect()} == {(s, h): 5 for s in ("A", None) for h in ("1d", "3d", "7d", "30d")}
     assert random_baseline(prices.filter("close < 0")).count() == 0
+
+
+def test_prices_are_not_grouped_in_the_scan(spark):
+    from tidewatch.plans.tables import Tables
+
+    rows = Tables(spark, "/root/testdata/sf0.001").prices
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange"):]
+    assert rows.count() == rows.select("symbol", "date").distinct().count()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewatch.functions.calendar import effective_start, is_open
 from tidewatch.operators.temporal import DAY_US, asof_join, micros
+from tidewatch.session import deal_out
 
 # Outcome slots in hours after the effective start; benchmarks use the last three.
 SLOT_HOURS = {"1h": 1, "4h": 4, "1d": 24, "3d": 72, "7d": 168}
@@ -102,7 +103,7 @@ def entry_prices(days: DataFrame, prices: DataFrame, offsets: Sequence[int]) ->
     """
     rows = prices.filter("date IS NOT NULL").select("symbol", "date", "close", F.lit(1).alias("__side"))
     both = days.select("symbol", "date").distinct().withColumn("__side", F.lit(0)).unionByName(rows, allowMissingColumns=True)
-    both = both.repartition("symbol").withColumn("__price", F.when(F.col("__side") == 1, F.struct("date", "close")))  # days stay null, a price without a close does not
+    both = deal_out(both, "symbol").withColumn("__price", F.when(F.col("__side") == 1, F.struct("date", "close")))  # days stay null, a price without a close does not
     line = Window.partitionBy("symbol").orderBy("date", "__side")
     ahead = {f"__{k}": F.expr(f"lead(__price, {k + 1}) IGNORE NULLS").over(line) for k in (0, *offsets)}
     out = both.withColumns(ahead).filter("__side = 0")

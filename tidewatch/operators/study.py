@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidewatch.functions import scoring as S, stats as X
 from tidewatch.operators.outcomes import HORIZONS, day_returns, dip_days
 from tidewatch.operators.temporal import exact_quantiles, first_k, fold_sorted, interval_join, join_same
-from tidewatch.session import cut_lineage
+from tidewatch.session import cut_lineage, deal_out
 
 WINDOW_DAYS, MIN_INSIDERS = 7, 2
 VALUE_THRESHOLDS = (100_000, 500_000, 1_000_000)
@@ -27,8 +27,8 @@ def insider_week_dedup(trades: DataFrame) -> DataFrame:
     Rows are dealt out before they are ordered: a scan's task would have to order all it reads, however large its part of a file is.
     """
     keys = ["symbol", "insider_name", "__week", "transaction_type"]
-    keyed = trades.withColumn("__week", F.trunc("filing_date", "week")).repartition(*keys)
-    return first_k(keyed, keys, [F.desc("total_value"), F.asc("trade_id")], 1).drop("__week")
+    keyed = trades.withColumn("__week", F.trunc("filing_date", "week"))
+    return first_k(deal_out(keyed, *keys), keys, [F.desc("total_value"), F.asc("trade_id")], 1).drop("__week")
 
 
 def study_trades(trades: DataFrame, types: Sequence[str], where: Column | None = None, columns: Sequence[str] = STUDY_COLUMNS) -> DataFrame:

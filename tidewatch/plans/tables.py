@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewatch.session import cut_lineage, pin_utc
+from tidewatch.session import cut_lineage, deal_out, pin_utc
 from tidewatch.sources.tables import read_table
 
 _RULE = (
@@ -186,10 +186,8 @@ class Tables:
                 self.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey")
             )
         if name == "prices":
-            return (
-                self.trades.groupBy("symbol", F.col("transaction_date").alias("date"))
-                .agg(F.min("price_per_share").alias("close"))
-            )
+            rows = self.trades.select("symbol", F.col("transaction_date").alias("date"), "price_per_share")  # dealt out first: few share a day, so a scan's task would hold all it reads
+            return deal_out(rows, "symbol", "date").groupBy("symbol", "date").agg(F.min("price_per_share").alias("close"))
         if name == "stored_prices":  # read several times by one query, so it is derived once
             self.__dict__[name] = cut_lineage(self.prices)
             return self.__dict__[name]
