@@ -296,3 +296,17 @@ def test_recent_history_against_a_scan(spark):
         near = sorted(((d, t, a) for x, d, t, a in trades if x == s and d and 0 <= (day - d).days < 30), reverse=True)[:20]
         want |= {(s, day, acc, k, t, d) for k, (d, t, _) in enumerate(x for x in near if x[2] != acc)}
     assert {tuple(r) for r in found.collect()} == want
+
+
+def test_ownership_documents_are_built_after_they_are_dealt_out(spark, tmp_path):
+    from tidewatch.plans import QUERIES
+
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    day = "TIMESTAMP_NTZ '2024-01-03 00:00:00'"
+    rows = spark.sql(f"SELECT 1L, 2L, 3L, 2, 5e0, 100e0, 0e0, 0.08e0, 'A', 'F', {day} UNION ALL SELECT 1L, 2L, 3L, 2, 5e0, 100e0, 0e0, 0.08e0, 'A', 'F', {day} UNION ALL SELECT 9L, 2L, 3L, 6, 1e0, 1e0, 0e0, 0e0, 'R', 'F', NULL")
+    rows.toDF(*[n.split()[0] for n in names.split(", ")]).write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = QUERIES["s5_form4_xml"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "ownershipDocument" not in plan[plan.index("RepartitionByExpression"):]
+    got = sorted((r.idx, r.transaction_type, r.shares, r.insider_name, r.is_plan) for r in out.collect())
+    assert got == [(0, "BUY", 5.0, "I2 (co-filing z Fund LP)", True)] * 2 + [(1, "OTHER", 7.0, "I2 (co-filing z Fund LP)", True)] * 2

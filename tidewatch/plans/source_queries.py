@@ -119,8 +119,8 @@ _TITLE = "coalesce(insider_role, 'Officer')"
     UNION ALL SELECT concat(trade_id, '_1'), 1, CASE WHEN idx = 2 THEN concat(insider_name, ' (co-filing z Fund LP)') ELSE insider_name END, CASE WHEN idx = 2 THEN 'Director, 10% Owner' ELSE {_TITLE} END, 'OTHER', 7e0, 2e0, 14e0, transaction_date, coalesce(is_plan, false) OR idx = 6 FROM trades WHERE idx NOT IN (3, 4)""",
 )
 def s5(t):
-    docs = _docs(t.trades, FORM4, "trade_id AS accession")
-    return S.form4_transactions(docs).drop("accession", "shares_after")
+    docs = _docs(S.spread_documents(t.trades, "trade_id"), FORM4, "trade_id AS accession")  # dealt out while they are narrow rows
+    return S.form4_transactions(docs, spread=False).drop("accession", "shares_after")
 
 
 CALENDAR = (
