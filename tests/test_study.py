@@ -86,3 +86,24 @@ def test_prices_are_not_grouped_in_the_scan(spark):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange"):]
     assert rows.count() == rows.select("symbol", "date").distinct().count()
+
+
+@pytest.fixture()
+def lineitem(spark, tmp_path):
+    """Two healthcare symbols (S2, S4) and two others (S1, S3), with all types, on 60 days."""
+    spark.range(960).selectExpr(
+        "id AS l_orderkey", "id * 7 % 40 AS l_partkey", "id % 4 + 1 AS l_suppkey", "CAST(id DIV 4 % 7 + 1 AS INT) AS l_linenumber", "CAST(1 + id % 5 AS DOUBLE) AS l_quantity",
+        "CAST(100 + id * 13 % 97 AS DOUBLE) AS l_extendedprice", "CAST(id % 10 AS DOUBLE) / 100 AS l_discount", "CAST(id % 9 AS DOUBLE) / 100 AS l_tax",
+        "element_at(array('R', 'A', 'N'), CAST(id DIV 8 % 3 + 1 AS INT)) AS l_returnflag", "CAST(DATE '2024-01-01' + CAST(id DIV 16 AS INT) AS TIMESTAMP_NTZ) AS l_shipdate",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    return str(tmp_path)
+
+
+def test_buys_store_no_prices(spark, lineitem, monkeypatch):
+    from tidewatch.plans import QUERIES, tables
+
+    def refused(df):
+        raise AssertionError("prices are read once by this query")
+
+    monkeypatch.setattr(tables, "cut_lineage", refused)
+    assert {r.horizon for r in QUERIES["h7_cluster_buy_full"](spark, lineitem).collect()} <= {"1d", "3d", "7d", "30d"}

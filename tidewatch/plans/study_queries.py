@@ -8,6 +8,7 @@ from tidewatch.functions import stats as X
 from tidewatch.operators import study as E
 from tidewatch.plans.market_queries import _FWD
 from tidewatch.plans.registry import query
+from tidewatch.plans.tables import daily_closes
 from tidewatch.session import cut_lineage
 
 H = ("1d", "3d", "7d", "30d")
@@ -118,16 +119,16 @@ def _random(t):
     return E.random_baseline(_hc_prices(t), 5000, 43, "random")
 
 
-def _returns(t, trades=None):
+def _returns(t, trades=None, prices=None):
     """Returns of the filing days of ``trades``, else of all; exercises are no events."""
     rows = t.trades if trades is None else trades
-    return E.stored_returns(rows.filter("transaction_type IN ('BUY', 'SELL')"), t.stored_prices)
+    return E.stored_returns(rows.filter("transaction_type IN ('BUY', 'SELL')"), t.stored_prices if prices is None else prices)
 
 
 def _buys(t, where: str = "NOT is_plan"):
-    """Buys outside a plan and the returns of their days, stored because clusters and lone buys both meet them."""
+    """Buys outside a plan and the returns of their days, stored because clusters and lone buys both meet them; prices are read once and are not."""
     buys = _clean(t, "BUY", where, "insider_name")
-    return buys, cut_lineage(_returns(t, buys))
+    return buys, cut_lineage(_returns(t, buys, daily_closes(t.trades)).drop("entry_price"))
 
 
 def _finish(rows, baselines):

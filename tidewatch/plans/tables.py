@@ -168,6 +168,12 @@ _SOURCE = {
 }
 
 
+def daily_closes(trades: DataFrame) -> DataFrame:
+    """Lowest price of every symbol and day."""
+    rows = trades.select("symbol", F.col("transaction_date").alias("date"), "price_per_share")  # dealt out first: few share a day, so a scan's task would hold all it reads
+    return deal_out(rows, "symbol", "date").groupBy("symbol", "date").agg(F.min("price_per_share").alias("close"))
+
+
 class Tables:
     """Lazy access to the driver tables and the domain tables over them."""
 
@@ -186,8 +192,7 @@ class Tables:
                 self.raw("nation"), F.col("s_nationkey") == F.col("n_nationkey")
             )
         if name == "prices":
-            rows = self.trades.select("symbol", F.col("transaction_date").alias("date"), "price_per_share")  # dealt out first: few share a day, so a scan's task would hold all it reads
-            return deal_out(rows, "symbol", "date").groupBy("symbol", "date").agg(F.min("price_per_share").alias("close"))
+            return daily_closes(self.trades)
         if name == "stored_prices":  # read several times by one query, so it is derived once
             self.__dict__[name] = cut_lineage(self.prices)
             return self.__dict__[name]
