@@ -99,6 +99,19 @@ def lineitem(spark, tmp_path):
     return str(tmp_path)
 
 
+@pytest.mark.parametrize("name", ["h2_csuite_trades"])
+def test_healthcare_queries_exchange_only_symbols_they_can_read(spark, lineitem, monkeypatch, name):
+    from tidewatch.operators import study
+    from tidewatch.plans import QUERIES, tables
+
+    dealt, deal_out = [], study.deal_out
+    for module in (study, tables):
+        monkeypatch.setattr(module, "deal_out", lambda df, *keys: dealt.append(df) or deal_out(df, *keys))
+    rows = QUERIES[name](spark, lineitem).collect()
+    assert rows and len(dealt) == 2  # trades and prices
+    assert [{r.symbol for r in df.select("symbol").distinct().collect()} for df in dealt] == [{"S2", "S4"}] * 2
+
+
 def test_buys_store_no_prices(spark, lineitem, monkeypatch):
     from tidewatch.plans import QUERIES, tables
 
@@ -107,3 +120,21 @@ def test_buys_store_no_prices(spark, lineitem, monkeypatch):
 
     monkeypatch.setattr(tables, "cut_lineage", refused)
     assert {r.horizon for r in QUERIES["h7_cluster_buy_full"](spark, lineitem).collect()} <= {"1d", "3d", "7d", "30d"}
+
+
+def test_healthcare_scope_keeps_symbols_with_some_healthcare_row(trades, monkeypatch):
+    from tidewatch.operators import study
+
+    told = study.healthcare_flags(trades)
+    scope = study.healthcare_scope(trades, told)
+    assert sorted(r.trade_id for r in scope.collect()) == ["t1", "t2", "t3", "t4", "t5", "t6", "t7"] and scope.columns == trades.columns
+    kept = lambda rows: sorted(tuple(r) for r in study.study_trades(rows, ("SELL", "EXERCISE"), study.F.col("is_healthcare")).collect())
+    assert kept(scope) == kept(trades) != []  # B's healthcare row stands behind a row of its week and stays out
+    assert {r.symbol for r in study.healthcare_symbols(scope, told).collect()} == {"A", "C", None}
+    monkeypatch.setattr(study, "FEW_SYMBOLS", 1)
+    assert study.healthcare_scope(trades, told).count() == trades.count()
+    prices = trades.selectExpr("symbol", "filing_date AS date", "total_value AS close")
+    symbols = study.healthcare_symbols(trades, told)
+    many = sorted(r.symbol for r in study.prices_of(prices, symbols).collect())
+    monkeypatch.setattr(study, "FEW_SYMBOLS", 100)
+    assert sorted(r.symbol for r in study.prices_of(prices, symbols).collect()) == many == ["A"] * 3 + ["C"] * 2

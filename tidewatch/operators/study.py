@@ -31,6 +31,29 @@ def insider_week_dedup(trades: DataFrame) -> DataFrame:
     return first_k(deal_out(keyed, *keys), keys, [F.desc("total_value"), F.asc("trade_id")], 1).drop("__week")
 
 
+FEW_SYMBOLS = 500_000  # up to this many go to every task
+
+
+def healthcare_flags(trades: DataFrame) -> DataFrame:
+    """Per symbol whether some and whether every trade is a healthcare row, stored."""
+    flag = F.coalesce("is_healthcare", F.lit(False))
+    return cut_lineage(trades.groupBy("symbol").agg(F.bool_or(flag).alias("some"), F.bool_and(flag).alias("every")))
+
+
+def few(symbols: DataFrame) -> bool:
+    return symbols.count() <= FEW_SYMBOLS
+
+
+def healthcare_scope(trades: DataFrame, told: DataFrame) -> DataFrame:
+    """Trades without those of symbols that have no healthcare row at all; ``told`` is ``healthcare_flags``.
+
+    The symbol is a key of every step of the study, so rows of these symbols reach no result on healthcare rows; left out here they are
+    not exchanged.  Too many symbols for every task leave the trades as they are.  A null symbol meets no price and leaves too.
+    """
+    some = told.filter("some").select("symbol")
+    return trades.join(F.broadcast(some), "symbol", "left_semi").select(*trades.columns) if few(some) else trades
+
+
 def study_trades(trades: DataFrame, types: Sequence[str], where: Column | None = None, columns: Sequence[str] = STUDY_COLUMNS) -> DataFrame:
     """``insider_week_dedup`` of the given types, stored as several passes read it; ``where`` tests the rows that are left.
 
@@ -40,13 +63,12 @@ def study_trades(trades: DataFrame, types: Sequence[str], where: Column | None =
     return cut_lineage((kept if where is None else kept.filter(where)).select(*columns))
 
 
-def healthcare_symbols(trades: DataFrame) -> DataFrame:
+def healthcare_symbols(trades: DataFrame, told: DataFrame | None = None) -> DataFrame:
     """Symbols with a healthcare row among the deduplicated trades of all types, stored.
 
-    Of a symbol whose rows agree nothing has to be deduplicated to know this; the others are.
+    Of a symbol whose rows agree nothing has to be deduplicated to know this; the others are.  ``told`` is ``healthcare_flags`` if it has been taken already.
     """
-    flag = F.coalesce("is_healthcare", F.lit(False))
-    told = cut_lineage(trades.groupBy("symbol").agg(F.bool_or(flag).alias("some"), F.bool_and(flag).alias("every")))
+    told = healthcare_flags(trades) if told is None else told
     sure, mixed = told.filter("every").select("symbol"), told.filter("some AND NOT every").select("symbol")
     if not mixed.head(1):
         return sure
@@ -59,6 +81,11 @@ def discretionary(trades: DataFrame, *types: str) -> DataFrame:
     return trades.filter((F.col("is_plan") == F.lit(False)) & F.col("transaction_type").isin(*types))
 
 
+def prices_of(prices: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Prices of the given symbols, which go to every task while they are few."""
+    return prices.join(F.broadcast(symbols) if few(symbols) else symbols, "symbol", "left_semi")
+
+
 # --- clusters ------------------------------------------------------------------------------
 
 
@@ -674,7 +701,7 @@ def full_run(trades: DataFrame, prices: DataFrame, samples: int = 10_000) -> Dat
     returns = cut_lineage(stored_returns(clean, prices))
     scope = clean.filter("is_healthcare")
     hc_symbols = healthcare_symbols(trades)
-    hc_prices = prices.join(hc_symbols, "symbol", "left_semi")
+    hc_prices = prices_of(prices, hc_symbols)
     control = prices.join(hc_symbols, "symbol", "left_anti")
     baselines = (
         random_baseline(hc_prices, samples // 2, 43, "random")

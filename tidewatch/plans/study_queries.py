@@ -104,15 +104,32 @@ def _stats_sql(selection: str, groups, baselines: str = "") -> str:
       ev AS ({_long('sel', groups)}), {_STATS}"""
 
 
-def _clean(t, types: str, where: str, *more):
+def _once(t, name, make):
+    if name not in t.__dict__:
+        t.__dict__[name] = make()
+    return t.__dict__[name]
+
+
+def _flags(t):
+    return _once(t, "hc_flags", lambda: E.healthcare_flags(t.trades))
+
+
+def _scope(t):
+    """Trades of all types of the symbols a query on healthcare rows can read."""
+    return _once(t, "hc_scope", lambda: E.healthcare_scope(t.trades, _flags(t)))
+
+
+def _clean(t, types: str, where: str, *more, of=None):
     """Deduplicated trades of the types as far as a query reads them."""
-    return E.study_trades(t.trades, types.split(), F.expr(where), (*E.STUDY_COLUMNS, *more))
+    return E.study_trades(t.trades if of is None else of, types.split(), F.expr(where), (*E.STUDY_COLUMNS, *more))
+
+
+def _scope_prices(t):
+    return _once(t, "scope_prices", lambda: cut_lineage(daily_closes(_scope(t))))
 
 
 def _hc_prices(t):
-    if "hc_prices" not in t.__dict__:
-        t.__dict__["hc_prices"] = t.stored_prices.join(E.healthcare_symbols(t.trades), "symbol", "left_semi")
-    return t.__dict__["hc_prices"]
+    return _once(t, "hc_prices", lambda: E.prices_of(_scope_prices(t), E.healthcare_symbols(_scope(t), _flags(t))))
 
 
 def _random(t):
@@ -125,10 +142,11 @@ def _returns(t, trades=None, prices=None):
     return E.stored_returns(rows.filter("transaction_type IN ('BUY', 'SELL')"), t.stored_prices if prices is None else prices)
 
 
-def _buys(t, where: str = "NOT is_plan"):
+def _buys(t, where: str = "NOT is_plan", of=None):
     """Buys outside a plan and the returns of their days, stored because clusters and lone buys both meet them; prices are read once and are not."""
-    buys = _clean(t, "BUY", where, "insider_name")
-    return buys, cut_lineage(_returns(t, buys, daily_closes(t.trades)).drop("entry_price"))
+    trades = t.trades if of is None else of
+    buys = _clean(t, "BUY", where, "insider_name", of=trades)
+    return buys, cut_lineage(_returns(t, buys, daily_closes(trades)).drop("entry_price"))
 
 
 def _finish(rows, baselines):
@@ -300,8 +318,8 @@ _H1_SEL = _walk("b AS (SELECT * FROM sc WHERE is_plan = false AND transaction_ty
     recursive=True,
 )
 def h1(t):
-    trades = _clean(t, "BUY SELL", "is_healthcare AND NOT is_plan", "insider_name")
-    return _finish(E.h1_rows(trades, _returns(t, trades)), _random(t))
+    trades = _clean(t, "BUY SELL", "is_healthcare AND NOT is_plan", "insider_name", of=_scope(t))
+    return _finish(E.h1_rows(trades, _returns(t, trades, _scope_prices(t))), _random(t))
 
 
 _THRESH = ((100000, "100k"), (500000, "500k"), (1000000, "1000k"))
@@ -317,8 +335,8 @@ _THRESH = ((100000, "100k"), (500000, "500k"), (1000000, "1000k"))
     ),
 )
 def h2(t):
-    trades = _clean(t, "BUY SELL", "is_healthcare AND is_csuite AND NOT is_plan")
-    return _finish(E.h2_rows(trades, _returns(t, trades)), _random(t))
+    trades = _clean(t, "BUY SELL", "is_healthcare AND is_csuite AND NOT is_plan", of=_scope(t))
+    return _finish(E.h2_rows(trades, _returns(t, trades, _scope_prices(t))), _random(t))
 
 
 @query(
@@ -329,8 +347,8 @@ def h2(t):
     ),
 )
 def h3(t):
-    sells = _clean(t, "SELL", "is_healthcare")
-    return _finish(E.h3_rows(sells, _returns(t, sells)), _random(t))
+    sells = _clean(t, "SELL", "is_healthcare", of=_scope(t))
+    return _finish(E.h3_rows(sells, _returns(t, sells, _scope_prices(t))), _random(t))
 
 
 @query(
@@ -358,8 +376,8 @@ def h4(t):
     ),
 )
 def h5(t):
-    buys = _clean(t, "BUY", "is_healthcare AND NOT is_plan")
-    return _finish(E.h5_rows(buys, _returns(t, buys)), _random(t).unionByName(E.dip_baseline(_hc_prices(t))))
+    buys = _clean(t, "BUY", "is_healthcare AND NOT is_plan", of=_scope(t))
+    return _finish(E.h5_rows(buys, _returns(t, buys, _scope_prices(t))), _random(t).unionByName(E.dip_baseline(_hc_prices(t))))
 
 
 @query(
@@ -375,7 +393,7 @@ def h5(t):
 )
 def h6(t):
     sells, hc = _clean(t, "SELL", "is_csuite AND NOT is_plan"), E.healthcare_symbols(t.trades)
-    in_scope, control = (t.stored_prices.join(hc, "symbol", how) for how in ("left_semi", "left_anti"))
+    in_scope, control = E.prices_of(t.stored_prices, hc), t.stored_prices.join(hc, "symbol", "left_anti")
     baselines = (
         E.random_baseline(in_scope, 5000, 43, "random").unionByName(E.random_baseline(t.stored_prices, 10_000, 42, "random_all"))
         .unionByName(E.random_baseline(control, 5000, 44, "random_control"))
