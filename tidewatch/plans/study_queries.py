@@ -359,8 +359,8 @@ def h3(t):
     ),
 )
 def h4(t):
-    sells = _clean(t, "SELL", "is_healthcare AND NOT is_plan")
-    return _finish(E.h4_rows(sells, _returns(t, sells)), _random(t))
+    sells = _clean(t, "SELL", "is_healthcare AND NOT is_plan", of=_scope(t))
+    return _finish(E.h4_rows(sells, _returns(t, sells, _scope_prices(t))), _random(t))
 
 
 @query(
