@@ -99,7 +99,7 @@ def lineitem(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["h2_csuite_trades", "h4_role_seniority"])
+@pytest.mark.parametrize("name", ["h2_csuite_trades", "h4_role_seniority", "h7_cluster_buy_healthcare"])
 def test_healthcare_queries_exchange_only_symbols_they_can_read(spark, lineitem, monkeypatch, name):
     from tidewatch.operators import study
     from tidewatch.plans import QUERIES, tables

@@ -451,7 +451,7 @@ def _h7_sql(cond: str) -> str:
 
 @query("h7_cluster_buy_healthcare", "trades prices", _h7_sql("is_healthcare"), recursive=True)
 def h7(t):
-    return E.direct_compare(E.h7_rows(*_buys(t, "is_healthcare AND NOT is_plan"), True), "cluster", "single", 3, with_p=False)
+    return E.direct_compare(E.h7_rows(*_buys(t, "is_healthcare AND NOT is_plan", _scope(t)), True), "cluster", "single", 3, with_p=False)
 
 
 @query("h7_cluster_buy_full", "trades prices", _h7_sql("true"), recursive=True)
