@@ -503,6 +503,68 @@ def in_this_process(rows, parts=3, bits=2, length=50):
     return {int(r.doc_id): (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in pd.concat(done).itertuples()}
 
 
+def with_windows_asked(rows, parts=3, bits=2, length=50):
+    """Result, and the rows of what is sent about contexts and about windows."""
+    import pandas as pd
+
+    s = substring_dedup
+    table = pd.DataFrame([(d, t.encode(), 0, d % parts) for d, t in rows], columns=["doc_id", "body", "text_hash", "src"])
+    packed = pd.concat(s._pack_texts(iter([table.iloc[: len(table) // 2], table.iloc[len(table) // 2 :]])))
+    blocks = [packed[packed["src"] == k] for k in range(parts)]
+    by = lambda frames, key: [g for _, g in pd.concat(frames).groupby(key)]
+    shared = pd.concat([s._shared_prints(bits)(g) for g in by([s._on_texts(s._send_prints(length, bits))(b) for b in blocks], "owner")])
+    sent = [s._with_texts(s._send_contexts(length, bits))(b, shared[shared["src"] == k]) for k, b in enumerate(blocks)]
+    rated = pd.concat([s._rate_contexts(g) for g in by(sent, "owner")])
+    records = [s._with_texts(s._cover_contexts(length, bits, ask=True))(b, rated[rated["src"] == k]) for k, b in enumerate(blocks)]
+    prints = pd.concat([s._send_windows(length, bits)(g) for g in by(records, "owner")])
+    asked = pd.concat([s._shared_prints(bits)(g) for _, g in prints.groupby("owner")])
+    windows = [s._take_windows(length, bits)(g, asked[asked["src"] == -1 - o]) for o, g in pd.concat(records).groupby("owner")]
+    scanned = pd.concat([s._suffix_arrays(length)(g) for frames in (records, windows) for g in by(frames, "owner")])
+    done = pd.concat([s._with_texts(s._remove)(b, scanned[(scanned["kind"] == 0) & (scanned["src"] == k)]) for k, b in enumerate(blocks)])
+    return {int(r.doc_id): (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in done.itertuples()}, pd.concat(records), pd.concat(windows)
+
+
+def test_repeated_strings_with_windows_asked(rows, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "MANY", 1)
+    got, _, windows = with_windows_asked(rows)
+    assert got == without_repeats(rows)
+    holders = collections.defaultdict(set)
+    for d, t in rows:
+        b = t.encode()
+        for k in range(len(b) - 49):
+            holders[b[k : k + 50]].add(d)
+    dealt = [substring_dedup._unpack_places(r.n, r.packed)[1] for r in windows.itertuples() if r.kind == substring_dedup.OPEN]
+    assert dealt and all(len(holders[raw[k : k + 50]]) > 1 for raw in dealt for k in range(0, len(raw), 50))
+
+
+def test_a_crowded_passage_sends_no_windows_of_its_own_surroundings(monkeypatch):
+    """Before, each context of a crowded anchor was sent as its 26 windows of 50 bytes."""
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    passage = text(120)
+    rows = [(d, text(200) + passage + text(200)) for d in range(240)]
+    monkeypatch.setattr(substring_dedup, "MANY", 100)
+    got, records, windows = with_windows_asked(rows)
+    assert got == without_repeats(rows)
+    crowded = records[records["kind"] == substring_dedup.CROWDED]["n"].sum()
+    dealt = windows[windows["kind"] == substring_dedup.OPEN]["n"].sum()
+    assert crowded > 240 and 0 < dealt < crowded
+    sent = sum(map(len, records["packed"])) + sum(map(len, windows["packed"]))
+    assert sent < 100 * crowded + 20_000
+
+
+def test_packed_texts_come_back(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(substring_dedup, "PACKED", 10)
+    bodies = [b"", b"x" * 25, "\u00e9t\u00e9".encode(), b"", b"0123456789", b"y"]
+    table = pd.DataFrame({"doc_id": [5, -(1 << 63), substring_dedup.LAST, 0, 7, 7], "body": bodies, "text_hash": [1, -2, 3, 4, -(1 << 63), 6], "src": [0, 1, 0, 1, 0, 1]})
+    packed = pd.concat(substring_dedup._pack_texts(iter([table, table.iloc[:0]])))
+    back = pd.concat([substring_dedup._unpack_texts(g) for _, g in packed.groupby("src")])
+    rows = lambda t: sorted(map(tuple, t[["doc_id", "body", "text_hash", "src"]].values.tolist()))
+    assert rows(back) == rows(table)
+
+
 def test_repeated_strings_on_awkward_rows(awkward, empty):
     got = collections.defaultdict(set)
     for r in substring_dedup.remove_repeats(awkward).collect():
