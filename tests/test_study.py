@@ -1,5 +1,6 @@
 """Study steps: what they exchange and order, and rows that the tables do not have."""
 
+import re
 from datetime import date
 
 import pytest
@@ -138,3 +139,73 @@ def test_healthcare_scope_keeps_symbols_with_some_healthcare_row(trades, monkeyp
     many = sorted(r.symbol for r in study.prices_of(prices, symbols).collect())
     monkeypatch.setattr(study, "FEW_SYMBOLS", 100)
     assert sorted(r.symbol for r in study.prices_of(prices, symbols).collect()) == many == ["A"] * 3 + ["C"] * 2
+
+
+@pytest.fixture()
+def closes(spark):
+    """Prices of healthcare symbols (A, C), others (B, D) and of no symbol, with a day without a date and closes of none and zero."""
+    rows = [(s, date.fromordinal(date(2024, 1, 1).toordinal() + k), float((k * 7 + i * 3) % 11 + 1)) for i, s in enumerate(("A", "B", "C", "D", None)) for k in range(70)]
+    odd = [("A", None, 5.0), ("B", date(2025, 1, 1), None), ("C", date(2025, 1, 1), 0.0), ("E", date(2025, 1, 1), 3.0)]
+    return spark.createDataFrame(rows + odd, "symbol string, date date, close double")
+
+
+def test_scoped_baselines_are_those_of_the_part(spark, closes):
+    from tidewatch.operators import study as E
+
+    own = spark.createDataFrame([("A",), ("C",), (None,), ("Z",)], "symbol string")
+    part, rest = closes.join(own, "symbol", "left_semi"), closes.join(own, "symbol", "left_anti")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    for got, want in (
+        (E.random_baseline(closes, 60, 43, "random", E.symbol_scope(own)), E.random_baseline(part, 60, 43, "random")),
+        (E.random_baseline(closes, 60, 44, "rest", E.symbol_scope(own, within=False)), E.random_baseline(rest, 60, 44, "rest")),
+        (E.dip_baseline(closes, 5, scope=E.symbol_scope(own)), E.dip_baseline(part, 5)),
+        (E.dip_baseline(closes, 5, scope=E.symbol_scope(own), line=E.dealt_returns(closes)), E.dip_baseline(part, 5)),
+    ):
+        assert rows(got) == rows(want) != []
+    assert {r.symbol for r in E.random_baseline(rest, 60, 44, "rest").collect()} == {"B", "D", None}
+    assert {r.symbol for r in E.dip_baseline(closes, 5).collect()} == {"A", "B", "C", "D"}  # no dip without a symbol
+
+
+def test_baselines_share_one_exchange_of_prices(spark, closes, tmp_path):
+    """Before, every baseline exchanged its part of the prices, and dips met their rows in a join by symbol and date."""
+    from tidewatch.operators import study as E
+
+    closes.write.parquet(str(tmp_path / "closes"))
+    prices, own = spark.read.parquet(str(tmp_path / "closes")), spark.createDataFrame([("A",), ("C",)], "symbol string")
+    inside, outside, line = E.symbol_scope(own), E.symbol_scope(own, within=False), E.dealt_returns(prices)
+    drawn = [
+        E.random_baseline(prices, 60, 43, "a", inside, line), E.random_baseline(prices, 60, 42, "b", line=line), E.random_baseline(prices, 60, 44, "c", outside, line),
+        E.dip_baseline(prices, 5, scope=inside, line=line),
+    ]
+    rows = drawn[0].unionByName(drawn[1]).unionByName(drawn[2]).unionByName(drawn[3])
+    rows.collect()
+    final = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    dealt = [line for line in final if "Exchange hashpartitioning(symbol" in line and "REPARTITION_BY_NUM" in line]
+    assert sum("ReusedExchange" not in line for line in dealt) == 1 and len(dealt) == 4
+    assert not any(re.search(r"hashpartitioning\(symbol#\d+, date", line) for line in final)
+
+
+def test_buys_outside_healthcare_leave_before_the_exchange(trades, spark):
+    from tidewatch.operators import study as E
+
+    told = E.healthcare_flags(trades)
+    rows = E._without_other_buys(trades, told)
+    assert rows.columns == trades.columns
+    assert {r.trade_id for r in trades.collect()} - {r.trade_id for r in rows.collect()} == {"t8", "t9", "t10", "t11", "t12"}  # D, E and no symbol
+
+
+def test_full_run_stores_only_trades_it_reads(spark, trades, closes, monkeypatch):
+    from tidewatch.operators import study as E
+
+    d, stored = date(2024, 1, 3), []
+    more = spark.createDataFrame(
+        [
+            trade(20, "B", "z", "SELL", 7.0, d, False), trade(21, "B", "w", "SELL", 7.0, d, False)[:7] + (False, False, False), trade(22, "D", "z", "BUY", 7.0, d, False),
+            trade(23, "A", "z", "BUY", 7.0, d, True), trade(24, "A", "z", "BUY", 6.0, d, True),
+        ],
+        TRADES,
+    )
+    monkeypatch.setattr(E, "study_trades", lambda *a, f=E.study_trades, **k: stored.append(f(*a, **k)) or stored[-1])
+    got = {(r.sub_group, r.horizon): r.n for r in E.full_run(trades.unionByName(more), closes).collect()}
+    assert sorted((r.symbol, r.transaction_type, r.total_value) for r in stored[0].collect()) == [("A", "BUY", 7.0), ("A", "SELL", 5.0), ("A", "SELL", 20.0), ("B", "SELL", 7.0)]
+    assert got["H5/all", "1d"] == 1 and got["H6/control_group", "1d"] == 1 and got["H6/healthcare", "1d"] == 2 and got["H2/all", "1d"] == 3

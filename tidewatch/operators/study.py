@@ -220,15 +220,40 @@ def _row_returns(prices: DataFrame) -> DataFrame:
     return rows.select("symbol", "date", "close", "idx", "n", *rets)
 
 
-def random_baseline(prices: DataFrame, samples: int = 5000, seed: int = 42, name: str = "random") -> DataFrame:
-    """Returns of reproducibly drawn days of every symbol with more than 30 rows.
+Scope = Callable[[DataFrame], DataFrame]
+
+
+def _all(rows: DataFrame) -> DataFrame:
+    return rows
+
+
+def symbol_scope(symbols: DataFrame, within: bool = True) -> Scope:
+    """Rows of the given symbols (one row each), or those of all others; a null symbol is among the others.
+
+    Told after rows have met by symbol: baselines over parts of one price table then share its exchange.  A semi-join would be moved ahead
+    of it, and of an equality the test for nulls.
+    """
+    told = symbols.filter("symbol IS NOT NULL").select(F.col("symbol").alias("__own"))
+    told = F.broadcast(told) if few(symbols) else told
+    return lambda rows: rows.join(told, F.col("symbol").eqNullSafe(F.col("__own")), "left").filter(F.col("__own").isNotNull() if within else F.col("__own").isNull()).drop("__own")
+
+
+def dealt_returns(prices: DataFrame) -> DataFrame:
+    """Row returns for several baselines, which then share one exchange of the prices."""
+    return _row_returns(deal_out(prices.select("symbol", "date", "close"), "symbol"))
+
+
+def random_baseline(
+    prices: DataFrame, samples: int = 5000, seed: int = 42, name: str = "random", scope: Scope = _all, line: DataFrame | None = None
+) -> DataFrame:
+    """Returns of reproducibly drawn days of every symbol in scope with more than 30 rows.
 
     Rows are ordered by a hash of (symbol, index, seed), so the draw does not depend on
-    partitioning; it is without replacement.
+    partitioning; it is without replacement.  ``line`` is ``dealt_returns`` of the prices if it has been taken already.
     """
-    sizes = prices.groupBy("symbol").agg(F.count("*").alias("__n")).filter("__n > 30")
+    sizes = scope(prices.groupBy("symbol").agg(F.count("*").alias("__n"))).filter("__n > 30")
     share = sizes.agg(F.greatest(F.lit(1), F.floor(F.try_divide(F.lit(samples), F.count("*")))).alias("__share"))  # one row
-    rows = _row_returns(prices).filter("n > 30")
+    rows = scope(_row_returns(prices) if line is None else line).filter("n > 30")
     max_idx = F.col("n") - max(HORIZONS.values()) - 1
     eligible = rows.filter((max_idx >= 1) & (F.col("idx") < max_idx))
     rank = F.row_number().over(
@@ -239,10 +264,10 @@ def random_baseline(prices: DataFrame, samples: int = 5000, seed: int = 42, name
     return _long_returns(drawn.withColumn("baseline", F.lit(name)), ["baseline", "symbol"])
 
 
-def dip_baseline(prices: DataFrame, per_symbol: int = 50, seed: int = 45, name: str = "dip") -> DataFrame:
-    """Returns after days of a 2 % drop, at most ``per_symbol`` reproducibly drawn ones."""
-    dips = dip_days(prices).select("symbol", "date")
-    rows = _row_returns(prices).join(dips, ["symbol", "date"])
+def dip_baseline(prices: DataFrame, per_symbol: int = 50, seed: int = 45, name: str = "dip", scope: Scope = _all, line: DataFrame | None = None) -> DataFrame:
+    """Returns after days of a 2 % drop, at most ``per_symbol`` reproducibly drawn ones; a day has one price, which its symbol names."""
+    named = F.count("symbol").over(Window.partitionBy("symbol"))  # of a plain test for nulls the exchange would become another one
+    rows = scope(dip_days(_row_returns(prices) if line is None else line)).withColumn("__named", named).filter("__named > 0 AND date IS NOT NULL")
     order = [F.asc(_hash_rank(F.col("symbol"), F.col("idx"), F.lit(seed)))]
     drawn = first_k(rows, ["symbol"], order, per_symbol).filter("close > 0")
     return _long_returns(drawn.withColumn("baseline", F.lit(name)), ["baseline", "symbol"])
@@ -695,19 +720,29 @@ def tier_gate(results: DataFrame, horizon: str = "7d") -> DataFrame:
     return rows.withColumn("decision", S.go_no_go(F.col("effect_size_d"), F.col("p_value")))
 
 
+def _without_other_buys(trades: DataFrame, told: DataFrame) -> DataFrame:
+    """Trades without buys of symbols that have no healthcare row at all: outside healthcare only sells are read.  ``told`` is ``healthcare_flags``."""
+    some = told.filter("some").select(F.col("symbol").alias("__own"))
+    if not few(some):
+        return trades
+    known = trades.join(F.broadcast(some), F.col("symbol") == F.col("__own"), "left")
+    return known.filter((F.col("transaction_type") != "BUY") | F.col("__own").isNotNull()).select(*trades.columns)
+
+
 def full_run(trades: DataFrame, prices: DataFrame, samples: int = 10_000) -> DataFrame:
     """All hypotheses in one long table with p values and the Bonferroni correction."""
-    clean = study_trades(trades, ("BUY", "SELL"), columns=(*STUDY_COLUMNS, "insider_name"))
+    told = healthcare_flags(trades)
+    control_reads = _unplanned("SELL") & F.col("is_csuite")  # what H6 reads of rows outside healthcare
+    clean = study_trades(_without_other_buys(trades, told), ("BUY", "SELL"), F.col("is_healthcare") | control_reads, (*STUDY_COLUMNS, "insider_name"))
     returns = cut_lineage(stored_returns(clean, prices))
     scope = clean.filter("is_healthcare")
-    hc_symbols = healthcare_symbols(trades)
-    hc_prices = prices_of(prices, hc_symbols)
-    control = prices.join(hc_symbols, "symbol", "left_anti")
+    hc_symbols = healthcare_symbols(trades, told)
+    healthcare, control, line = symbol_scope(hc_symbols), symbol_scope(hc_symbols, within=False), dealt_returns(prices)
     baselines = (
-        random_baseline(hc_prices, samples // 2, 43, "random")
-        .unionByName(random_baseline(prices, samples, 42, "random_all"))
-        .unionByName(random_baseline(control, samples // 2, 44, "random_control"))
-        .unionByName(dip_baseline(hc_prices))
+        random_baseline(prices, samples // 2, 43, "random", healthcare, line)
+        .unionByName(random_baseline(prices, samples, 42, "random_all", line=line))
+        .unionByName(random_baseline(prices, samples // 2, 44, "random_control", control, line))
+        .unionByName(dip_baseline(prices, scope=healthcare, line=line))
     )
     name = lambda label, groups: [(f"{label}/{g}", *rest) for g, *rest in groups]
     of_trades = [
