@@ -209,3 +209,12 @@ def test_full_run_stores_only_trades_it_reads(spark, trades, closes, monkeypatch
     got = {(r.sub_group, r.horizon): r.n for r in E.full_run(trades.unionByName(more), closes).collect()}
     assert sorted((r.symbol, r.transaction_type, r.total_value) for r in stored[0].collect()) == [("A", "BUY", 7.0), ("A", "SELL", 5.0), ("A", "SELL", 20.0), ("B", "SELL", 7.0)]
     assert got["H5/all", "1d"] == 1 and got["H6/control_group", "1d"] == 1 and got["H6/healthcare", "1d"] == 2 and got["H2/all", "1d"] == 3
+
+
+def test_report_table_deals_prices_once_for_its_baselines(spark, lineitem, monkeypatch):
+    from tidewatch.operators import study
+    from tidewatch.plans import QUERIES
+
+    dealt = []
+    monkeypatch.setattr(study, "dealt_returns", lambda prices, f=study.dealt_returns: dealt.append(prices) or f(prices))
+    assert QUERIES["k5_report_table"](spark, lineitem).columns == ["value"] and len(dealt) == 1
